@@ -11,16 +11,15 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 4_000_000
 BLOCK, CONTEXT = "_block", "_context"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for intermediate tables; a temporary one in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,9 +28,26 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
             folder = tempfile.mkdtemp(prefix="paneleffect-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def durable_for_fitting(df: DataFrame) -> DataFrame:
+    """A durable frame that an iterative fit can read with every core.
+
+    Adaptive execution packs a small frame into few partitions; those are spread again. A frame
+    with enough partitions stays as it is.
+    """
+    kept = durable(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return kept if kept.rdd.getNumPartitions() >= cores else kept.repartition(cores)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join in which null keys equal each other, as they do in a grouping."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

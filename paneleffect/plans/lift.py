@@ -51,9 +51,7 @@ class PathB:
 
 
 def _fit(prepared: Prepared, model: ModelConfig, kind: str, params: Mapping | None) -> Fitted:
-    # A boosted fit reads its input many times, and scores are joined back later.
-    data = durable(prepared.data)
-    scored, fitted = models.fit_score(data, config.MODEL_LABELS[model.model_type], kind=kind, params=params)
+    scored, fitted = models.fit_score(prepared.data, config.MODEL_LABELS[model.model_type], kind=kind, params=params)
     return Fitted(model, prepared.encoder, fitted, scored)
 
 

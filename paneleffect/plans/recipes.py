@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from paneleffect import config
 from paneleffect.config import ModelConfig
+from paneleffect.functions.skew import durable_for_fitting
 from paneleffect.operators import adstock, encode, grain, roles, scenario, spillover
 from paneleffect.operators.clean import filter_period, filter_triangle
 
@@ -75,6 +76,8 @@ def prepare(
         # Collapsed rows have one row per customer and week by construction.
         rows = adstock.add_adstock(rows, keys, model.adstock_params, unique_grain=path_b)
     if encoder is None:
+        # Selection, encoder and model fits each read the rows: compute them once.
+        rows = durable_for_fitting(rows)
         chosen = encode.select_features(rows, config.FEATURE_PATTERNS[model.model_type])
         encoder = encode.fit_encoder(rows, chosen)
     encoded = encode.encode(rows, encoder)

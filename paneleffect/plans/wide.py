@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from paneleffect import config
 from paneleffect.config import Roles
-from paneleffect.functions.skew import durable
+from paneleffect.functions.skew import durable, durable_for_fitting
 from paneleffect.operators import encode, features, models, rollups, scenario
 from paneleffect.operators.roles import detect_roles, outcome_columns, roles_dict
 from paneleffect.sources import sinks
@@ -62,7 +62,7 @@ def run(
     roles = roles or detect_roles(df.columns)
     frame = features.build_features(df, roles, leak_safe)
     # Fits read the features many times: store them once, with the lineage cut.
-    base = durable(frame.data)
+    base = durable_for_fitting(frame.data)
     encoder = encode.fit_wide_encoder(base, frame.numeric, frame.categorical)
     labels = wide_labels(encoder, frame)
     # The propensity model leaves out its own label from the features.

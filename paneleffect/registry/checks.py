@@ -127,6 +127,14 @@ def f7_checklist_events(spark, sf):
     return shaped(checks.checklist(P.events(spark, sf), P.EVENT_ROLES), "key label status detail", "position")
 
 
+@BOOK.add(
+    "f7_checklist_fine",
+    f"WITH {P.FINE}, {_checklist_sql('fine', 'week_end_date', 'suggestion_email suggestion_call action_email action_call trx nbrx')}",
+)
+def f7_checklist_fine(spark, sf):
+    return shaped(checks.checklist(P.fine(spark, sf), P.DENSE_ROLES), "key label status detail", "position")
+
+
 @BOOK.add(
     "f8_safe_numeric",
     f"""WITH {P.RAW} SELECT hcp_id, rep_id, week_end_date, ROUND(COALESCE(try_cast(suggestion_email AS DOUBLE), 0.0), 6) AS suggestion_email,

@@ -1,0 +1,321 @@
+"""Registered queries: encoders, fits, chains, model inspection.
+
+Linear fits are checked against SQL regression; boosted and logistic fits have no SQL form and are
+covered by the invariants in the tests. One chain per input folder is fitted and shared.
+"""
+
+from __future__ import annotations
+
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paneleffect import config
+from paneleffect.functions.skew import durable
+from paneleffect.operators import encode, models, report, scenario
+from paneleffect.plans import lift, recipes, wide
+from paneleffect.registry import panels as P
+from paneleffect.registry.book import BOOK, shaped
+
+START, END = "1994-01-02", "1997-06-01"
+# Trees per fit in the registered chains; the library default for effect arms is 100.
+CHAIN_PARAMS = {"maxIter": 10}
+ARM_PARAMS = {"maxIter": 20}
+OVERRIDES = {"theme_f_qualified": "sum", "theme_o_qualified": "sum", "covariate_path_b_lines": "sum"}
+_SEGMENT, _COUNT = "covariate_path_a_segment", "suggestion_count"
+
+
+def _week(df: DataFrame) -> DataFrame:
+    return df.withColumn("week", F.col("week_end_date"))
+
+
+@cache
+def _stored(app: str, spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return durable({"long": P.long, "dense": P.dense, "path_a": P.path_a_panel}[name](spark, sf))
+
+
+def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A panel computed once per session, as it would be stored before many fits read it."""
+    return _stored(spark.sparkContext.applicationId, spark, sf, name)
+
+
+@cache
+def _chain(app: str, spark: SparkSession, sf: str):
+    return lift.run(
+        stored(spark, sf, "long"), "call", "call", START, END, theme_run=True, params=CHAIN_PARAMS, overrides=OVERRIDES
+    )
+
+
+def chain(spark: SparkSession, sf: str):
+    return _chain(spark.sparkContext.applicationId, spark, sf)
+
+
+@cache
+def _wide(app: str, spark: SparkSession, sf: str) -> wide.WideRun:
+    return wide.run(stored(spark, sf, "dense"), model_params=ARM_PARAMS)
+
+
+def wide_run(spark: SparkSession, sf: str) -> wide.WideRun:
+    return _wide(spark.sparkContext.applicationId, spark, sf)
+
+
+@cache
+def _linear(app: str, spark: SparkSession, sf: str):
+    panel = stored(spark, sf, "path_a")
+    encoder = encode.fit_encoder(panel, [_COUNT])
+    encoded = encode.encode(panel, encoder)
+    scored, model = models.fit_score(encoded, "action_count", kind="LinearRegression", params={"solver": "normal"})
+    return encoder, encoded, scored, model
+
+
+def linear(spark: SparkSession, sf: str):
+    """Actions regressed on suggestions: a fit SQL can repeat."""
+    return _linear(spark.sparkContext.applicationId, spark, sf)
+
+
+_MATRIX = f"""{P.LONG}, path_a AS (SELECT * FROM long WHERE suggestion_type = 'call' AND action_type = 'call' AND outcome_type = 'trx'),
+  counted AS (SELECT {_SEGMENT} AS label, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {_SEGMENT}) AS position FROM path_a GROUP BY 1)"""
+
+
+def _encoded(spark, sf):
+    panel = stored(spark, sf, "path_a")
+    encoder = encode.fit_encoder(panel, [_SEGMENT, _COUNT])
+    return encoder, encode.encode(panel, encoder)
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_HOT = ", ".join(
+    f"ROUND(CASE WHEN {_SEGMENT} = '{s}' THEN 1 ELSE 0 END / STDDEV_SAMP(CASE WHEN {_SEGMENT} = '{s}' THEN 1 ELSE 0 END) OVER (), 6) AS \"{_SEGMENT}_{s}\""
+    for s in _SEGMENTS
+)
+_MATRIX_COLUMNS = [f"{_SEGMENT}_{s}" for s in _SEGMENTS] + [_COUNT]
+
+
+@BOOK.add(
+    "m1_encoder",
+    f"""WITH {_MATRIX} SELECT rep_id, customer_id, CAST(week_end_date AS VARCHAR) AS week_end_date, {_HOT},
+      ROUND({_COUNT} / STDDEV_SAMP({_COUNT}) OVER (), 6) AS {_COUNT} FROM path_a""",
+)
+def m1_encoder(spark, sf):
+    encoder, encoded = _encoded(spark, sf)
+    out = report.model_matrix(encoded, encoder, ["rep_id", "customer_id", "week_end_date"])
+    return shaped(out, "rep_id customer_id week_end_date", doubles=" ".join(_MATRIX_COLUMNS))
+
+
+@BOOK.add(
+    "x4_feature_labels",
+    f"""WITH {_MATRIX} SELECT position, '{_SEGMENT}_' || label AS feature FROM counted
+      UNION ALL SELECT (SELECT COUNT(*) + 1 FROM counted), '{_COUNT}'""",
+)
+def x4_feature_labels(spark, sf):
+    encoder, _ = _encoded(spark, sf)
+    rows = list(enumerate(encode.feature_labels(encoder), 1))
+    return shaped(spark.createDataFrame(rows, "position int, feature string"), "feature", "position")
+
+
+@BOOK.add(
+    "x7_model_matrix",
+    f"""WITH {_MATRIX}, x AS (SELECT *, {_COUNT} / STDDEV_SAMP({_COUNT}) OVER () AS scaled FROM path_a)
+      SELECT customer_id, rep_id, CAST(week_end_date AS VARCHAR) AS week_end_date, ROUND(scaled, 6) AS {_COUNT} FROM x
+      WHERE rep_id = 'R2' AND week_end_date >= DATE '1996-01-07' ORDER BY customer_id, week_end_date""",
+)
+def x7_model_matrix(spark, sf):
+    encoder, encoded, _, _ = linear(spark, sf)
+    filters = [F.col("rep_id") == "R2", F.col("week_end_date") >= F.to_date(F.lit("1996-01-07"))]
+    keys = ["customer_id", "rep_id", "week_end_date"]
+    out = report.model_matrix(encoded, encoder, keys, filters, [F.col("customer_id"), F.col("week_end_date")])
+    return shaped(out, "customer_id rep_id week_end_date", doubles=_COUNT)
+
+
+def _recipe_config(model_type: str, outcome: str = "trx", adstock: bool = True):
+    return lift.model_config(
+        model_type, "call", "call", outcome, "1994-01-02", "1996-12-29", config.DEFAULT_ADSTOCK if adstock else None
+    )
+
+
+@BOOK.add(
+    "m2_path_a_engineer",
+    f"""WITH {P.PREDICTIONS}, a AS (SELECT * FROM path_a WHERE week_end_date < DATE '1996-12-29'),
+      s AS (SELECT rep_id, customer_id, week_end_date, propensity_a FROM af WHERE action_count > 0),
+      p AS (SELECT a.*, s.propensity_a, COALESCE((SUM(CASE WHEN suggestion_count > 0 THEN 1.0 ELSE 0.0 END) OVER w
+          - CASE WHEN suggestion_count > 0 THEN 1.0 ELSE 0.0 END) / NULLIF(COUNT(*) OVER w - 1, 0), 0) AS other,
+          CAST(SUM(action_count) OVER (PARTITION BY a.week_end_date) AS BIGINT) AS idx
+        FROM a LEFT JOIN s USING (rep_id, customer_id, week_end_date) WINDOW w AS (PARTITION BY rep_id, week_end_date)),
+      c AS (SELECT x.rep_id, x.customer_id, x.week_end_date,
+          SUM(POWER(0.3, (x.week_end_date - y.week_end_date) / 7) * y.suggestion_count) AS sa, SUM(POWER(0.3, (x.week_end_date - y.week_end_date) / 7) * y.other) AS oa,
+          SUM(POWER(0.69, (x.week_end_date - y.week_end_date) / 7) * y.action_count) AS aa
+        FROM p x JOIN p y ON x.rep_id = y.rep_id AND x.customer_id = y.customer_id AND y.week_end_date BETWEEN x.week_end_date - 28 AND x.week_end_date GROUP BY 1, 2, 3)
+      SELECT rep_id, customer_id, CAST(week_end_date AS VARCHAR) AS week, COALESCE(propensity_a, 0) AS propensity, ROUND(other, 6) AS percent_other_hcps_suggested, idx AS action_count_global_index,
+        ROUND(sa, 6) AS suggestion_count_adstock, ROUND(oa, 6) AS percent_other_hcps_suggested_adstock, ROUND(aa, 6) AS action_count_adstock
+      FROM p JOIN c USING (rep_id, customer_id, week_end_date) WHERE week_end_date >= DATE '1994-01-02'""",
+)
+def m2_path_a_engineer(spark, sf):
+    cfg = _recipe_config("PathA_TreatmentEffectModel")
+    scores = P.actions_factual(spark, sf).where(F.col("action_count") > 0).select(
+        *config.PATH_A_KEYS, F.col("propensity_a").alias(cfg.propensity_column)
+    )
+    out = recipes.prepare(P.long(spark, sf), cfg, scores, from_start_date=True).data
+    out = _week(out).withColumn("propensity", F.col(cfg.propensity_column))
+    doubles = "propensity percent_other_hcps_suggested suggestion_count_adstock percent_other_hcps_suggested_adstock action_count_adstock"
+    return shaped(out, "rep_id customer_id week", "action_count_global_index", doubles)
+
+
+@BOOK.add(
+    "m3_path_b_recipe",
+    f"""WITH {P.PREDICTIONS}, b AS (SELECT * FROM path_b WHERE outcome_type = 'trx' AND week_end_date < DATE '1996-12-29'),
+      s AS (SELECT customer_id, week_end_date, propensity_b FROM bf WHERE outcome_type = 'trx' AND action_count > 1),
+      c AS (SELECT x.customer_id, x.week_end_date, SUM(POWER(0.3, (x.week_end_date - y.week_end_date) / 7) * y.suggestion_count) AS sa,
+          SUM(POWER(0.69, (x.week_end_date - y.week_end_date) / 7) * y.action_count) AS aa
+        FROM b x JOIN b y ON x.customer_id = y.customer_id AND y.week_end_date BETWEEN x.week_end_date - 28 AND x.week_end_date GROUP BY 1, 2)
+      SELECT customer_id, CAST(week_end_date AS VARCHAR) AS week, action_count, outcome_count, COALESCE(propensity_b, 0) AS propensity,
+        ROUND(sa, 6) AS suggestion_count_adstock, ROUND(aa, 6) AS action_count_adstock
+      FROM b JOIN c USING (customer_id, week_end_date) LEFT JOIN s USING (customer_id, week_end_date)""",
+)
+def m3_path_b_recipe(spark, sf):
+    cfg = _recipe_config("PathB_TreatmentEffectModel")
+    scores = P.outcomes_factual(spark, sf).where((F.col("outcome_type") == "trx") & (F.col("action_count") > 1)).select(
+        *config.PATH_B_KEYS, F.col("propensity_b").alias(cfg.propensity_column)
+    )
+    out = recipes.prepare(P.long(spark, sf), cfg, scores, overrides=OVERRIDES).data
+    out = _week(out).withColumn("propensity", F.col(cfg.propensity_column))
+    return shaped(out, "customer_id week", doubles="action_count outcome_count propensity suggestion_count_adstock action_count_adstock")
+
+
+_REGRESSION = f"""{_MATRIX}, g AS (SELECT REGR_SLOPE(action_count, {_COUNT}) AS b, REGR_INTERCEPT(action_count, {_COUNT}) AS a,
+  STDDEV_SAMP({_COUNT}) AS s FROM path_a)"""
+_PREDICTED = f"""WITH {_REGRESSION} SELECT rep_id, customer_id, CAST(week_end_date AS VARCHAR) AS week, ROUND(a + b * {_COUNT}, 6) AS """
+
+
+@BOOK.add("m4_linear_fit", f"{_PREDICTED} prediction FROM path_a, g")
+def m4_linear_fit(spark, sf):
+    _, _, scored, _ = linear(spark, sf)
+    return shaped(_week(scored), "rep_id customer_id week", doubles="prediction")
+
+
+@BOOK.add("m6_score", f"{_PREDICTED} prediction FROM path_a, g WHERE rep_id = 'R3'")
+def m6_score(spark, sf):
+    _, encoded, _, model = linear(spark, sf)
+    return shaped(_week(models.score(encoded.where("rep_id = 'R3'"), model)), "rep_id customer_id week", doubles="prediction")
+
+
+@BOOK.add("p16_propensity_linear", f"{_PREDICTED} propensity FROM path_a, g")
+def p16_propensity_linear(spark, sf):
+    _, _, scored, model = linear(spark, sf)
+    return shaped(_week(models.propensity_scores(scored, model, "propensity")), "rep_id customer_id week", doubles="propensity")
+
+
+@BOOK.add("x6_linear_contributions", f"WITH {_REGRESSION} SELECT '{_COUNT}' AS feature, ROUND(b * s, 6) AS contribution FROM g")
+def x6_linear_contributions(spark, sf):
+    encoder, _, _, model = linear(spark, sf)
+    return shaped(report.contributions(spark, encoder, model), "feature", doubles="contribution")
+
+
+@BOOK.add("m4_boosted_fit")
+def m4_boosted_fit(spark, sf):
+    """Suggestion propensity of path A, scored on the rows it was fitted on."""
+    a, _ = chain(spark, sf)
+    return shaped(_week(a.propensity.scored), "rep_id customer_id week", doubles="suggestion_count prediction")
+
+
+@BOOK.add("m5_model_labels")
+def m5_model_labels(spark, sf):
+    """Total of each model's label over the rows it was fitted on."""
+    a, b = chain(spark, sf)
+    fitted = [("", a.propensity), ("", a.effect), *((o, m) for o, m in b.propensity.items()), *((o, m) for o, m in b.effect.items())]
+    parts = []
+    for outcome, f in fitted:
+        label = config.MODEL_LABELS[f.config.model_type]
+        total = f.scored.agg(F.sum(label).alias("total"))
+        parts.append(total.select(F.lit(f.config.model_type).alias("model"), F.lit(outcome).alias("outcome_type"), F.lit(label).alias("label"), "total"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return shaped(out, "model outcome_type label", doubles="total")
+
+
+@BOOK.add("m7_fit_and_score")
+def m7_fit_and_score(spark, sf):
+    """Action effect model of path A, fitted and scored."""
+    a, _ = chain(spark, sf)
+    return shaped(_week(a.effect.scored), "rep_id customer_id week", doubles="action_count prediction")
+
+
+@BOOK.add("m9_importances")
+def m9_importances(spark, sf):
+    a, _ = chain(spark, sf)
+    return report.importances(spark, a.effect.encoder, a.effect.model)
+
+
+@BOOK.add("x5_flat_stages")
+def x5_flat_stages(spark, sf):
+    a, _ = chain(spark, sf)
+    stages = report.flat_stages(a.effect.encoder, a.effect.model)
+    rows = [(i, type(s).__name__) for i, s in enumerate(stages, 1)]
+    return spark.createDataFrame(rows, "position int, stage string")
+
+
+@BOOK.add("x6_boosted_contributions")
+def x6_boosted_contributions(spark, sf):
+    """One table over all fitted models."""
+    a, b = chain(spark, sf)
+    fitted = {
+        "PathA_PropensityModel": a.propensity,
+        "PathB_PropensityModel": b.propensity["nbrx"],
+        "PathA_TreatmentEffectModel": a.effect,
+        "PathB_TreatmentEffectModel__nbrx": b.effect["nbrx"],
+        "PathB_TreatmentEffectModel__trx": b.effect["trx"],
+    }
+    return scenario.stack({n: report.contributions(spark, f.encoder, f.model) for n, f in fitted.items()}, "model")
+
+
+@BOOK.add("m10_logistic_propensity")
+def m10_logistic_propensity(spark, sf):
+    run = wide_run(spark, sf)
+    return shaped(_week(run.scored), "hcp_id rep_id week", "treated_action", wide.PROPENSITY)
+
+
+@BOOK.add("m12_tlearner")
+def m12_tlearner(spark, sf):
+    return shaped(_week(wide_run(spark, sf).scored), "hcp_id rep_id week", "treated_suggestion", "incremental_actions")
+
+
+@BOOK.add("m13_outcome_tlearner")
+def m13_outcome_tlearner(spark, sf):
+    return shaped(_week(wide_run(spark, sf).scored), "hcp_id rep_id week", "treated_action", "incremental_trx incremental_nbrx")
+
+
+@BOOK.add("m15_wide_chain")
+def m15_wide_chain(spark, sf):
+    """Monthly result of the wide chain."""
+    run = wide_run(spark, sf)
+    return run.action_monthly.join(run.outcome_monthly, "month")
+
+
+@BOOK.add("c1_counterfactual_actions")
+def c1_counterfactual_actions(spark, sf):
+    return chain(spark, sf)[0].counterfactual
+
+
+@BOOK.add("c2_predicted_actions")
+def c2_predicted_actions(spark, sf):
+    a = chain(spark, sf)[0]
+    return a.factual.withColumn("theme", F.lit("all")).unionByName(a.theme_factual)
+
+
+@BOOK.add("c3_counterfactual_outcomes")
+def c3_counterfactual_outcomes(spark, sf):
+    return chain(spark, sf)[1].counterfactual
+
+
+@BOOK.add("c4_predicted_outcomes")
+def c4_predicted_outcomes(spark, sf):
+    b = chain(spark, sf)[1]
+    return b.factual.withColumn("theme", F.lit("all")).unionByName(b.theme_factual)
+
+
+@BOOK.add("c7_full_chain")
+def c7_full_chain(spark, sf):
+    """Incremental actions and outcomes of the fitted chain, by theme."""
+    a, b = chain(spark, sf)
+    return report.theme_summary(b.incremental, a.incremental)
