@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneleffect import config
-from paneleffect.functions.skew import durable
 from paneleffect.operators import encode, models, report, scenario
 from paneleffect.plans import lift, recipes, wide
 from paneleffect.registry import panels as P
@@ -30,20 +29,10 @@ def _week(df: DataFrame) -> DataFrame:
     return df.withColumn("week", F.col("week_end_date"))
 
 
-@cache
-def _stored(app: str, spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return durable({"long": P.long, "dense": P.dense, "path_a": P.path_a_panel}[name](spark, sf))
-
-
-def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A panel computed once per session, as it would be stored before many fits read it."""
-    return _stored(spark.sparkContext.applicationId, spark, sf, name)
-
-
 @cache
 def _chain(app: str, spark: SparkSession, sf: str):
     return lift.run(
-        stored(spark, sf, "long"), "call", "call", START, END, theme_run=True, params=CHAIN_PARAMS, overrides=OVERRIDES
+        P.long(spark, sf), "call", "call", START, END, theme_run=True, params=CHAIN_PARAMS, overrides=OVERRIDES
     )
 
 
@@ -53,7 +42,7 @@ def chain(spark: SparkSession, sf: str):
 
 @cache
 def _wide(app: str, spark: SparkSession, sf: str) -> wide.WideRun:
-    return wide.run(stored(spark, sf, "dense"), model_params=ARM_PARAMS)
+    return wide.run(P.dense(spark, sf), model_params=ARM_PARAMS)
 
 
 def wide_run(spark: SparkSession, sf: str) -> wide.WideRun:
@@ -62,7 +51,7 @@ def wide_run(spark: SparkSession, sf: str) -> wide.WideRun:
 
 @cache
 def _linear(app: str, spark: SparkSession, sf: str):
-    panel = stored(spark, sf, "path_a")
+    panel = P.path_a_panel(spark, sf)
     encoder = encode.fit_encoder(panel, [_COUNT])
     encoded = encode.encode(panel, encoder)
     scored, model = models.fit_score(encoded, "action_count", kind="LinearRegression", params={"solver": "normal"})
@@ -79,7 +68,7 @@ _MATRIX = f"""{P.LONG}, path_a AS (SELECT * FROM long WHERE suggestion_type = 'c
 
 
 def _encoded(spark, sf):
-    panel = stored(spark, sf, "path_a")
+    panel = P.path_a_panel(spark, sf)
     encoder = encode.fit_encoder(panel, [_SEGMENT, _COUNT])
     return encoder, encode.encode(panel, encoder)
 

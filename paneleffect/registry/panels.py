@@ -4,14 +4,21 @@ dense: customer nation × supplier region × week. fine: customer × supplier ×
 row per user and day. raw: the fine panel with text metrics and missing ids, times and values, for
 the checks. long: the dense panel with one row per suggestion/action/outcome type. predictions:
 plain arithmetic on the long panel in place of model output, so the table operators can be checked.
+
+The dense, fine and long panels are computed once per session and input folder and written as
+parquet to the shared folder, since that is how a panel reaches the operators: as a stored table.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneleffect.config import Roles
+from paneleffect.functions.skew import shared_folder
 
 DENSE_ROLES = Roles(
     ("suggestion_email", "suggestion_call"),
@@ -61,7 +68,7 @@ def _metrics() -> dict[str, Column]:
     }
 
 
-def dense(spark: SparkSession, sf: str) -> DataFrame:
+def build_dense(spark: SparkSession, sf: str) -> DataFrame:
     keyed = lines(spark, sf).withColumns(
         {
             "hcp_id": F.concat(F.lit("H"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")),
@@ -71,11 +78,34 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.groupBy(*KEYS).agg(*[v.alias(k) for k, v in _metrics().items()])
 
 
-def fine(spark: SparkSession, sf: str) -> DataFrame:
+def build_fine(spark: SparkSession, sf: str) -> DataFrame:
     keyed = lines(spark, sf).withColumns({"hcp_id": F.col("o_custkey"), "rep_id": F.col("l_suppkey")})
     return keyed.groupBy(*KEYS).agg(*[v.alias(k) for k, v in _metrics().items()])
 
 
+@cache
+def _store(app: str, spark: SparkSession, sf: str, name: str) -> str:
+    place = f"{shared_folder(spark)}/panel-{name}-{uuid4().hex}"
+    BUILDERS[name](spark, sf).write.parquet(place)
+    return place
+
+
+def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(_store(spark.sparkContext.applicationId, spark, sf, name))
+
+
+def dense(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "dense")
+
+
+def fine(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "fine")
+
+
+def long(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "long")
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """The dense panel as it might arrive: text numbers, unreadable and missing cells."""
     d = dense(spark, sf)
@@ -108,7 +138,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def long(spark: SparkSession, sf: str) -> DataFrame:
+def build_long(spark: SparkSession, sf: str) -> DataFrame:
     """One row per rep × customer × week × (suggestion, action, outcome) type."""
     keyed = lines(spark, sf).withColumns(
         {
@@ -162,6 +192,9 @@ def long(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select(*keys, channels, *rest).select(*keys, "m.*", *rest)
 
 
+BUILDERS = {"dense": build_dense, "fine": build_fine, "long": build_long}
+
+
 def path_a_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Path A grain: rep × customer × week, calls on the total-outcome rows."""
     d = long(spark, sf)
