@@ -197,7 +197,7 @@ def w7_customer_index(spark, sf):
 def _adstock_sql(source: str, keys: list[str], column: str, decay: float, steps: int) -> str:
     joined = " AND ".join(f"b.{k} = a.{k}" for k in keys)
     weight = f"POWER({decay}, (a.week_end_date - b.week_end_date) / 7)"
-    return f"""SELECT a.hcp_id, a.rep_id, CAST(a.week_end_date AS VARCHAR) AS week, ROUND(SUM({weight} * b.{column}), 6) AS {column}_adstock
+    return f"""SELECT a.hcp_id, a.rep_id, CAST(a.week_end_date AS VARCHAR) AS week, ROUND(SUM({weight} * b.{column}), 9) AS {column}_adstock
       FROM {source} a JOIN {source} b ON {joined} AND b.week_end_date BETWEEN a.week_end_date - {7 * steps} AND a.week_end_date
       GROUP BY 1, 2, 3"""
 
@@ -208,20 +208,20 @@ _ADSTOCK = {"suggestion_call": DEFAULT_ADSTOCK["suggestion_count"], "action_call
 @BOOK.add("w8_adstock", f"WITH {P.DENSE} {_adstock_sql('dense', ['hcp_id', 'rep_id'], 'action_call', 0.69, 4)}")
 def w8_adstock(spark, sf):
     out = adstock.add_adstock(P.dense(spark, sf), ["hcp_id", "rep_id"], _ADSTOCK, unique_grain=True)
-    return shaped(_week(out), "hcp_id rep_id week", doubles="action_call_adstock")
+    return shaped(_week(out), "hcp_id rep_id week", doubles="action_call_adstock", decimals=9)
 
 
 @BOOK.add("w8_adstock_customer", f"WITH {P.DENSE} {_adstock_sql('dense', ['hcp_id'], 'suggestion_call', 0.3, 4)}")
 def w8_adstock_customer(spark, sf):
     """Several reps share a customer's week: days are summed before they carry over."""
     out = adstock.add_adstock(P.dense(spark, sf), ["hcp_id"], _ADSTOCK)
-    return shaped(_week(out), "hcp_id rep_id week", doubles="suggestion_call_adstock")
+    return shaped(_week(out), "hcp_id rep_id week", doubles="suggestion_call_adstock", decimals=9)
 
 
 @BOOK.add("w8_adstock_fine", f"WITH {P.FINE} {_adstock_sql('fine', ['hcp_id', 'rep_id'], 'action_call', 0.69, 4)}")
 def w8_adstock_fine(spark, sf):
     out = adstock.add_adstock(P.fine(spark, sf), ["hcp_id", "rep_id"], _ADSTOCK, unique_grain=True)
-    return shaped(_week(out), "week", "hcp_id rep_id", "action_call_adstock")
+    return shaped(_week(out), "week", "hcp_id rep_id", "action_call_adstock", decimals=9)
 
 
 @BOOK.add(

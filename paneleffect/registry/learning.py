@@ -135,8 +135,8 @@ def _recipe_config(model_type: str, outcome: str = "trx", adstock: bool = True):
           SUM(POWER(0.3, (x.week_end_date - y.week_end_date) / 7) * y.suggestion_count) AS sa, SUM(POWER(0.3, (x.week_end_date - y.week_end_date) / 7) * y.other) AS oa,
           SUM(POWER(0.69, (x.week_end_date - y.week_end_date) / 7) * y.action_count) AS aa
         FROM p x JOIN p y ON x.rep_id = y.rep_id AND x.customer_id = y.customer_id AND y.week_end_date BETWEEN x.week_end_date - 28 AND x.week_end_date GROUP BY 1, 2, 3)
-      SELECT rep_id, customer_id, CAST(week_end_date AS VARCHAR) AS week, COALESCE(propensity_a, 0) AS propensity, ROUND(other, 6) AS percent_other_hcps_suggested, idx AS action_count_global_index,
-        ROUND(sa, 6) AS suggestion_count_adstock, ROUND(oa, 6) AS percent_other_hcps_suggested_adstock, ROUND(aa, 6) AS action_count_adstock
+      SELECT rep_id, customer_id, CAST(week_end_date AS VARCHAR) AS week, COALESCE(propensity_a, 0) AS propensity, ROUND(other, 9) AS percent_other_hcps_suggested, idx AS action_count_global_index,
+        ROUND(sa, 9) AS suggestion_count_adstock, ROUND(oa, 9) AS percent_other_hcps_suggested_adstock, ROUND(aa, 9) AS action_count_adstock
       FROM p JOIN c USING (rep_id, customer_id, week_end_date) WHERE week_end_date >= DATE '1994-01-02'""",
 )
 def m2_path_a_engineer(spark, sf):
@@ -147,7 +147,7 @@ def m2_path_a_engineer(spark, sf):
     out = recipes.prepare(P.long(spark, sf), cfg, scores, from_start_date=True).data
     out = _week(out).withColumn("propensity", F.col(cfg.propensity_column))
     doubles = "propensity percent_other_hcps_suggested suggestion_count_adstock percent_other_hcps_suggested_adstock action_count_adstock"
-    return shaped(out, "rep_id customer_id week", "action_count_global_index", doubles)
+    return shaped(out, "rep_id customer_id week", "action_count_global_index", doubles, decimals=9)
 
 
 @BOOK.add(
@@ -158,7 +158,7 @@ def m2_path_a_engineer(spark, sf):
           SUM(POWER(0.69, (x.week_end_date - y.week_end_date) / 7) * y.action_count) AS aa
         FROM b x JOIN b y ON x.customer_id = y.customer_id AND y.week_end_date BETWEEN x.week_end_date - 28 AND x.week_end_date GROUP BY 1, 2)
       SELECT customer_id, CAST(week_end_date AS VARCHAR) AS week, action_count, outcome_count, COALESCE(propensity_b, 0) AS propensity,
-        ROUND(sa, 6) AS suggestion_count_adstock, ROUND(aa, 6) AS action_count_adstock
+        ROUND(sa, 9) AS suggestion_count_adstock, ROUND(aa, 9) AS action_count_adstock
       FROM b JOIN c USING (customer_id, week_end_date) LEFT JOIN s USING (customer_id, week_end_date)""",
 )
 def m3_path_b_recipe(spark, sf):
@@ -168,7 +168,7 @@ def m3_path_b_recipe(spark, sf):
     )
     out = recipes.prepare(P.long(spark, sf), cfg, scores, overrides=OVERRIDES).data
     out = _week(out).withColumn("propensity", F.col(cfg.propensity_column))
-    return shaped(out, "customer_id week", doubles="action_count outcome_count propensity suggestion_count_adstock action_count_adstock")
+    return shaped(out, "customer_id week", doubles="action_count outcome_count propensity suggestion_count_adstock action_count_adstock", decimals=9)
 
 
 _REGRESSION = f"""{_MATRIX}, g AS (SELECT REGR_SLOPE(action_count, {_COUNT}) AS b, REGR_INTERCEPT(action_count, {_COUNT}) AS a,
