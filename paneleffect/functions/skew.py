@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 4_000_000
-BLOCK, CONTEXT = "_block", "_context"
+BLOCK, CONTEXT, SEQUENCE = "_block", "_context", "_sequence"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,14 +55,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def row_spread(df: DataFrame) -> Column:
+    """A number per row that is the same when a lost task runs again, yet differs between copies
+    of one row that lie in different input partitions."""
+    return F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns])
+
+
 def left_join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """LEFT join on the panel grain, ``right`` holding each key once.
 
     Rows with a null key match nothing, yet would all hash to one task; a salt that only they
-    carry spreads them.
+    carry spreads them. A repeated left key is split at run time by the adaptive skew join, which
+    applies here because the salt keeps the join's partitioning from being relied on later.
     """
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(any_null, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(4096)) + 1).otherwise(0)
+    salt = F.when(any_null, F.pmod(row_spread(left), F.lit(4096)) + 1).otherwise(0)
     return (
         left.withColumn("_salt", salt.cast("bigint"))
         .join(right.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], "left")
@@ -86,9 +93,10 @@ def attach_totals(
     slices = F.greatest(F.ceil(F.col(size) / rows), F.lit(1)).cast("int")
     heavy = totals.where(F.col(size) > rows).select(*keys, slices.alias("_slices"))
     sliced = totals.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce(F.col("_slices"), F.lit(1)))
-    marked = join_null_safe(df, F.broadcast(heavy), keys, "left").withColumn("_slice", spread.cast("int"))
-    return join_null_safe(marked, sliced, [*keys, "_slice"], "left").drop("_slice", "_slices")
+    spread = F.pmod(F.col("_spread"), F.coalesce(F.col("_slices"), F.lit(1)))
+    hashed = df.withColumn("_spread", row_spread(df))
+    marked = join_null_safe(hashed, F.broadcast(heavy), keys, "left").withColumn("_slice", spread.cast("int"))
+    return join_null_safe(marked, sliced, [*keys, "_slice"], "left").drop("_slice", "_slices", "_spread")
 
 
 def heavy_groups(df: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_TASK) -> DataFrame:
@@ -103,27 +111,33 @@ def lookback_blocks(
     lookback: int,
     rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add ``_block`` and ``_context`` so that windows which look back at most ``lookback`` rows
-    can partition by ``keys + _block`` and stay exact.
+    """Add ``_block``, ``_context`` and ``_sequence`` so that windows which look back at most
+    ``lookback`` rows stay exact when they partition by ``keys + _block`` and order by
+    ``order + _sequence``.
 
     Ordinary keys are one block. A key with more than ``rows`` rows is range-partitioned on its
-    full order; each block is preceded by copies of the last ``lookback`` rows of its key that lie
-    in earlier blocks, marked ``_context`` and to be dropped after the window.
+    full order, in which ``_sequence`` tells copies of one row apart; each block is preceded by
+    copies of the last ``lookback`` rows of its key that lie in earlier blocks, marked
+    ``_context`` and to be dropped after the window.
     """
     heavy = heavy_groups(df, keys, rows)
     blocks = heavy.agg(F.sum(F.ceil(F.col("_n") / rows)).alias("b")).first()["b"]
+    one_block = {BLOCK: F.lit(0), CONTEXT: F.lit(False), SEQUENCE: F.lit(0).cast("bigint")}
     if not blocks:
-        return df.withColumns({BLOCK: F.lit(0), CONTEXT: F.lit(False)})
+        return df.withColumns(one_block)
 
     heavy_keys = F.broadcast(heavy.select(*keys))
-    cold = join_null_safe(df, heavy_keys, keys, "left_anti").withColumns({BLOCK: F.lit(0), CONTEXT: F.lit(False)})
+    cold = join_null_safe(df, heavy_keys, keys, "left_anti").withColumns(one_block)
+    # Both the sequence and the range bounds must never be computed anew: store after each.
+    numbered = durable(join_null_safe(df, heavy_keys, keys, "left_semi")).withColumn(
+        SEQUENCE, F.monotonically_increasing_id()
+    )
+    full_order = [*order, SEQUENCE]
     hot = durable(
-        join_null_safe(df, heavy_keys, keys, "left_semi")
-        .repartitionByRange(int(blocks) + 1, *keys, *order)
-        .withColumn(BLOCK, F.spark_partition_id() + 1)
+        numbered.repartitionByRange(int(blocks) + 1, *keys, *full_order).withColumn(BLOCK, F.spark_partition_id() + 1)
     )
-    newest_first = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in order])
-    in_order = Window.partitionBy(*keys).orderBy(*order)
+    newest_first = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in full_order])
+    in_order = Window.partitionBy(*keys).orderBy(*full_order)
     tails = (
         hot.withColumn("_back", F.row_number().over(newest_first))
         .where(F.col("_back") <= lookback)
@@ -139,7 +153,3 @@ def lookback_blocks(
         cold.unionByName(hot.withColumn(CONTEXT, F.lit(False)))
         .unionByName(context.withColumn(CONTEXT, F.lit(True)))
     )
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -11,6 +11,7 @@ from paneleffect import config
 from paneleffect.config import AdstockSpec
 from paneleffect.functions import scalars as S
 from paneleffect.functions import skew
+from paneleffect.operators.grain import is_unique
 
 _DAY = "_day"
 
@@ -32,15 +33,16 @@ def add_adstock(
     keys: Sequence[str],
     specs: Mapping[str, AdstockSpec] = config.DEFAULT_ADSTOCK,
     time: str = config.WEEK,
-    unique_grain: bool = False,
+    unique_grain: bool | None = None,
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``<column>_adstock`` for every configured column that is present.
 
     Own definition: the lookback is by calendar, so gaps in a series do not shift it, and rows of
-    one key and day count together. Unless the caller knows (keys, day) to be unique, days are
-    summed first; a key then has at most one row per calendar day, whatever the number of its
-    rows, and the result is brought back to the rows.
+    one key and day count together. Where (keys, day) is unique a key has at most one row per
+    calendar day and one window over the rows does it. Otherwise days are summed first and the
+    result is brought back to the rows, so that a key with many rows per day stays small under
+    the window. ``unique_grain`` states which; None finds out with one aggregate over the keys.
     """
     present = {c: s for c, s in specs.items() if c in df.columns}
     if not present:
@@ -48,6 +50,8 @@ def add_adstock(
     by_day = Window.partitionBy(*keys).orderBy(_DAY)
     added = {f"{c}_adstock": _carried(c, s, by_day) for c, s in present.items()}
     dated = df.withColumn(_DAY, F.unix_date(F.to_date(S.name(time))))
+    if unique_grain is None:
+        unique_grain = is_unique(dated, [*keys, _DAY])
     if unique_grain:
         return dated.withColumns(added).drop(_DAY)
     daily = dated.groupBy(*keys, _DAY).agg(

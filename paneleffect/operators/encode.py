@@ -23,6 +23,18 @@ from paneleffect.operators.clean import numeric_null_to_zero
 from paneleffect.operators.roles import matching, prefer_adstock
 
 FEATURES = "features"
+# The values of an encoded text column are held by the driver and become positions of the model.
+MAX_CATEGORIES = 1_000_000
+
+
+def _check_categories(df: DataFrame, columns: Sequence[str], limit: int) -> None:
+    """Refuse a column with more values than a model can have positions, before they are gathered."""
+    if not columns:
+        return
+    row = df.agg(*[F.approx_count_distinct(S.name(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    for i, c in enumerate(columns):
+        if row[f"n{i}"] > limit:
+            raise ValueError(f"{c} has about {row[f'n{i}']} values; leave it out of the features or group its values.")
 
 
 def _is_text(df: DataFrame, column: str) -> bool:
@@ -85,7 +97,7 @@ def prepare_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return numeric_null_to_zero(df, features)
 
 
-def fit_encoder(df: DataFrame, features: Sequence[str]) -> PipelineModel:
+def fit_encoder(df: DataFrame, features: Sequence[str], max_categories: int = MAX_CATEGORIES) -> PipelineModel:
     """Index and one-hot encode text, put it before the numbers, scale by the deviation only.
 
     Missing or new text gets the all-zero vector; it keeps its row.
@@ -94,6 +106,7 @@ def fit_encoder(df: DataFrame, features: Sequence[str]) -> PipelineModel:
         raise ValueError("No feature columns found.")
     text = [c for c in features if _is_text(df, c)]
     numbers = [c for c in features if c not in text]
+    _check_categories(df, text, max_categories)
     stages = []
     if text:
         stages += [
@@ -135,9 +148,12 @@ def feature_labels(encoder: PipelineModel) -> list[str]:
     return labels + [c for c in assembled if not c.endswith("_vector")]
 
 
-def fit_wide_encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
+def fit_wide_encoder(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_categories: int = MAX_CATEGORIES
+) -> PipelineModel:
     """Vector of the wide panel: numbers as they are, then one-hot columns without their
     alphabetically first category. Category vectors stay sparse, however many values there are."""
+    _check_categories(df, categorical, max_categories)
     as_text = [f"{c}_text" for c in categorical]
     stages = []
     if categorical:

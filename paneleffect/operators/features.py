@@ -61,10 +61,10 @@ def add_history(
         ties = [_TIE]
     order = [roles.time, *ties]
     if rows_per_task is None:
-        blocks = df.withColumns({skew.BLOCK: F.lit(0), skew.CONTEXT: F.lit(False)})
+        blocks = df.withColumns({skew.BLOCK: F.lit(0), skew.CONTEXT: F.lit(False), skew.SEQUENCE: F.lit(0)})
     else:
         blocks = skew.lookback_blocks(df, keys, order, BASELINE_ROWS, rows_per_task)
-    w = Window.partitionBy(*keys, skew.BLOCK).orderBy(*order)
+    w = Window.partitionBy(*keys, skew.BLOCK).orderBy(*order, skew.SEQUENCE)
     added: dict[str, Column] = {}
     for column in ("suggestion_total", "action_total"):
         added[f"lag_{column}_1"] = F.coalesce(F.lag(column, 1).over(w), F.lit(0.0))
@@ -75,7 +75,7 @@ def add_history(
         added["baseline_trx_8w"] = F.coalesce(F.avg(before).over(w.rowsBetween(-BASELINE_ROWS, -1)), F.lit(0.0))
     else:
         added["baseline_trx_8w"] = F.lit(0.0)
-    return blocks.withColumns(added).where(~F.col(skew.CONTEXT)).drop(skew.BLOCK, skew.CONTEXT, _TIE)
+    return blocks.withColumns(added).where(~F.col(skew.CONTEXT)).drop(skew.BLOCK, skew.CONTEXT, skew.SEQUENCE, _TIE)
 
 
 def add_calendar(df: DataFrame, time: str) -> DataFrame:
@@ -89,19 +89,22 @@ def numeric_columns(df: DataFrame, leave_out: Sequence[str] = ()) -> list[str]:
 def add_z_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``z_<column>`` = (x − mean) / sample deviation, 0.0 where that is 0 or undefined.
 
-    Means and deviations of all columns come from one aggregate, one row that is broadcast back.
+    Means and deviations of all columns come from one aggregate; its single row enters the
+    projection as literals, so later readers of the frame do not compute it again.
     """
     names = list(columns if columns is not None else numeric_columns(df, FLAGS))
+    if not names:
+        return df
     stats = df.agg(
-        *[F.avg(S.name(c)).alias(f"_m{i}") for i, c in enumerate(names)],
-        *[F.stddev_samp(S.name(c)).alias(f"_s{i}") for i, c in enumerate(names)],
-    )
-    scores = {
-        f"z_{c}": S.safe_ratio(S.name(c) - F.col(f"_m{i}"), F.col(f"_s{i}")) for i, c in enumerate(names)
-    }
-    return df.crossJoin(F.broadcast(stats)).select(
-        *[S.name(c) for c in df.columns], *[v.alias(k) for k, v in scores.items()]
-    )
+        *[F.avg(S.name(c)).alias(f"m{i}") for i, c in enumerate(names)],
+        *[F.stddev_samp(S.name(c)).alias(f"s{i}") for i, c in enumerate(names)],
+    ).first()
+    scores = {}
+    for i, c in enumerate(names):
+        mean, deviation = stats[f"m{i}"], stats[f"s{i}"]
+        z = F.coalesce((S.name(c) - F.lit(mean)) / F.lit(deviation), F.lit(0.0)) if deviation else F.lit(0.0)
+        scores[f"z_{c}"] = z
+    return df.withColumns(scores)
 
 
 def one_hot_columns(df: DataFrame, columns: Sequence[str], limit: int = MAX_EXPLICIT_CATEGORIES) -> DataFrame:
@@ -132,15 +135,17 @@ def build_features(
     leak_safe: bool = False,
     tie_break: Sequence[str] = (),
     rows_per_task: int | None = skew.ROWS_PER_TASK,
+    store: bool = False,
 ) -> FeatureFrame:
-    """The wide feature chain.
+    """The wide feature chain. ``store`` keeps the windowed columns in a durable frame, for fits
+    that read the result many times.
 
     By default the features include current-period totals and z-scores of the outcomes;
     ``leak_safe`` leaves out everything computed from this row's action or outcome.
     """
     clean = safe_numeric(parse_time(df, roles.time, drop_unparseable=False), dict.fromkeys(roles.metrics))
     history = add_history(add_totals_and_flags(clean, roles), roles, tie_break, rows_per_task)
-    scored = add_z_scores(add_calendar(history, roles.time))
+    scored = add_z_scores(skew.durable_for_fitting(add_calendar(history, roles.time)) if store else add_calendar(history, roles.time))
     categorical = (roles.hcp, roles.rep, "month", "quarter")
     skip = {*roles.metrics, roles.time, *categorical}
     numeric = [c for c in numeric_columns(scored) if c not in skip]

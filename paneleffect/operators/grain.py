@@ -48,8 +48,16 @@ def dedupe_non_personal(df: DataFrame, suggestion_type: str, also_by: Sequence[s
     )
 
 
+def _repeated(df: DataFrame, keys: Sequence[str]) -> list:
+    return df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
+
+
+def is_unique(df: DataFrame, keys: Sequence[str]) -> bool:
+    return not _repeated(df, keys)
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    twice = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
+    twice = _repeated(df, keys)
     if twice:
         raise ValueError(f"More than one row for {dict(zip(keys, twice[0]))}.")
 

@@ -69,12 +69,13 @@ def prepare(
     rows = filter_triangle(df, model.suggestion_type, model.action_type, model.outcome_type)
     rows = filter_period(rows, config.WEEK, None, model.end_date)
     rows = roles.drop_excluded_covariates(rows, model.suggestion_type, model.action_type)
+    path_b = model.model_type.startswith("PathB")
+    # The model steps keep the grain or make it unique, so it is looked at on the plain rows.
+    unique = path_b or (bool(model.adstock_params) and grain.is_unique(rows, [*config.PATH_A_KEYS, *also_by]))
     rows = smelt(rows, model, scores, actual_spillover, also_by, overrides)
     if model.adstock_params:
-        path_b = model.model_type.startswith("PathB")
         keys = [config.CUSTOMER, *also_by] if path_b else [config.REP, config.CUSTOMER, *also_by]
-        # Collapsed rows have one row per customer and week by construction.
-        rows = adstock.add_adstock(rows, keys, model.adstock_params, unique_grain=path_b)
+        rows = adstock.add_adstock(rows, keys, model.adstock_params, unique_grain=unique)
     if encoder is None:
         # Selection, encoder and model fits each read the rows: compute them once.
         rows = durable_for_fitting(rows)

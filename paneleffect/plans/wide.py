@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from paneleffect import config
 from paneleffect.config import Roles
-from paneleffect.functions.skew import durable, durable_for_fitting
+from paneleffect.functions.skew import durable
 from paneleffect.operators import encode, features, models, rollups, scenario
 from paneleffect.operators.roles import detect_roles, outcome_columns, roles_dict
 from paneleffect.sources import sinks
@@ -50,6 +50,7 @@ def run(
     isolate_channel: str | None = None,
     leak_safe: bool = False,
     consistent: bool = False,
+    encode_ids: bool = True,
     roles: Roles | None = None,
     model_params: Mapping | None = None,
 ) -> WideRun:
@@ -57,12 +58,14 @@ def run(
 
     The channel lift is taken before the multiplier and isolation, and the channel rollup weights
     the isolated effect by the share again; ``consistent`` uses the final effect, unweighted by a
-    second share, for both.
+    second share, for both. ``encode_ids=False`` leaves the customer and rep out of the one-hot
+    features, for panels with more of them than a model can have positions.
     """
     roles = roles or detect_roles(df.columns)
-    frame = features.build_features(df, roles, leak_safe)
-    # Fits read the features many times: store them once, with the lineage cut.
-    base = durable_for_fitting(frame.data)
+    frame = features.build_features(df, roles, leak_safe, store=True)
+    if not encode_ids:
+        frame = replace(frame, categorical=tuple(c for c in frame.categorical if c not in (roles.hcp, roles.rep)))
+    base = frame.data
     encoder = encode.fit_wide_encoder(base, frame.numeric, frame.categorical)
     labels = wide_labels(encoder, frame)
     # The propensity model leaves out its own label from the features.

@@ -157,6 +157,12 @@ def test_wide_encoder_is_sparse_and_drops_the_first(spark):
     assert got == {"c": [0.5, 1.0, 0.0, 0.0, 0.0], "b": [1.5, 0.0, 1.0, 0.0, 1.0], "a": [2.5, 0.0, 0.0, 1.0, 0.0]}
 
 
+def test_too_many_categories_are_refused(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("k"))
+    with pytest.raises(ValueError, match="values"):
+        encode.fit_wide_encoder(df, [], ["k"], max_categories=50)
+
+
 def test_leak_safe_features(spark):
     df = wide_sample(spark)
     roles = detect_roles(df.columns)

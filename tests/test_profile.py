@@ -143,6 +143,13 @@ def test_constant_column_and_single_row(spark):
     assert profile.outliers(df, ["flat"], include_zscore=True).first()["z_count"] == 0
 
 
+def test_correlations_of_many_columns(spark):
+    df = spark.range(50).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.lit(1.0).alias("flat"))
+    key = lambda rows: {(r["a"], r["b"]): pytest.approx(r["correlation"]) for r in rows}
+    few = profile.correlations(df, ["a", "b", "flat"]).collect()
+    assert {(r["a"], r["b"]): r["correlation"] for r in profile.correlations(df, ["a", "b", "flat"], max_columns=2).collect()} == key(few)
+
+
 def test_trend_flags_an_odd_month(spark):
     rows = [(f"2024-{m:02d}", 10.0 + m % 2) for m in range(1, 13)] + [("2025-01", 500.0)]
     trend = profile.monthly_variable_trend(spark.createDataFrame(rows, "month string, v double"), "v")

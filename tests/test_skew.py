@@ -41,6 +41,20 @@ def test_history_in_blocks_equals_one_window(hot, limit):
     assert _rows(blocks, *HISTORY) == _rows(plain, *HISTORY)
 
 
+@pytest.mark.parametrize("limit", [11, 60])
+def test_copies_of_one_row_are_spread_too(spark, limit):
+    """A third of the rows are the same row; no column tells them apart."""
+    rows = [("H", "R", week(3), 1.0, 2.0, 3.0)] * 100 + [
+        ("H" if i % 2 else f"H{i}", "R", week(i % 7), float(i % 5), float(i % 3), float(i % 11)) for i in range(200)
+    ]
+    schema = "hcp_id string, rep_id string, week_end_date date, suggestion_total double, action_total double, trx double"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    every = ["hcp_id", "week_end_date", "suggestion_total", "action_total", "trx", *HISTORY]
+    plain = features.add_history(df, ROLES, rows_per_task=None).select(*every).collect()
+    blocks = features.add_history(df, ROLES, rows_per_task=limit).select(*every).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, plain))
+
+
 def test_hot_pair_is_cut_into_several_blocks(hot):
     blocks = skew.lookback_blocks(hot, ["hcp_id", "rep_id"], ["week_end_date", "id"], 8, 40)
     sizes = blocks.where("hcp_id = 'H0' and not _context").groupBy("_block").count()
@@ -86,6 +100,13 @@ def test_adstock_is_by_calendar_and_sums_days(hot, spark):
         assert out[r["id"]] == pytest.approx(want)
 
 
+def test_adstock_finds_out_whether_days_repeat(hot):
+    spec = {"action_total": AdstockSpec(0.5, 2)}
+    told = adstock.add_adstock(hot, ["hcp_id", "rep_id"], spec, unique_grain=False)
+    found = adstock.add_adstock(hot, ["hcp_id", "rep_id"], spec)
+    assert _rows(found, "action_total_adstock") == _rows(told, "action_total_adstock")
+
+
 def test_adstock_skips_a_missing_week_and_absent_columns(spark):
     rows = [("R", "C", week(0), 8.0), ("R", "C", week(2), 4.0), ("R", "C", week(9), 1.0)]
     df = spark.createDataFrame(rows, "rep_id string, customer_id string, week_end_date date, action_count double")
