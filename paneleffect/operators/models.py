@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneleffect import config
@@ -24,6 +26,7 @@ ESTIMATORS = {
 }
 # Shape of one arm of the effect learners.
 ARM_PARAMS = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
+PARALLEL_FITS = 4
 
 
 def fit_model(
@@ -159,6 +162,13 @@ class EffectFit:
     models: dict[str, PipelineModel]
 
 
+def side_by_side(spark: SparkSession, work: Callable, items: Sequence, parallelism: int = PARALLEL_FITS) -> list:
+    """Run independent fits at the same time. A boosted fit is a long row of short jobs, so one
+    alone leaves most of a cluster idle between them."""
+    with ThreadPoolExecutor(max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
 def fit_effects(
     df: DataFrame,
     outcomes: Mapping[str, str],
@@ -166,6 +176,7 @@ def fit_effects(
     features: str = FEATURES,
     seed: int = config.ACTION_ARM_SEED,
     params: Mapping | None = None,
+    parallelism: int = PARALLEL_FITS,
 ) -> EffectFit:
     """T-learner: one boosted model per arm and outcome; effect = max(0, treated − control).
 
@@ -178,14 +189,20 @@ def fit_effects(
         constants = {outcomes[c]: F.lit(arm_mean_effect(facts, i)) for i, c in enumerate(columns)}
         return EffectFit(df.withColumns(constants), {})
     treated = F.coalesce(F.col(treatment) == 1, F.lit(False))
-    out, models = df, {}
+    arms = {"treated": df.where(treated), "control": df.where(~treated)}
+
+    def fit(task: tuple[str, str]) -> PipelineModel:
+        c, arm = task
+        estimator = GBTRegressor(
+            featuresCol=features, labelCol=c, predictionCol=f"_{arm}", seed=seed, **{**ARM_PARAMS, **(params or {})}
+        )
+        return Pipeline(stages=[estimator]).fit(arms[arm].select(features, S.name(c).cast("double").alias(c)))
+
+    tasks = [(c, arm) for c in columns for arm in arms]
+    fitted = dict(zip(tasks, side_by_side(df.sparkSession, fit, tasks, parallelism)))
+    out = df
     for c in columns:
-        for arm, rows in (("treated", df.where(treated)), ("control", df.where(~treated))):
-            estimator = GBTRegressor(
-                featuresCol=features, labelCol=c, predictionCol=f"_{arm}", seed=seed, **{**ARM_PARAMS, **(params or {})}
-            )
-            model = Pipeline(stages=[estimator]).fit(rows.select(features, S.name(c).cast("double").alias(c)))
-            models[f"{c}_{arm}"] = model
-            out = model.transform(out)
+        for arm in arms:
+            out = fitted[(c, arm)].transform(out)
         out = out.withColumn(outcomes[c], S.clip_negative(F.col("_treated") - F.col("_control"))).drop("_treated", "_control")
-    return EffectFit(out, models)
+    return EffectFit(out, {f"{c}_{arm}": m for (c, arm), m in fitted.items()})

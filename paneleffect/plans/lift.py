@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -122,10 +123,11 @@ def run_path_b(
     serves every theme.
     """
     propensity, effect = {}, {}
-    factual, counterfactual, theme_factual = [], [], []
+    factual, counterfactual, theme_factual = {}, {}, {}
     suggestion = effect_config.suggestion_type
     themes = path_a.theme_factual is not None
-    for outcome in outcome_types:
+
+    def one(outcome: str) -> None:
         cfg = replace(effect_config, outcome_type=outcome)
         first = replace(cfg, model_type="PathB_PropensityModel", adstock_params=None)
         propensity[outcome] = _fit(prepare(df, first, overrides=overrides), first, kind, params)
@@ -140,23 +142,22 @@ def run_path_b(
         keys = [*config.PATH_B_KEYS, "outcome_type"]
         rows = grain.dedupe_non_personal(df, suggestion)
         predicted = scenario.substitute_actions(rows, path_a.factual, "predicted_action_count")
-        factual.append(scenario.factual_outcomes(scored(predicted), column, keys))
+        factual[outcome] = scenario.factual_outcomes(scored(predicted), column, keys)
 
         zero = grain.dedupe_non_personal(scenario.zero_suggestions(df), suggestion)
         without = scenario.substitute_actions(zero, path_a.counterfactual, "counterfactual_action_count")
-        counterfactual.append(scenario.counterfactual_outcomes(scored(without), keys))
+        counterfactual[outcome] = scenario.counterfactual_outcomes(scored(without), keys)
 
         if themes:
             names = roles.theme_columns(df.columns, suggestion)
             long = scenario.unpivot_themes(rows, names)
             swapped = scenario.substitute_actions(long, path_a.theme_factual, "predicted_action_count", ["theme"])
-            theme_factual.append(scenario.factual_outcomes(scored(swapped, ["theme"]), column, [*keys, "theme"]))
+            theme_factual[outcome] = scenario.factual_outcomes(scored(swapped, ["theme"]), column, [*keys, "theme"])
+
+    models.side_by_side(df.sparkSession, one, list(outcome_types))
 
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return durable(out)
+    def union(frames: dict[str, DataFrame]) -> DataFrame:
+        return durable(reduce(DataFrame.unionByName, [frames[o] for o in outcome_types]))
 
     fact, counter = union(factual), union(counterfactual)
     theme_fact = union(theme_factual) if themes else None
