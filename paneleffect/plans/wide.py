@@ -39,8 +39,9 @@ class WideRun:
 def wide_labels(encoder: PipelineModel, frame: features.FeatureFrame) -> list[str]:
     """Names of the vector's positions, in order."""
     names = list(frame.numeric)
+    padded = set(features.numeric_columns(frame.data))
     for c, values in zip(frame.categorical, encoder.stages[0].labelsArray if frame.categorical else []):
-        names += [f"{c}_{v.lstrip('0') if c in ('month', 'quarter') else v}" for v in values[:-1]]
+        names += [f"{c}_{(v.lstrip('0') or '0') if c in padded else v}" for v in values[:-1]]
     return names
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from paneleffect import config
 from paneleffect.config import AdstockSpec, ModelConfig
-from paneleffect.operators import rollups
+from paneleffect.operators import encode, features, rollups
+from paneleffect.operators.roles import detect_roles
 from paneleffect.plans import lift, recipes, wide
 from paneleffect.registry import panels as P
 from paneleffect.sources import sinks, tables
@@ -39,6 +40,18 @@ def test_channel_rollup_adds_up(spark, sample_run):
     assert monthly == pytest.approx(12.0)
 
 
+def test_numeric_ids_are_named_without_padding_or_left_out(spark):
+    df = wide_sample(spark).withColumns({c: F.substring(c, 2, 1).cast("int") for c in ("hcp_id", "rep_id")})
+    frame = features.build_features(df, detect_roles(df.columns))
+    encoder = encode.fit_wide_encoder(frame.data, frame.numeric, frame.categorical)
+    labels = wide.wide_labels(encoder, frame)
+    assert {"hcp_id_4", "rep_id_1", "month_5", "quarter_2", "z_hcp_id"} <= set(labels) and "hcp_id_0" not in labels
+    encoded = encode.encode_wide(frame.data, encoder, frame.categorical)
+    assert len(labels) == encoded.first()[encode.FEATURES].size
+    run = wide.run(wide_sample(spark), encode_ids=False, model_params=FEW)
+    assert not [c for c in run.feature_columns if c.startswith(("hcp_id", "rep_id"))]
+
+
 def test_scenario_and_isolation(spark):
     run = wide.run(wide_sample(spark), scenario_multiplier=2.0, isolate_channel="action_email", model_params=FEW)
     total = run.overall.where("measure = 'incremental_actions'").first()["total"]
