@@ -19,20 +19,27 @@ from paneleffect.functions import scalars as S
 
 DISTINCT_PER_TASK = 1_000_000
 SKETCH_ACCURACY = 10_000
+MARGIN = 2.0 / SKETCH_ACCURACY
 
 
 @dataclass
 class _Bracket:
-    """Where the value of one rank lies: ``inside`` rows in [low, high], ``below`` rows under low."""
+    """Where the value of one rank lies: ``inside`` rows strictly between low and high (None is
+    open-ended), ``below`` rows under those."""
 
     rank: int
-    low: float
-    high: float
+    low: float | None
+    high: float | None
     below: int
     inside: int
 
     def holds(self, c: Column) -> Column:
-        return (c >= F.lit(self.low)) & (c <= F.lit(self.high))
+        out = c.isNotNull()
+        if self.low is not None:
+            out = out & (c > F.lit(self.low))
+        if self.high is not None:
+            out = out & (c < F.lit(self.high))
+        return out
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
@@ -81,59 +88,69 @@ def _narrowed(values: DataFrame, stats: dict, probabilities: Sequence[float], li
     n = stats["count"]
     positions = [p * (n - 1) for p in probabilities]
     ranks = sorted({r for x in positions for r in (floor(x), ceil(x))})
-    brackets = [_Bracket(r, stats["min"], stats["max"], 0, n) for r in ranks]
+    open_ones = [_Bracket(r, None, None, 0, n) for r in ranks]
     found: dict[int, float] = {}
-    margin = 2.0 / SKETCH_ACCURACY
-    while brackets:
-        brackets = _narrow(values, brackets, margin)
+    while open_ones:
+        brackets = _narrow(values, open_ones, found)
         open_ones = []
+        if not brackets:
+            break
         sizes = values.agg(
             *[F.approx_count_distinct(F.when(b.holds(F.col("v")), F.col("v"))).alias(f"d{i}") for i, b in enumerate(brackets)]
         ).first()
         for i, b in enumerate(brackets):
-            if b.low == b.high:
-                found[b.rank] = b.low
-            elif sizes[f"d{i}"] <= limit:
+            if sizes[f"d{i}"] <= limit:
                 found[b.rank] = _pick(values, b)
             else:
                 open_ones.append(b)
-        brackets = open_ones
     return [found[floor(x)] + (found[ceil(x)] - found[floor(x)]) * (x - floor(x)) for x in positions]
 
 
-def _narrow(values: DataFrame, brackets: list[_Bracket], margin: float) -> list[_Bracket]:
+def _narrow(values: DataFrame, brackets: list[_Bracket], found: dict[int, float]) -> list[_Bracket]:
+    """One step for all brackets: two sketched edges around each rank, then exact counts.
+
+    A rank that falls on an edge value is found. Otherwise the edge values, however often they
+    occur, are left out of the next bracket, so every step makes it smaller.
+    """
     v = F.col("v")
     sketches = []
     for i, b in enumerate(brackets):
         at = (b.rank - b.below) / max(b.inside - 1, 1)
-        edges = F.array(F.lit(max(at - margin, 0.0)), F.lit(min(at + margin, 1.0)))
-        sketches.append(F.percentile_approx(F.when(b.holds(v), v), edges, SKETCH_ACCURACY).alias(f"e{i}"))
+        around = F.array(F.lit(max(at - MARGIN, 0.0)), F.lit(min(at + MARGIN, 1.0)))
+        sketches.append(F.percentile_approx(F.when(b.holds(v), v), around, SKETCH_ACCURACY).alias(f"e{i}"))
     edges = values.agg(*sketches).first()
-    counts = values.agg(
-        *[F.count_if(v < F.lit(edges[f"e{i}"][0])).alias(f"b{i}") for i in range(len(brackets))],
-        *[
-            F.count_if((v >= F.lit(edges[f"e{i}"][0])) & (v <= F.lit(edges[f"e{i}"][1]))).alias(f"n{i}")
-            for i in range(len(brackets))
-        ],
-    ).first()
+    counters = []
+    for i, b in enumerate(brackets):
+        low, high = (F.lit(e) for e in edges[f"e{i}"])
+        counters += [
+            F.count_if(b.holds(v) & (v < low)).alias(f"under{i}"),
+            F.count_if(v == low).alias(f"low{i}"),
+            F.count_if((v > low) & (v < high)).alias(f"between{i}"),
+            F.count_if(v == high).alias(f"high{i}"),
+        ]
+    counts = values.agg(*counters).first()
     out = []
     for i, b in enumerate(brackets):
         low, high = edges[f"e{i}"]
-        below, inside = counts[f"b{i}"], counts[f"n{i}"]
-        # The sketch may miss by more than the margin: keep the side that surely holds the rank.
-        if b.rank < below:
-            out.append(_Bracket(b.rank, b.low, low, b.below, below - b.below + _at(values, low)))
-        elif b.rank >= below + inside:
-            out.append(_Bracket(b.rank, high, b.high, below + inside - _at(values, high), b.inside + b.below - below - inside + _at(values, high)))
-        else:
-            out.append(_Bracket(b.rank, low, high, below, inside))
+        parts = [
+            (counts[f"under{i}"], b.low, low),
+            (counts[f"low{i}"], low, None),
+            (counts[f"between{i}"], low, high),
+            (counts[f"high{i}"] if high > low else 0, high, None),
+        ]
+        parts.append((b.inside - sum(p[0] for p in parts), high, b.high))
+        below = b.below
+        for k, (rows, start, stop) in enumerate(parts):
+            if b.rank < below + rows:
+                if k in (1, 3):
+                    found[b.rank] = start
+                else:
+                    out.append(_Bracket(b.rank, start, stop, below, rows))
+                break
+            below += rows
     return out
 
 
-def _at(values: DataFrame, value: float) -> int:
-    return values.where(F.col("v") == F.lit(value)).count()
-
-
 def _pick(values: DataFrame, b: _Bracket) -> float:
     """The value of the rank, from the few distinct values left in the bracket."""
     counted = values.where(b.holds(F.col("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from fixtures import wide_sample
 from pyspark.sql import functions as F
 
 from paneleffect.functions import scalars as S
-from paneleffect.operators import checks, clean, profile
+from paneleffect.operators import checks, clean, profile, quantiles
 from paneleffect.operators.quantiles import exact_quantiles
 from paneleffect.operators.roles import detect_roles, outcome_columns, theme_columns
 
@@ -134,6 +134,18 @@ def test_quantiles_agree_with_numpy(spark, limit):
         assert got[column] == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
 
 
+def test_narrowing_gets_past_a_value_that_fills_its_edge(spark, monkeypatch):
+    """With a coarse sketch and a value on a third of the rows every step must still progress."""
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 10)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.2)
+    rng = np.random.default_rng(9)
+    values = np.concatenate([np.zeros(500), rng.gamma(1.0, 9.0, size=1000)])
+    df = spark.createDataFrame([(float(x),) for x in rng.permutation(values)], "v double").repartition(8)
+    levels = (0.335, 0.5)
+    got = exact_quantiles(df, ["v"], levels, distinct_per_task=60)["v"]
+    assert got == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
+
+
 def test_constant_column_and_single_row(spark):
     df = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "flat double, v double")
     r = {(x["a"], x["b"]): x["correlation"] for x in profile.correlations(df, ["flat", "v"]).collect()}
