@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneleffect.llm import langid, linededup
+from paneleffect.llm import decontam, langid, linededup, packing, sharding
 from paneleffect.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op3_language_id)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op10_decontamination)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL}
