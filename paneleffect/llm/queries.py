@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneleffect.llm import decontam, langid, linededup, packing, sharding
+from paneleffect.llm import decontam, langid, licences, linededup, packing, sharding
 from paneleffect.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op10_decontamination)
+_ALL = (op1_licence_scan, op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op10_decontamination)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL}
+SQL: dict[str, str] = {"op1_licence_scan": licences.sql(), "op2_line_dedup": linededup.SQL}
