@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneleffect.llm import decontam, jaccard, langid, licences, linededup, neighbours, packing, repeats, sharding
+from paneleffect.llm import decontam, jaccard, langid, licences, linededup, neighbours, packing, repeats, sharding, toxicity
 from paneleffect.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.classes(read(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_licence_scan, op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op6_ngram_jaccard, op7_embedding_neighbours, op9_substring_dedup, op10_decontamination)
+_ALL = (op1_licence_scan, op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op6_ngram_jaccard, op7_embedding_neighbours, op8_toxicity, op9_substring_dedup, op10_decontamination)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op1_licence_scan": licences.sql(), "op2_line_dedup": linededup.SQL, "op9_substring_dedup": repeats.SQL}
