@@ -7,20 +7,21 @@ is what can be reached by links.
 The work:
 
 1. *Sketches.* One pass over the texts gives each document its set size, a 128-bit sum of the set
-   (equal sets become one representative), a few minima of its hashes, and a hashed bitmap: bit h is
-   the parity of the shingles that hash to it. The bitmap's width grows with the set's size band, so
-   it is never saturated, and a wide one folds to a narrow one. The same pass counts shingles by
-   hash bucket over all documents.
+   (equal sets become one representative), a few minima of its hashes, a hashed bitmap (bit h is the
+   parity of the shingles that hash to it; its width grows with the size, so it is never saturated,
+   and a wide one folds to a narrow one), and its smallest hashes, the prefix.
 2. *Stars.* Representatives with an equal minimum are compared with the smallest id among them only.
    The links found so, verified, join large groups of near copies without pairing their members.
-3. *Tiles.* Ordered by bucket count (rare first, any order is exact), two linked documents share a
-   shingle among the first ``n - ceil(0.75 n) + 1`` of each. Documents with such a shingle in common
-   and of the same or the next size band form a tile. Only pairs that are not yet in one component
-   are compared: the number of bits in which two bitmaps differ bounds the overlap from above.
-   Tiles with many rows are cut into blocks, each pair of blocks a task's work.
-4. Pairs that pass are verified by intersecting the two sorted arrays of hashes. Of each two
-   components of a tile the most promising pair goes first, then, with the components joined by
-   those, every pair that is left.
+3. *Tiles.* In the order of the hashes, two linked sets have their first ``l`` common shingles among the
+   first ``n - ceil(0.75 n) + l`` of each; ``l`` is a twentieth of the size. Shingles in one prefix only
+   are dropped, then documents with fewer prefix shingles left than any link would leave them, such
+   as those that only share a passage. The others with a shingle in common and of the same or the next
+   size band form a tile. Only pairs not yet in one component are compared: the number of bits in
+   which two bitmaps differ bounds the overlap from above. Tiles with many rows are cut into
+   blocks, each pair of blocks a task's work.
+4. Pairs that pass are verified by intersecting the two sorted arrays of hashes. Where many pairs of the
+   same two components pass in a tile, the most promising go first; such tiles are compared again,
+   whole, once the links found have joined components.
 
 The result is that of comparing all pairs, up to 64-bit hash collisions of shingles.
 
@@ -37,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +50,11 @@ from paneleffect.llm.components import components
 class Settings:
     words: int = 5
     percent: int = 75
-    bucket_bits: int = 18
     minima: int = 4
     bits_per_shingle: int = 2
     least_bits: int = 128
     block_rows: int = 2048
-    fan_in: int = 16
+    first_pairs: int = 4
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -96,59 +97,40 @@ def _squeezed(bits: np.ndarray) -> np.ndarray:
     return x[..., 0::2] | (x[..., 1::2] << np.uint64(32))
 
 
+def _sure(n: int) -> int:
+    """How many shared prefix shingles are asked of a link whose smaller set has n."""
+    return max(1, n // 20)
+
+
 def _sketch(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n, f1, f2, minima, bitmap per document; one row more per task with its bucket counts."""
+    """doc_id, n, f1, f2, minima, bitmap and prefix of every document."""
     minima = [f"m{k}" for k in range(s.minima)]
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *[(m, pa.int64()) for m in minima], ("bits", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *[(m, pa.int64()) for m in minima], ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
     odd = (np.arange(s.minima, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << s.bucket_bits, dtype=np.uint32)
         for batch in batches:
             for part, data, offsets in common.slices(batch, "text"):
                 rows = []
-                every = []
                 for own in sets(data, offsets, s.words):
                     n = len(own)
                     if n:
-                        every.append(own)
                         least = [int((own * m).min().view(np.int64)) for m in odd]
                         sums = int(own.sum().view(np.int64)), int(common.mixed(own).sum().view(np.int64))
-                        rows.append((n, *sums, *least, bitmap(own, width(n, s)).tobytes()))
+                        take = min(n, n + _needed_share(n, s) + _sure(n))
+                        rows.append((n, *sums, *least, bitmap(own, width(n, s)).tobytes(), own[:take].view(np.int64)))
                     else:
-                        rows.append((0, 0, 0, *[0] * s.minima, None))
-                if every:
-                    bucket = np.concatenate(every) & np.uint64((1 << s.bucket_bits) - 1)
-                    counts += np.bincount(bucket.astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                columns = list(zip(*rows))
-                named = dict(zip(["n", "f1", "f2", *minima, "bits"], columns))
-                yield common.records(schema, doc_id=part.column(0), counts=[None] * len(rows), **named)
-        nothing = {name: [None] for name in schema.names}
-        yield common.records(schema, **{**nothing, "counts": [counts.tobytes()]})
+                        rows.append((0, 0, 0, *[0] * s.minima, None, None))
+                named = dict(zip(["n", "f1", "f2", *minima, "bits", "prefix"], zip(*rows)))
+                yield common.records(schema, doc_id=part.column(0), **named)
 
     fields = ", ".join(f"{m} long" for m in minima)
-    return docs.mapInArrow(scan, f"doc_id long, n long, f1 long, f2 long, {fields}, bits binary, counts binary")
-
+    return docs.mapInArrow(scan, f"doc_id long, n long, f1 long, f2 long, {fields}, bits binary, prefix array<long>")
 
-def _summed(counts: DataFrame, s: Settings) -> np.ndarray:
-    """The tasks' bucket counts added up, ``fan_in`` to one at a time; the result has a fixed size."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << s.bucket_bits, dtype=np.uint32)
-        for batch in batches:
-            for one in batch.column(0):
-                new = total + np.frombuffer(one.as_buffer(), dtype=np.uint32)
-                total = np.where(new < total, np.uint32(0xFFFFFFFF), new)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    n = counts.count()
-    while n > s.fan_in:
-        n = -(-n // s.fan_in)
-        counts = common.stage(counts.repartition(n).mapInArrow(add, "counts binary"), "bucket-counts")
-    total = np.zeros(1 << s.bucket_bits, dtype=np.uint64)
-    for row in counts.collect():
-        total += np.frombuffer(row["counts"], dtype=np.uint32)
-    return np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+def _needed_share(n: int, s: Settings) -> int:
+    """Less the overlap that a link needs of a set of n, whatever the other's size."""
+    return -(s.percent * n) // 100
 
 
 def _arrays(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
@@ -187,73 +169,91 @@ def _needed_overlap(x, y, s: Settings):
     return -(-s.percent * (x + y) // (100 + s.percent))
 
 
-def _compared(rows: DataFrame, key: list[str], s: Settings, best: bool) -> DataFrame:
-    """Pairs (a, b) of each tile whose bitmaps allow a link and whose components differ.
-
-    ``rows``: the key, doc_id, n, comp, bits, side (0, 1: pairs within 0 and between 0 and 1).
+def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows whose components differ and whose bitmaps allow a link, with the bound's share."""
+    words = min(map(len, bits)) // 8
+    flat = np.stack([folded(np.frombuffer(b, np.uint64), words) for b in bits])
+    found = ([], [], [])
+    rows = np.arange(len(n))
+    step = max(1, (1 << 19) // len(n))
+    for first in range(0, len(n), step):
+        i = rows[first : first + step, None]
+        ok = (comp[i] != comp) & (i < rows) & ((side[i] == 0) | (side == 0))
+        ok &= 100 * np.minimum(n[i], n) >= s.percent * np.maximum(n[i], n)
+        x, y = np.nonzero(ok)
+        x = x + first
+        for k in range(0, len(x), max(1, (1 << 20) // words)):
+            p, q = x[k : k + max(1, (1 << 20) // words)], y[k : k + max(1, (1 << 20) // words)]
+            differ = np.bitwise_count(flat[p] ^ flat[q]).sum(axis=1, dtype=np.int64)
+            most = (n[p] + n[q] - differ) // 2
+            good = most >= _needed_overlap(n[p], n[q], s)
+            for column, value in zip(found, (p[good], q[good], most[good] / (n[p] + n[q])[good])):
+                column.append(value)
+    if not found[0]:
+        return rows[:0], rows[:0], rows[:0].astype(float)
+    return tuple(map(np.concatenate, found))
+
+
+_KEY = ["key", "band", "low", "high"]
+
+
+def _compared(rows: DataFrame, s: Settings, whole: bool) -> DataFrame:
+    """Pairs (a, b) that pass in a tile, and, with null a, the tiles of which not all are returned: at
+    most ``first_pairs`` of each two components unless ``whole``.
+
+    ``rows``: the tile's key, doc_id, n, comp, bits, side (pairs of two rows of side 1 belong to the
+    band below).
     """
-    names = [*key, "doc_id", "n", "comp", "bits", "side"]
-    dealt = rows.select(*names).repartition(*key).sortWithinPartitions(*key)
-
-    def pairs_of(doc, n, comp, bits, side) -> Iterator[tuple[int, int]]:
-        words = min(len(b) for b in bits) // 8
-        flat = np.stack([folded(np.frombuffer(b, np.uint64), words) for b in bits])
-        found_a, found_b, found_o = [], [], []
-        for i in np.flatnonzero(side == 0):
-            other = np.flatnonzero((comp != comp[i]) & ((side == 1) | (np.arange(len(doc)) > i)))
-            small, large = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-            other = other[100 * small >= s.percent * large]
-            if not len(other):
+    dealt = rows.select(*_KEY, "doc_id", "n", "comp", "side", "bits").repartition(*_KEY).sortWithinPartitions(*_KEY)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("band", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        key, band, low, high, doc, n, comp, side = (table.column(k).combine_chunks().to_numpy() for k in range(8))
+        bits = table.column(8).to_pylist()
+        tile = np.stack([key, band, low, high])
+        cuts = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1
+        pairs, unfinished = set(), []
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)]):
+            own = slice(first, last)
+            if last - first < 2 or (comp[own] == comp[first]).all():
                 continue
-            differ = np.bitwise_count(flat[other] ^ flat[i]).sum(axis=1, dtype=np.int64)
-            most = (n[other] + n[i] - differ) // 2
-            ok = most >= _needed_overlap(n[other], n[i], s)
-            found_a.append(np.full(ok.sum(), i))
-            found_b.append(other[ok])
-            found_o.append((most[ok] + 1) / (n[other][ok] + n[i]))
-        if not found_a:
-            return
-        a, b, o = map(np.concatenate, (found_a, found_b, found_o))
-        if best and len(a):
-            low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-            order = np.lexsort((-o, high, low))
-            first = np.ones(len(order), bool)
-            first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-            a, b = a[order[first]], b[order[first]]
-        yield from zip(np.minimum(doc[a], doc[b]).tolist(), np.maximum(doc[a], doc[b]).tolist())
+            p, q, share = _passing(n[own], comp[own], bits[own], side[own], s)
+            if not whole and len(p) > s.first_pairs:
+                x, y = comp[own][p], comp[own][q]
+                order = np.lexsort((-share, np.maximum(x, y), np.minimum(x, y)))
+                x, y = np.minimum(x, y)[order], np.maximum(x, y)[order]
+                head = np.ones(len(order), dtype=bool)
+                head[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+                kept = order[rank < s.first_pairs]
+                if len(kept) < len(order):
+                    unfinished.append(first)
+                p, q = p[kept], q[kept]
+            x, y = doc[own][p], doc[own][q]
+            pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        a, b = zip(*pairs) if pairs else ((), ())
+        none = [None] * len(unfinished)
+        return common.records(schema, a=[*a, *none], b=[*b, *none], **{c: [*[None] * len(a), *v[unfinished].tolist()] for c, v in zip(_KEY, tile)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def ready(table: pa.Table) -> pa.RecordBatch:
-            columns = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(len(key))]
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if len(table) > 1 else np.zeros(0, int)
-            doc, n, comp = (table.column(len(key) + k).combine_chunks().to_numpy() for k in (0, 1, 2))
-            bits, side = table.column(len(key) + 3).to_pylist(), table.column(len(key) + 4).combine_chunks().to_numpy()
-            pairs = set()
-            for first, last in zip([0, *cuts], [*cuts, len(table)]):
-                if last - first > 1 and len(np.unique(comp[first:last])) > 1:
-                    pairs.update(pairs_of(doc[first:last], n[first:last], comp[first:last], bits[first:last], side[first:last]))
-            a, b = zip(*pairs) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
         for batch in batches:  # a tile may go on in the next batch: hold its rows back
             if not len(batch):
                 continue
             table = pa.Table.from_batches([*held, batch])
-            last = [table.column(k)[len(table) - 1].as_py() for k in range(len(key))]
-            same = np.all([table.column(k).combine_chunks().to_numpy(zero_copy_only=False) == v for k, v in enumerate(last)], axis=0)
-            begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            columns = [table.column(k).combine_chunks().to_numpy() for k in range(4)]
+            other = np.any([c != c[-1] for c in columns], axis=0)
+            begin = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if begin:
-                yield ready(table.slice(0, begin))
+                yield judge(table.slice(0, begin))
             held = table.slice(begin).to_batches()
         if held:
-            yield ready(pa.Table.from_batches(held))
+            yield judge(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return common.stage(dealt.mapInArrow(compare, "a long, b long, key long, band int, low int, high int"), "candidates")
 
 
-def _tile_rows(tiles: DataFrame, reps: DataFrame, comps: DataFrame, s: Settings) -> DataFrame:
+def _tile_rows(tiles: DataFrame, reps: DataFrame, comps: DataFrame, s: Settings, only: DataFrame | None = None) -> DataFrame:
     """Rows of the tiles that hold more than one component, large tiles cut into pairs of blocks."""
     comp = F.coalesce("component", F.col("doc_id")).alias("comp")
     rows = tiles.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "side", comp)
@@ -266,18 +266,19 @@ def _tile_rows(tiles: DataFrame, reps: DataFrame, comps: DataFrame, s: Settings)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cut = rows.select("key", "band", "doc_id", "side", "comp", block.alias("block"), other)
     cut = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    cut = cut if only is None else cut.join(only, _KEY, "left_semi")
     return cut.join(reps.select("doc_id", "n", "bits"), "doc_id").drop("block", "other")
 
 
 def links(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches, doc_id to representative, components of the representatives)."""
     sketched = common.stage(_sketch(docs, s), "sketches")
-    frequency = _summed(sketched.where(F.col("counts").isNotNull()).select("counts"), s)
-    rows = sketched.where("n > 0 and doc_id is not null").drop("counts")
+    rows = sketched.where("n > 0 and doc_id is not null")
     same = rows.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     mapped = common.stage(rows.select("doc_id", "f1", "f2", "n").join(same, ["f1", "f2", "n"]).select("doc_id", "rep"), "representatives")
     chosen = mapped.select(F.col("rep").alias("doc_id")).distinct()
-    reps = common.stage(rows.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"]), "distinct-sets")
+    reps = rows.drop("prefix").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"])
+    reps = common.stage(reps, "distinct-sets")
 
     stars = None
     for k in range(s.minima):
@@ -286,48 +287,73 @@ def links(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
         stars = pair if stars is None else stars.unionByName(pair)
     sized = stars.distinct().join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a")
     sized = sized.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * s.percent)).select("a", "b").distinct()
-    starred = _verified(docs, sized, s)
-    comps = common.stage(components(starred), "components")
-
-    tiles = common.stage(_tiles(docs, reps, frequency, s), "tiles")
-    found = starred
-    for best in (True, False):
-        rows = _tile_rows(tiles, reps, comps, s)
-        pairs = _compared(rows, ["key", "band", "low", "high"], s, best)
-        new = _verified(docs, pairs, s)
-        found = found.unionByName(new)
+    found = _verified(docs, sized, s)
+    comps = common.stage(components(found), "components")
+
+    tiles = _tiles(rows.select("doc_id", "n", "prefix").join(chosen, "doc_id", "left_semi"), s)
+    only = None
+    for whole in (False, True):
+        candidates = _compared(_tile_rows(tiles, reps, comps, s, only), s, whole)
+        found = found.unionByName(_verified(docs, candidates.where("a is not null").select("a", "b").distinct(), s))
         comps = common.stage(components(found), "components")
+        only = candidates.where("a is null").select(*_KEY)
+        if only.isEmpty():
+            break
     return sketched, mapped, comps
 
 
-def _tiles(docs: DataFrame, reps: DataFrame, frequency: np.ndarray, s: Settings) -> DataFrame:
-    """key, band, doc_id, side: prefix shingles that two representatives share at least, in tiles by
-    size band; side 1 are the rows of the band below."""
-    ratio = np.log(100 / s.percent)
-    mask = np.uint64((1 << s.bucket_bits) - 1)
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size_band", pa.int32())])
+_KNOWN, _ASKED, _TOLD = 1, 2, 3
+_PREFIX = pa.schema([("kind", pa.int8()), ("spread", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+_PREFIX_SQL = "kind byte, spread long, key long, doc_id long, n long"
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """key, doc_id, n of the prefix shingles that more than one document has in its prefix.
+
+    A shingle that a batch has more than once is known to be shared there; one row tells the other
+    batches, so a shingle of very many documents is gathered once per batch.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "text"):
-                keys, size, band = [], [], []
-                for own in sets(data, offsets, s.words):
-                    n = len(own)
-                    take = n - -(-s.percent * n // 100) + 1 if n else 0
-                    if take:
-                        rare = np.lexsort((own, frequency[(own & mask).astype(np.int64)]))[:take]
-                        keys.append(own[rare])
-                    size.append(take)
-                    band.append(int(np.log(n) / ratio) if n else 0)
-                row = np.repeat(np.arange(len(size)), size)
-                own_keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                yield common.records(schema, key=common.as_long(own_keys), doc_id=part.column(0).take(pa.array(row)), size_band=np.array(band)[row])
-
-    prefixes = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(emit, "key long, doc_id long, size_band int")
-    stored = common.stage(prefixes, "prefixes")
-    shared = stored.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
-    kept = stored.join(shared, "key", "left_semi")
-    sides = F.explode(F.array(F.struct(F.col("size_band").alias("band"), F.lit(0).alias("side")), F.struct((F.col("size_band") + 1).alias("band"), F.lit(1).alias("side"))))
+            lists = batch.column(2)
+            if not len(lists):
+                continue
+            keys = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            doc, n = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            value, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+            many, told = count[back] > 1, value[count > 1]
+            none = np.zeros(len(told), np.int64)
+            spread = np.where(many, common.as_long(common.mixed(keys.view(np.uint64) ^ doc.view(np.uint64))), keys)
+            yield common.records(
+                _PREFIX, kind=np.concatenate([np.where(many, _KNOWN, _ASKED), none + _TOLD]), spread=np.concatenate([spread, told]),
+                key=np.concatenate([keys, told]), doc_id=np.concatenate([doc, none]), n=np.concatenate([n, none]),
+            )
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            known = pa.array(batch.column(0).to_numpy() == _KNOWN)
+            yield batch.filter(known).select(["key", "doc_id", "n"])
+            held.append(batch.filter(pc.invert(known)))
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            _, back, count = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
+            kept = table.filter(pa.array((count[back] > 1) & (table.column("kind").to_numpy() == _ASKED)))
+            yield from kept.select(["key", "doc_id", "n"]).to_batches()
+
+    return prefixes.mapInArrow(emit, _PREFIX_SQL).repartition("spread").mapInArrow(settle, "key long, doc_id long, n long")
+
+
+def _tiles(prefixes: DataFrame, s: Settings) -> DataFrame:
+    """key, band, doc_id, side of the documents that may have links; side 1 are the rows of the band below."""
+    shared = common.stage(_shared(prefixes), "shared-prefixes")
+    smallest = F.floor((F.col("n") * s.percent) / 100)  # the smallest set that n can link with
+    enough = shared.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(smallest / 20)))
+    kept = shared.join(enough.select("doc_id", "n"), ["doc_id", "n"], "left_semi")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / s.percent)) + 1e-9).cast("int")
+    sides = F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("side")), F.struct((band + 1).alias("band"), F.lit(1).alias("side"))))
     return kept.select("key", "doc_id", sides.alias("t")).select("key", "t.band", "doc_id", "t.side")
 
 
@@ -341,7 +367,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     named = mapped.distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    rows = sketched.where(F.col("counts").isNull()).select("doc_id", F.col("n").alias("n_shingles"))
+    rows = sketched.select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
