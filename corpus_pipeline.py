@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneleffect.llm import common, langid, linededup
+from paneleffect.llm import common, decontam, jaccard, langid, linededup, packing
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,13 +28,35 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.reduced(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language), ("line_dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences, with their token ids."""
+    return packing.pieces(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("ngram_jaccard", near_copies),
+    ("benchmark_decontamination", benchmark),
+    ("packing", packed),
+]
 
 #: The language model is fitted by gradient descent, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the rows of the last."""
     docs = common.read(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
         docs = common.stage(apply(spark, docs, sf_dir), f"pipeline-{name}")

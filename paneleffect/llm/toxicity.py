@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text is lower-cased and its ASCII non-letters become spaces. Each word enters as the embedding of its
-hash beside the mean embedding of its hashed three-byte pieces, edges included. Words are read in
+A text is lower-cased and its ASCII non-letters become spaces. Each word enters as the embedding of
+itself beside the mean embedding of its four-byte pieces, edges included. Words and pieces that
+fewer than ``support`` texts of the sample have share one embedding, the unknown one. Words are read in
 overlapping windows; in each, a gated recurrent layer runs in both directions, attention weighs
 its states, and the pooled state gives a logit. A text's logit is the largest of all its windows,
 mapped to a probability on rows that were not trained on (Platt scaling).
@@ -40,8 +41,7 @@ class Settings:
     hidden: int = 8
     dim: int = 8
     attention: int = 8
-    word_bits: int = 14
-    piece_bits: int = 12
+    support: int = 4
     slots: int = 800
     longest: int = 20_000
     rounds: int = 10
@@ -58,33 +58,53 @@ Weights = dict[str, np.ndarray]
 @dataclass(frozen=True)
 class Model:
     weights: Weights
+    known: Known | None
     scale: float
     shift: float
     constant: float | None
     settings: Settings
 
 
+@dataclass(frozen=True)
+class Known:
+    """Sorted hashes of the words, and the pieces, that have an embedding of their own."""
+
+    words: np.ndarray
+    pieces: np.ndarray
+
+
+def _looked_up(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place in ``known`` plus one; 0 for others."""
+    if not len(known):
+        return np.zeros(len(values), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at + 1, 0)
+
+
 class _Words:
     """The distinct words of a slice of texts, and its windows."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, s: Settings):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, s: Settings, known: Known | None = None):
         data = _CLEAN[data]
         starts, ends, before = common.word_spans(data, offsets)
         hashes = common.word_hashes(data, starts, ends, lower=False)
         _, first, self.row = np.unique(hashes, return_index=True, return_inverse=True)
-        self.bucket = (hashes[first] & np.uint64((1 << s.word_bits) - 1)).astype(np.int64)
-        # The pieces of a word: every three bytes from the space before it to the space behind it.
-        edged = np.concatenate([[32], data, [32, 32]]).astype(np.uint32)
-        begin, size = starts[first], (ends - starts)[first]
-        self.size = size
-        self.piece_begin = np.cumsum(size) - size
-        at = np.repeat(begin - self.piece_begin, size) + np.arange(size.sum())
-        inside = np.arange(size.sum()) - np.repeat(self.piece_begin, size)
-        # The next text may follow without a space: the byte behind a word is always one.
-        third = np.where(inside == np.repeat(size, size) - 1, np.uint32(32), edged[at + 2])
-        zeroth = np.where(inside == 0, np.uint32(32), edged[at])
-        key = zeroth | (edged[at + 1] << np.uint32(8)) | (third << np.uint32(16))
-        self.piece = (((key ^ (key >> np.uint32(11))) * np.uint32(2654435761)) >> np.uint32(32 - s.piece_bits)).astype(np.int64)
+        self.hash = hashes[first]
+        # The pieces of a word: every four bytes from the space before it to the space behind it.
+        begin, length = starts[first], (ends - starts)[first]
+        self.size = np.maximum(1, length - 1)
+        self.piece_begin = np.cumsum(self.size) - self.size
+        inside = np.arange(self.size.sum()) - np.repeat(self.piece_begin, self.size)
+        begin, length = np.repeat(begin, self.size), np.repeat(length, self.size)
+        key = np.zeros(len(inside), dtype=np.uint32)
+        for k in range(4):
+            at = inside + (k - 1)
+            outside = (at < 0) | (at >= length)
+            byte = np.where(outside, 32, data[np.where(outside, begin, begin + at)]) if len(data) else key
+            key |= byte.astype(np.uint32) << np.uint32(8 * k)
+        self.piece_key = key
+        if known is not None:
+            self.learn(known)
         n = np.diff(before)
         many = np.where(n > 0, 1 + np.maximum(0, -(-(n - s.window) // s.stride)), 0)
         self.many = many
@@ -93,6 +113,9 @@ class _Words:
         self.start = before[:-1][self.text] + rank * s.stride
         self.end = np.minimum(self.start + s.window, before[1:][self.text])
 
+    def learn(self, known: Known) -> None:
+        self.bucket, self.piece = _looked_up(self.hash, known.words), _looked_up(self.piece_key, known.pieces)
+
     def rows(self, windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(step x window: the word's row, 0 where there is none; 1 or 0)."""
         at = self.start[windows] + np.arange(window)[:, None]
@@ -100,11 +123,11 @@ class _Words:
         return np.where(real, self.row[np.minimum(at, len(self.row) - 1)], 0), real.astype(np.float32)[..., None]
 
 
-def _initial(s: Settings) -> Weights:
+def _initial(s: Settings, known: Known) -> Weights:
     rng = np.random.default_rng(s.seed)
     h, draw = s.hidden, lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     return {
-        "word": rng.normal(0, 0.1, (1 << s.word_bits, s.dim)).astype(np.float32), "piece": rng.normal(0, 0.1, (1 << s.piece_bits, s.dim)).astype(np.float32),
+        "word": rng.normal(0, 0.1, (len(known.words) + 1, s.dim)).astype(np.float32), "piece": rng.normal(0, 0.1, (len(known.pieces) + 1, s.dim)).astype(np.float32),
         "input": draw(2 * s.dim, 6 * h), "bias": np.zeros(6 * h, np.float32), "forth": draw(h, 3 * h), "back": draw(h, 3 * h),
         "look": draw(2 * h, s.attention), "ask": draw(s.attention, 1), "out": draw(2 * h, 1), "last": np.zeros(1, np.float32),
     }
@@ -262,18 +285,23 @@ def train(rows: list[tuple[int, str]], s: Settings = Settings()) -> Model:
     """Fit on (label, text) rows in a fixed order; every fifth row only calibrates."""
     labels = np.array([y for y, _ in rows], dtype=np.float32)
     if len(set(labels.tolist())) < 2:
-        return Model({}, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.0, s)
-    words, w = _read([t for _, t in rows], s), _initial(s)
+        return Model({}, None, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.0, s)
+    words = _read([t for _, t in rows], s)
     texts = np.flatnonzero(words.many)
     if len(set(labels[texts].tolist())) < 2:
-        return Model({}, 1.0, 0.0, float(labels.mean()), s)
-    rng, adam = np.random.default_rng(s.seed + 1), _Adam(w, s.rate)
+        return Model({}, None, 1.0, 0.0, float(labels.mean()), s)
+    rng = np.random.default_rng(s.seed + 1)
     begin = np.cumsum(words.many) - words.many
     calibrates = np.arange(len(rows)) % 5 == 4
     learned = texts[~calibrates[texts]]
     toxic = max(1, int(labels[learned].sum()))
     balance = np.where(labels > 0, (len(learned) - toxic) / toxic, 1.0).astype(np.float32)
-    _favour(words, labels, learned, w)
+    known, odds = _support(words, labels, learned, s)
+    words.learn(known)
+    w = _initial(s, known)
+    for name in odds:
+        w[name][1:, 0] = odds[name]
+    adam = _Adam(w, s.rate)
     for turn in range(s.rounds):
         logits = window_logits(words, w, s)
         _, best = _strongest(words, logits)
@@ -290,18 +318,31 @@ def train(rows: list[tuple[int, str]], s: Settings = Settings()) -> Model:
     own = calibrates[held]
     if len(set(labels[held[own]].tolist())) < 2:
         own = np.ones(len(held), dtype=bool)
-    return Model(w, *_platt(logits[best[own]].astype(float), labels[held[own]].astype(float)), None, s)
+    return Model(w, known, *_platt(logits[best[own]].astype(float), labels[held[own]].astype(float)), None, s)
 
 
-def _favour(words: _Words, labels: np.ndarray, learned: np.ndarray, w: Weights) -> None:
-    """Start one number of each word's embedding at the log odds of toxic texts that have the word."""
-    seen = np.zeros((2, len(w["word"])), np.float32)
+def _support(words: _Words, labels: np.ndarray, learned: np.ndarray, s: Settings) -> tuple[Known, Weights]:
+    """The words and pieces of enough texts, and their log odds in toxic texts, with which one number of
+    their embeddings starts."""
+    pairs = {"word": ([], []), "piece": ([], [])}
     for k in learned.tolist():
-        own = np.arange(*np.searchsorted(words.text, [k, k + 1]))
-        present = np.unique(words.bucket[words.row[words.start[own[0]] : words.end[own[-1]]]])
-        seen[int(labels[k]), present] += 1
-    share = (seen + 0.5) / (np.bincount(labels[learned].astype(int), minlength=2)[:, None] + 1)
-    w["word"][:, 0] = np.clip(np.log(share[1] / share[0]), -3, 3).astype(np.float32) * np.float32(0.3) * (seen.sum(axis=0) > 2)
+        first, last = np.searchsorted(words.text, [k, k + 1])
+        rows = np.unique(words.row[words.start[first] : words.end[last - 1]])
+        pieces = np.concatenate([words.piece_key[b : b + n] for b, n in zip(words.piece_begin[rows], words.size[rows])])
+        for name, own in (("word", words.hash[rows]), ("piece", np.unique(pieces))):
+            pairs[name][int(labels[k])].append(own)
+    totals = np.bincount(labels[learned].astype(int), minlength=2) + 1
+    kept, odds = {}, {}
+    for name, (clean, toxic) in pairs.items():
+        value, count = np.unique(np.concatenate(clean + toxic), return_counts=True)
+        value = value[count >= s.support]
+        share = []
+        for own, total in zip((clean, toxic), totals):
+            at = _looked_up(np.concatenate(own), value) if own else np.zeros(0, np.int64)
+            share.append((np.bincount(at, minlength=len(value) + 1)[1:] + 0.5) / total)
+        kept[name] = value
+        odds[name] = (np.clip(np.log(share[1] / share[0]), -3, 3) * 0.3).astype(np.float32)
+    return Known(kept["word"], kept["piece"]), odds
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -343,7 +384,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             whole = pa.RecordBatch.from_arrays([batch.column(0), lower], names=["doc_id", "text"])
             for part, data, offsets in common.slices(whole, "text"):
                 score = np.zeros(len(part))
-                words = _Words(data, offsets, s)
+                words = _Words(data, offsets, s, model.known)
                 if model.constant is not None:
                     score[words.many > 0] = model.constant
                 elif len(words.start):
