@@ -313,7 +313,7 @@ def index(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
         flat = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), first["dim"])
         shard = Shard(ids, flat, weights, s)
         out = _records(linked(shard, shard))
-        blob = pickle.dumps((shard.ids, shard.weights, shard.unit, shard.cells, shard.beam, shard.graph.__dict__)) if first["shards"] > 1 else None
+        blob = _packed(shard) if first["shards"] > 1 else None
         n = len(out["id"])
         rest = {"label": first["label"], "dim": first["dim"], "shard": first["shard"], "recall": shard.recall, "beam": shard.beam, "graph": blob}
         columns = {c: [*v, "graph" if c == "kind" else None] for c, v in out.items()} | {c: [None] * n + [v] for c, v in rest.items()}
@@ -323,10 +323,15 @@ def index(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
     return good, sizes, common.stage(built, "graphs")
 
 
+def _packed(shard: Shard) -> bytes:
+    g = shard.graph
+    return pickle.dumps((shard.ids, shard.weights, shard.unit, shard.cells, shard.beam, g.x[: g.n], g.layers, g.children, g.entry))
+
+
 def _opened(blob: bytes, s: Settings) -> Shard:
-    shard, graph = Shard.__new__(Shard), Graph.__new__(Graph)
-    shard.ids, shard.weights, shard.unit, shard.cells, shard.beam, graph.__dict__ = pickle.loads(blob)
-    shard.graph, shard.s = graph, s
+    shard, g = Shard.__new__(Shard), Graph.__new__(Graph)
+    shard.ids, shard.weights, shard.unit, shard.cells, shard.beam, g.x, g.layers, g.children, g.entry = pickle.loads(blob)
+    shard.graph, shard.s, g.s, g.n = g, s, s, len(g.x)
     return shard
 
 
