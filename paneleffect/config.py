@@ -16,7 +16,6 @@ REP_FRAGMENTS = ("rep", "territory", "salesperson")
 MIN_PARSEABLE_TIME = 0.95
 MIN_NUMERIC_SHARE = 0.9
 MIN_MONTHS = 6
-MAX_TREND_POINTS = 1500
 Z_LIMIT = 3.0
 LOW_TREATED_ROWS = 10
 

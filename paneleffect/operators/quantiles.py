@@ -1,49 +1,24 @@
-"""Exact quantiles with linear interpolation that do not gather a column in one task.
+"""Exact quantiles with linear interpolation, all columns in one pass and no column in one task.
 
-The built-in exact percentile keeps every distinct value in one aggregation buffer. That is right
-for count-like columns; a column with more distinct values is narrowed first: a mergeable sketch
-brackets each wanted rank, the rows inside the bracket are counted exactly, and this repeats until
-few enough distinct values remain to rank them.
+Equal values of a column are counted first (combined before the shuffle); the (column, value)
+pairs are dealt to ranges of that order, counted per range, and each wanted rank is found in its
+range from the ranges' totals. There is one way for every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneleffect.functions import scalars as S
-
-DISTINCT_PER_TASK = 1_000_000
-SKETCH_ACCURACY = 10_000
-MARGIN = 2.0 / SKETCH_ACCURACY
-
-
-@dataclass
-class _Bracket:
-    """Where the value of one rank lies: ``inside`` rows strictly between low and high (None is
-    open-ended), ``below`` rows under those."""
-
-    rank: int
-    low: float | None
-    high: float | None
-    below: int
-    inside: int
-
-    def holds(self, c: Column) -> Column:
-        out = c.isNotNull()
-        if self.low is not None:
-            out = out & (c > F.lit(self.low))
-        if self.high is not None:
-            out = out & (c < F.lit(self.high))
-        return out
+from paneleffect.functions.skew import durable
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Count, mean, both standard deviations, range and distinct estimate per column: one job."""
+    """Count, mean, both standard deviations and range per column: one job."""
     aggregates = []
     for i, c in enumerate(columns):
         x = S.name(c).cast("double")
@@ -54,106 +29,54 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
             F.stddev_samp(x).alias(f"std_samp_{i}"),
             F.min(x).alias(f"min_{i}"),
             F.max(x).alias(f"max_{i}"),
-            F.approx_count_distinct(x).alias(f"distinct_{i}"),
         ]
     row = df.agg(*aggregates).first()
-    fields = ("count", "mean", "std_pop", "std_samp", "min", "max", "distinct")
+    fields = ("count", "mean", "std_pop", "std_samp", "min", "max")
     return {c: {f: row[f"{f}_{i}"] for f in fields} for i, c in enumerate(columns)}
 
 
+def ranked_values(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """((c, v, n, part): each column's values, counted, in stored ranges; (c, part, rows): their totals).
+    ``c`` is the column's position."""
+    values = F.array(*[F.struct(F.lit(i).alias("c"), S.name(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = df.select(F.inline(values)).where(F.col("v").isNotNull())
+    counted = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Stored: the bounds of the ranges must not be drawn anew between the two uses.
+    ranges = durable(counted.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()))
+    return ranges, ranges.groupBy("c", "part").agg(F.sum("n").alias("rows"))
+
+
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    stats: dict[str, dict] | None = None,
-    distinct_per_task: int = DISTINCT_PER_TASK,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column, nulls left out."""
-    stats = stats or column_stats(df, columns)
-    small = [c for c in columns if stats[c]["distinct"] <= distinct_per_task]
+    ranges, totals = ranked_values(df, columns)
+    # One row per range and column in it.
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = totals.withColumn("before", before)
+    counts = {r["c"]: r["n"] for r in totals.groupBy("c").agg(F.sum("rows").alias("n")).collect()}
+    wanted = sorted(
+        {(c, rank) for c, n in counts.items() for p in probabilities for rank in (floor(p * (n - 1)), ceil(p * (n - 1)))}
+    )
+    found: dict[tuple[int, int], float] = {}
+    if wanted:
+        ranks = df.sparkSession.createDataFrame(wanted, "c int, rank long")
+        inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("rows"))
+        # Only the ranges that hold a wanted rank are ordered; they are as many as the ranks at most.
+        chosen = placed.join(F.broadcast(ranks), "c").where(inside).select("c", "part", "before", "rank")
+        held = ranges.join(F.broadcast(chosen.select("c", "part", "before").distinct()), ["c", "part"])
+        upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v")) + F.col("before")
+        spans = held.withColumn("upto", upto)
+        hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+        for r in spans.join(F.broadcast(chosen.drop("before")), ["c", "part"]).where(hit).select("c", "rank", "v").collect():
+            found[r["c"], r["rank"]] = r["v"]
     out: dict[str, list[float | None]] = {}
-    if small:
-        levels = F.array(*[F.lit(p) for p in probabilities])
-        row = df.agg(
-            *[F.percentile(S.name(c).cast("double"), levels).alias(f"q_{i}") for i, c in enumerate(small)]
-        ).first()
-        out = {c: row[f"q_{i}"] or [None] * len(probabilities) for i, c in enumerate(small)}
-    for c in columns:
-        if c not in out:
-            out[c] = _narrowed(df.select(S.name(c).cast("double").alias("v")).dropna(), stats[c], probabilities, distinct_per_task)
-    return out
-
-
-def _narrowed(values: DataFrame, stats: dict, probabilities: Sequence[float], limit: int) -> list[float | None]:
-    n = stats["count"]
-    positions = [p * (n - 1) for p in probabilities]
-    ranks = sorted({r for x in positions for r in (floor(x), ceil(x))})
-    open_ones = [_Bracket(r, None, None, 0, n) for r in ranks]
-    found: dict[int, float] = {}
-    while open_ones:
-        brackets = _narrow(values, open_ones, found)
-        open_ones = []
-        if not brackets:
-            break
-        sizes = values.agg(
-            *[F.approx_count_distinct(F.when(b.holds(F.col("v")), F.col("v"))).alias(f"d{i}") for i, b in enumerate(brackets)]
-        ).first()
-        for i, b in enumerate(brackets):
-            if sizes[f"d{i}"] <= limit:
-                found[b.rank] = _pick(values, b)
-            else:
-                open_ones.append(b)
-    return [found[floor(x)] + (found[ceil(x)] - found[floor(x)]) * (x - floor(x)) for x in positions]
-
-
-def _narrow(values: DataFrame, brackets: list[_Bracket], found: dict[int, float]) -> list[_Bracket]:
-    """One step for all brackets: two sketched edges around each rank, then exact counts.
-
-    A rank that falls on an edge value is found. Otherwise the edge values, however often they
-    occur, are left out of the next bracket, so every step makes it smaller.
-    """
-    v = F.col("v")
-    sketches = []
-    for i, b in enumerate(brackets):
-        at = (b.rank - b.below) / max(b.inside - 1, 1)
-        around = F.array(F.lit(max(at - MARGIN, 0.0)), F.lit(min(at + MARGIN, 1.0)))
-        sketches.append(F.percentile_approx(F.when(b.holds(v), v), around, SKETCH_ACCURACY).alias(f"e{i}"))
-    edges = values.agg(*sketches).first()
-    counters = []
-    for i, b in enumerate(brackets):
-        low, high = (F.lit(e) for e in edges[f"e{i}"])
-        counters += [
-            F.count_if(b.holds(v) & (v < low)).alias(f"under{i}"),
-            F.count_if(v == low).alias(f"low{i}"),
-            F.count_if((v > low) & (v < high)).alias(f"between{i}"),
-            F.count_if(v == high).alias(f"high{i}"),
-        ]
-    counts = values.agg(*counters).first()
-    out = []
-    for i, b in enumerate(brackets):
-        low, high = edges[f"e{i}"]
-        parts = [
-            (counts[f"under{i}"], b.low, low),
-            (counts[f"low{i}"], low, None),
-            (counts[f"between{i}"], low, high),
-            (counts[f"high{i}"] if high > low else 0, high, None),
-        ]
-        parts.append((b.inside - sum(p[0] for p in parts), high, b.high))
-        below = b.below
-        for k, (rows, start, stop) in enumerate(parts):
-            if b.rank < below + rows:
-                if k in (1, 3):
-                    found[b.rank] = start
-                else:
-                    out.append(_Bracket(b.rank, start, stop, below, rows))
-                break
-            below += rows
+    for i, c in enumerate(columns):
+        places = [p * (counts[i] - 1) for p in probabilities] if i in counts else None
+        out[c] = [None] * len(probabilities) if places is None else [_between(found, i, x) for x in places]
     return out
 
 
-def _pick(values: DataFrame, b: _Bracket) -> float:
-    """The value of the rank, from the few distinct values left in the bracket."""
-    counted = values.where(b.holds(F.col("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    # No partition: the bracket holds at most the allowed number of distinct values.
-    upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v")) + b.below)
-    return upto.where(F.col("upto") > b.rank).agg(F.min("v").alias("v")).first()["v"]
+def _between(found: dict[tuple[int, int], float], column: int, place: float) -> float:
+    low, high = found[column, floor(place)], found[column, ceil(place)]
+    return low if low == high else low + (high - low) * (place - floor(place))

@@ -108,9 +108,9 @@ def _describe_sql(m: str) -> str:
       ROUND(CAST(MAX({m}) AS DOUBLE), 6) AS "max" FROM dense"""
 
 
-@BOOK.add("a10_describe", f"WITH {P.DENSE} " + " UNION ALL ".join(_describe_sql(m) for m in P.DENSE_ROLES.outcomes))
+@BOOK.add("a10_describe", f"WITH {P.DENSE} " + " UNION ALL ".join(_describe_sql(m) for m in METRICS))
 def a10_describe(spark, sf):
-    out = profile.describe(_prepared(spark, sf), list(P.DENSE_ROLES.outcomes))
+    out = profile.describe(_prepared(spark, sf), METRICS)
     return shaped(out, "variable", "count", "mean std min p25 p50 p75 max")
 
 
@@ -129,7 +129,25 @@ def a11_correlations(spark, sf):
     return shaped(profile.correlations(panel, [*METRICS, "flat"]), "a b", doubles="correlation")
 
 
-@BOOK.add("a12_row_counts", f"WITH {P.DENSE} SELECT COUNT(*) AS total_rows, LEAST(COUNT(*), 1500) AS sampled_rows FROM dense")
+def _gappy_corr_sql(a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS a, '{b}' AS b, ROUND(COALESCE(CASE WHEN MIN({a}) < MAX({a}) AND MIN({b}) < MAX({b}) THEN CORR({a}, {b}) END, 0), 6) + 0.0 AS correlation
+      FROM gappy WHERE {a} IS NOT NULL AND {b} IS NOT NULL"""
+
+
+_GAPPY = ", ".join(f"CASE WHEN {m} = {i} THEN NULL ELSE {m} END AS {m}" for i, m in enumerate(METRICS))
+
+
+@BOOK.add(
+    "a11_correlations_with_gaps",
+    f"WITH {P.DENSE}, gappy AS (SELECT {_GAPPY} FROM dense) " + " UNION ALL ".join(_gappy_corr_sql(a, b) for a in METRICS for b in METRICS),
+)
+def a11_correlations_with_gaps(spark, sf):
+    panel = _prepared(spark, sf)
+    panel = panel.withColumns({m: F.when(F.col(m) != i, F.col(m)) for i, m in enumerate(METRICS)})
+    return shaped(profile.correlations(panel, METRICS), "a b", doubles="correlation")
+
+
+@BOOK.add("a12_row_counts", f"WITH {P.DENSE} SELECT COUNT(*) AS total_rows, COUNT(*) AS sampled_rows FROM dense")
 def a12_row_counts(spark, sf):
     return shaped(profile.row_counts(_prepared(spark, sf)), "", "total_rows sampled_rows")
 

@@ -8,7 +8,7 @@ from fixtures import wide_sample
 from pyspark.sql import functions as F
 
 from paneleffect.functions import scalars as S
-from paneleffect.operators import checks, clean, profile, quantiles
+from paneleffect.operators import checks, clean, profile
 from paneleffect.operators.quantiles import exact_quantiles
 from paneleffect.operators.roles import detect_roles, outcome_columns, theme_columns
 
@@ -117,33 +117,27 @@ def test_theme_columns_by_suggestion_type():
     assert theme_columns(names, "npp") == ["theme_x_triggered_emails_ho_npp"]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 50])
-def test_quantiles_agree_with_numpy(spark, limit):
-    """The narrowing path (few distinct values allowed per task) and the plain one are both exact."""
+@pytest.mark.parametrize("partitions", ["1", "8", "40"])
+def test_quantiles_agree_with_numpy(spark, partitions):
+    """The ranges' number does not change the result; ties, gaps and empty columns are exact."""
     rng = np.random.default_rng(5)
     smooth = rng.normal(size=4001)
     heavy = np.where(rng.random(4001) < 0.4, 0.0, rng.gamma(2.0, 50.0, size=4001))
     df = spark.createDataFrame(
-        [(float(a), float(b), None if i % 7 == 0 else float(a)) for i, (a, b) in enumerate(zip(smooth, heavy))],
-        "smooth double, heavy double, gappy double",
+        [(float(a), float(b), None if i % 7 == 0 else float(a), None) for i, (a, b) in enumerate(zip(smooth, heavy))],
+        "smooth double, heavy double, gappy double, empty double",
     ).repartition(8)
-    levels = (0.25, 0.5, 0.75, 0.999)
-    got = exact_quantiles(df, ["smooth", "heavy", "gappy"], levels, distinct_per_task=limit)
+    levels = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = exact_quantiles(df, ["smooth", "heavy", "gappy", "empty"], levels)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     gappy = np.array([a for i, a in enumerate(smooth) if i % 7])
     for column, values in (("smooth", smooth), ("heavy", heavy), ("gappy", gappy)):
         assert got[column] == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
-
-
-def test_narrowing_gets_past_a_value_that_fills_its_edge(spark, monkeypatch):
-    """With a coarse sketch and a value on a third of the rows every step must still progress."""
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 10)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.2)
-    rng = np.random.default_rng(9)
-    values = np.concatenate([np.zeros(500), rng.gamma(1.0, 9.0, size=1000)])
-    df = spark.createDataFrame([(float(x),) for x in rng.permutation(values)], "v double").repartition(8)
-    levels = (0.335, 0.5)
-    got = exact_quantiles(df, ["v"], levels, distinct_per_task=60)["v"]
-    assert got == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
+    assert got["empty"] == [None] * len(levels)
 
 
 def test_constant_column_and_single_row(spark):
@@ -155,11 +149,21 @@ def test_constant_column_and_single_row(spark):
     assert profile.outliers(df, ["flat"], include_zscore=True).first()["z_count"] == 0
 
 
-def test_correlations_of_many_columns(spark):
-    df = spark.range(50).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.lit(1.0).alias("flat"))
-    key = lambda rows: {(r["a"], r["b"]): pytest.approx(r["correlation"]) for r in rows}
-    few = profile.correlations(df, ["a", "b", "flat"]).collect()
-    assert {(r["a"], r["b"]): r["correlation"] for r in profile.correlations(df, ["a", "b", "flat"], max_columns=2).collect()} == key(few)
+def test_correlations_are_pairwise_whatever_their_number(spark):
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(200, 45))
+    values[:, 1] += values[:, 0]
+    values[rng.random(values.shape) < 0.2] = np.nan
+    names = [f"c{k}" for k in range(45)]
+    rows = [[None if np.isnan(x) else float(x) for x in row] for row in values]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    few = {(r["a"], r["b"]): r["correlation"] for r in profile.correlations(df, names[:3]).collect()}
+    many = {(r["a"], r["b"]): r["correlation"] for r in profile.correlations(df, names).collect()}
+    assert len(many) == 45 * 45
+    both = ~np.isnan(values[:, 0]) & ~np.isnan(values[:, 1])
+    want = np.corrcoef(values[both, 0], values[both, 1])[0, 1]
+    assert few["c0", "c1"] == pytest.approx(want) and many["c1", "c0"] == pytest.approx(want)
+    assert all(many[k] == pytest.approx(v) for k, v in few.items())
 
 
 def test_trend_flags_an_odd_month(spark):
@@ -168,9 +172,10 @@ def test_trend_flags_an_odd_month(spark):
     assert [r["month"] for r in trend.where("is_outlier").collect()] == ["2025-01"]
 
 
-def test_only_the_last_months_are_kept(spark):
+def test_months_are_cut_on_request_only(spark):
     df = spark.createDataFrame([(f"{1900 + i // 12}-{i % 12 + 1:02d}", 1.0) for i in range(1600)], "month string, v double")
-    kept = profile.monthly_totals(df, ["v"])
+    assert profile.monthly_totals(df, ["v"]).count() == 1600
+    kept = profile.monthly_totals(df, ["v"], points=1500)
     assert kept.count() == 1500
     assert kept.agg(F.min("month")).first()[0] == "1908-05"
 
