@@ -42,7 +42,7 @@ def effect_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = features.build_features(panels.fine(spark, sf_dir), panels.DENSE_ROLES, leak_safe=True, store=True)
     calendar = ("month", "quarter")
     encoder = encode.fit_wide_encoder(frame.data, frame.numeric, calendar)
-    encoded = encode.encode_wide(frame.data, encoder, calendar)
+    encoded = encode.encode_wide(frame.data, encoder)
     fit = models.fit_effects(encoded, {"action_total": "lift"}, "treated_suggestion", params={"maxIter": FIT_TREES})
     return fit.data.select("hcp_id", "rep_id", "week_end_date", "lift")
 

@@ -5,12 +5,33 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 # Name fragments that give a column its role, matched in lower case.
-SUGGESTION_FRAGMENTS = ("suggest", "insight_suggest", "recommend")
-ACTION_FRAGMENTS = ("action", "call", "email", "insight")
-OUTCOME_FRAGMENTS = ("trx", "nbrx", "outcome", "script")
-TIME_FRAGMENTS = ("date", "week", "month", "time")
-HCP_FRAGMENTS = ("hcp", "customer", "npi")
-REP_FRAGMENTS = ("rep", "territory", "salesperson")
+ROLE_FRAGMENTS = {
+    "suggestion": ("suggest", "insight_suggest", "recommend"),
+    "action": ("action", "call", "email", "insight"),
+    "outcome": ("trx", "nbrx", "outcome", "script"),
+    "time": ("date", "week", "month", "time"),
+    "hcp": ("hcp", "customer", "npi"),
+    "rep": ("rep", "territory", "salesperson"),
+}
+
+# Key and label of each data check, and the sentences of their details.
+CHECKS = {
+    "parseable_time_column": "Parseable time column",
+    "stable_hcp_rep_ids": "Stable HCP/Rep IDs",
+    "numeric_convertible_suggestion_action_outcome": "Numeric-convertible suggestions/actions/outcomes",
+    "grain_consistency": "Grain consistency",
+    "temporal_depth_for_lags": "Enough temporal depth for lags/rolling/adstock",
+}
+CHECK_DETAILS = {
+    "time": "{} rows parse to datetime.",
+    "ids": "All rows have HCP and Rep IDs.",
+    "no_ids": "Missing HCP/Rep IDs detected.",
+    "numeric": "{} metric values are numeric-convertible.",
+    "no_rows": "No rows to check.",
+    "grain": "No duplicate HCP/Rep/time grain rows.",
+    "no_grain": "Duplicate grain rows found.",
+    "months": "Detected {} unique months.",
+}
 
 # Thresholds of the data checks and the exploratory profile.
 MIN_PARSEABLE_TIME = 0.95

@@ -11,10 +11,13 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paneleffect.functions import scalars as S
+
 ROWS_PER_TASK = 4_000_000
+FIT_PARTITIONS = 16
 BLOCK, CONTEXT, SEQUENCE = "_block", "_context", "_sequence"
 
 
@@ -38,14 +41,29 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def durable_for_fitting(df: DataFrame) -> DataFrame:
-    """A durable frame that an iterative fit can read with every core.
+    """A durable frame of at least ``FIT_PARTITIONS`` partitions, for an iterative fit.
 
-    Adaptive execution packs a small frame into few partitions; those are spread again. A frame
-    with enough partitions stays as it is.
+    Adaptive execution packs a small frame into few partitions; those are spread again. The number
+    does not depend on the machine, as fitted trees may depend on how rows are dealt out.
     """
     kept = durable(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return kept if kept.rdd.getNumPartitions() >= cores else kept.repartition(cores)
+    return kept if kept.rdd.getNumPartitions() >= FIT_PARTITIONS else kept.repartition(FIT_PARTITIONS)
+
+
+def numbered(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Add ``_rank``, the row's number from 0 in the order of ``column``; also the number of rows.
+
+    Rows are dealt to ranges, stored, and numbered within their range; the ranges' sizes, one row
+    per range, give each range its first number.
+    """
+    at = F.monotonically_increasing_id()
+    ranges = df.repartitionByRange(column).sortWithinPartitions(column)
+    kept = durable(ranges.select("*", F.shiftright(at, 33).alias("_range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_range", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_first"))
+    out = kept.join(first, "_range").withColumn("_rank", F.col("_first") + F.col("_at")).drop("_range", "_at", "_size", "_first")
+    return out, sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -55,26 +73,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def row_spread(df: DataFrame) -> Column:
-    """A number per row that is the same when a lost task runs again, yet differs between copies
-    of one row that lie in different input partitions."""
-    return F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns])
-
-
 def left_join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """LEFT join on the panel grain, ``right`` holding each key once.
 
-    Rows with a null key match nothing, yet would all hash to one task; a salt that only they
-    carry spreads them. A repeated left key is split at run time by the adaptive skew join, which
-    applies here because the salt keeps the join's partitioning from being relied on later.
+    Rows with a null key match nothing; they go round the join, so that they do not all hash to one
+    task. A repeated left key is split at run time by the adaptive skew join. Filters and column
+    choices above reach both scans.
     """
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(any_null, F.pmod(row_spread(left), F.lit(4096)) + 1).otherwise(0)
-    return (
-        left.withColumn("_salt", salt.cast("bigint"))
-        .join(right.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], "left")
-        .drop("_salt")
-    )
+    added = [f for f in right.schema if f.name not in keys]
+    joined = left.where(~any_null).join(right, list(keys), "left")
+    order = [*[S.name(c) for c in left.columns], *[S.name(f.name) for f in added]]
+    rest = left.where(any_null).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+    return joined.select(*order).unionByName(rest.select(*order))
 
 
 def attach_totals(
@@ -83,19 +94,23 @@ def attach_totals(
     keys: Sequence[str],
     size: str,
     rows: int = ROWS_PER_TASK,
+    grain: Sequence[str] = (),
 ) -> DataFrame:
     """Bring per-key totals back to the rows; ``totals[size]`` is the number of rows of the key.
 
     The totals of a key larger than ``rows`` are repeated once per slice of ``rows`` rows, and the
-    rows pick a slice by hash. There are at most ``count / rows`` such keys, so their list is
-    safe to broadcast.
+    rows pick a slice by a hash of the key and the ``grain``, the columns that tell rows of a key
+    apart (all columns if none are named). Totals are computed once and stored; the short list of
+    large keys is read from there.
     """
+    totals = durable(totals)
     slices = F.greatest(F.ceil(F.col(size) / rows), F.lit(1)).cast("int")
     heavy = totals.where(F.col(size) > rows).select(*keys, slices.alias("_slices"))
     sliced = totals.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
     spread = F.pmod(F.col("_spread"), F.coalesce(F.col("_slices"), F.lit(1)))
-    hashed = df.withColumn("_spread", row_spread(df))
-    marked = join_null_safe(hashed, F.broadcast(heavy), keys, "left").withColumn("_slice", spread.cast("int"))
+    by = [*keys, *[c for c in grain if c in df.columns and c not in keys]] if grain else df.columns
+    hashed = df.withColumn("_spread", F.xxhash64(*[S.name(c) for c in by]))
+    marked = join_null_safe(hashed, heavy, keys, "left").withColumn("_slice", spread.cast("int"))
     return join_null_safe(marked, sliced, [*keys, "_slice"], "left").drop("_slice", "_slices", "_spread")
 
 
@@ -120,13 +135,13 @@ def lookback_blocks(
     copies of the last ``lookback`` rows of its key that lie in earlier blocks, marked
     ``_context`` and to be dropped after the window.
     """
-    heavy = heavy_groups(df, keys, rows)
+    heavy = durable(heavy_groups(df, keys, rows))
     blocks = heavy.agg(F.sum(F.ceil(F.col("_n") / rows)).alias("b")).first()["b"]
     one_block = {BLOCK: F.lit(0), CONTEXT: F.lit(False), SEQUENCE: F.lit(0).cast("bigint")}
     if not blocks:
         return df.withColumns(one_block)
 
-    heavy_keys = F.broadcast(heavy.select(*keys))
+    heavy_keys = heavy.select(*keys)
     cold = join_null_safe(df, heavy_keys, keys, "left_anti").withColumns(one_block)
     # Both the sequence and the range bounds must never be computed anew: store after each.
     numbered = durable(join_null_safe(df, heavy_keys, keys, "left_semi")).withColumn(

@@ -58,6 +58,6 @@ def add_adstock(
         *[F.sum(c).alias(c) for c in present], F.count(F.lit(1)).alias("_rows")
     )
     carried = daily.withColumns(added).drop(*present)
-    return skew.attach_totals(dated, carried, [*keys, _DAY], "_rows", rows_per_task).select(
+    return skew.attach_totals(dated, carried, [*keys, _DAY], "_rows", rows_per_task, (config.REP, config.CUSTOMER, *config.TYPE_TRIPLE)).select(
         *[S.name(c) for c in df.columns], *added
     )

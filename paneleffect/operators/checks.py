@@ -74,38 +74,21 @@ def checklist(df: DataFrame, roles: Roles) -> DataFrame:
     )
     one = rows.crossJoin(F.broadcast(grain(df, roles)))
     grain_ok = F.coalesce(F.col("largest_group") <= 1, F.lit(False))
-    grain_text = (
-        F.when(F.col("largest_group").isNull(), "No rows to check.")
-        .when(grain_ok, "No duplicate HCP/Rep/time grain rows.")
-        .otherwise("Duplicate grain rows found.")
-    )
-    lines = [
-        (
-            "parseable_time_column",
-            "Parseable time column",
-            F.col("time_share") >= config.MIN_PARSEABLE_TIME,
-            F.concat(_percent(F.col("time_share")), F.lit(" rows parse to datetime.")),
-        ),
-        (
-            "stable_hcp_rep_ids",
-            "Stable HCP/Rep IDs",
-            F.col("ids"),
-            F.when(F.col("ids"), "All rows have HCP and Rep IDs.").otherwise("Missing HCP/Rep IDs detected."),
-        ),
-        (
-            "numeric_convertible_suggestion_action_outcome",
-            "Numeric-convertible suggestions/actions/outcomes",
-            F.col("numeric") >= config.MIN_NUMERIC_SHARE,
-            F.concat(_percent(F.col("numeric")), F.lit(" metric values are numeric-convertible.")),
-        ),
-        ("grain_consistency", "Grain consistency", grain_ok, grain_text),
-        (
-            "temporal_depth_for_lags",
-            "Enough temporal depth for lags/rolling/adstock",
-            F.col("months") >= config.MIN_MONTHS,
-            F.concat(F.lit("Detected "), F.col("months").cast("string"), F.lit(" unique months.")),
-        ),
+    said = config.CHECK_DETAILS
+    grain_text = F.when(F.col("largest_group").isNull(), said["no_rows"]).when(grain_ok, said["grain"]).otherwise(said["no_grain"])
+
+    def filled(sentence: str, value: Column) -> Column:
+        before, after = said[sentence].split("{}")
+        return F.concat(F.lit(before), value, F.lit(after))
+
+    results = [
+        (F.col("time_share") >= config.MIN_PARSEABLE_TIME, filled("time", _percent(F.col("time_share")))),
+        (F.col("ids"), F.when(F.col("ids"), said["ids"]).otherwise(said["no_ids"])),
+        (F.col("numeric") >= config.MIN_NUMERIC_SHARE, filled("numeric", _percent(F.col("numeric")))),
+        (grain_ok, grain_text),
+        (F.col("months") >= config.MIN_MONTHS, filled("months", F.col("months").cast("string"))),
     ]
+    lines = [(key, label, ok, detail) for (key, label), (ok, detail) in zip(config.CHECKS.items(), results, strict=True)]
     items = [
         F.struct(
             F.lit(i).alias("position"),

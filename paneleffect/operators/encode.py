@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
@@ -19,23 +20,11 @@ from pyspark.sql import types as T
 
 from paneleffect import config
 from paneleffect.functions import scalars as S
+from paneleffect.functions.skew import numbered
 from paneleffect.operators.clean import numeric_null_to_zero
 from paneleffect.operators.roles import matching, prefer_adstock
 
 FEATURES = "features"
-# The values of an encoded text column are held by the driver and become positions of the model.
-MAX_CATEGORIES = 1_000_000
-
-
-def _check_categories(df: DataFrame, columns: Sequence[str], limit: int) -> None:
-    """Refuse a column with more values than a model can have positions, before they are gathered."""
-    if not columns:
-        return
-    row = df.agg(*[F.approx_count_distinct(S.name(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    for i, c in enumerate(columns):
-        if row[f"n{i}"] > limit:
-            raise ValueError(f"{c} has about {row[f'n{i}']} values; leave it out of the features or group its values.")
-
 
 def _is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
@@ -97,7 +86,7 @@ def prepare_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return numeric_null_to_zero(df, features)
 
 
-def fit_encoder(df: DataFrame, features: Sequence[str], max_categories: int = MAX_CATEGORIES) -> PipelineModel:
+def fit_encoder(df: DataFrame, features: Sequence[str]) -> PipelineModel:
     """Index and one-hot encode text, put it before the numbers, scale by the deviation only.
 
     Missing or new text gets the all-zero vector; it keeps its row.
@@ -106,7 +95,6 @@ def fit_encoder(df: DataFrame, features: Sequence[str], max_categories: int = MA
         raise ValueError("No feature columns found.")
     text = [c for c in features if _is_text(df, c)]
     numbers = [c for c in features if c not in text]
-    _check_categories(df, text, max_categories)
     stages = []
     if text:
         stages += [
@@ -148,48 +136,61 @@ def feature_labels(encoder: PipelineModel) -> list[str]:
     return labels + [c for c in assembled if not c.endswith("_vector")]
 
 
-def fit_wide_encoder(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_categories: int = MAX_CATEGORIES
-) -> PipelineModel:
-    """Vector of the wide panel: numbers as they are, then one-hot columns without their
-    alphabetically first category. Category vectors stay sparse, however many values there are."""
-    _check_categories(df, categorical, max_categories)
-    as_text = [f"{c}_text" for c in categorical]
-    stages = []
-    if categorical:
-        stages = [
-            StringIndexer(
-                inputCols=as_text,
-                outputCols=[f"{c}_numeric" for c in categorical],
-                stringOrderType="alphabetDesc",
-                handleInvalid="error",
-            ),
-            OneHotEncoder(
-                inputCols=[f"{c}_numeric" for c in categorical],
-                outputCols=[f"{c}_vector" for c in categorical],
-                handleInvalid="error",
-            ),
-        ]
-    stages.append(
-        VectorAssembler(inputCols=[*numeric, *[f"{c}_vector" for c in categorical]], outputCol=FEATURES)
-    )
-    return Pipeline(stages=stages).fit(with_category_text(df, categorical))
+@dataclass(frozen=True)
+class WideEncoder:
+    """Numbers as they are, then one-hot positions per category without its smallest value.
 
+    ``indexes`` holds each category's values with their position, as a table: it is joined to the
+    rows, so its size does not matter. Null and values not seen when fitting are all zeros.
+    """
 
-def with_category_text(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    """Text form that sorts like the value: numbers are zero-padded. Null sorts first, so it is a
-    dropped category of its own only where it occurs."""
-    added = {}
-    for c in categorical:
-        kind = df.schema[c].dataType
-        text = F.lpad(S.name(c).cast("string"), 20, "0") if isinstance(kind, T.NumericType) else S.name(c).cast("string")
-        added[f"{c}_text"] = F.coalesce(text, F.lit(""))
-    return df.withColumns(added)
+    numeric: tuple[str, ...]
+    indexes: dict[str, DataFrame]
+    sizes: dict[str, int]
+    hot: OneHotEncoderModel | None
 
+    def labels(self, leave_out: Sequence[str] = ()) -> list[str]:
+        """One name per position of the vector, in order."""
+        names = [c for c in self.numeric if c not in leave_out]
+        for c, index in self.indexes.items():
+            kept = index.where(F.col("_position") < self.sizes[c] - 1).orderBy("_position")
+            names += [f"{c}_{r['_text']}" for r in kept.select(F.col("_value").cast("string").alias("_text")).toLocalIterator()]
+        return names
 
-def encode_wide(df: DataFrame, encoder: PipelineModel, categorical: Sequence[str]) -> DataFrame:
-    out = encoder.transform(with_category_text(df, categorical))
-    return out.select(*[S.name(c) for c in df.columns], F.col(FEATURES))
+
+def fit_wide_encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> WideEncoder:
+    """Number the values of each category, the largest first; a category with one value has no position.
+
+    Values are compared as what they are, not as text, and numbered by ranges, so any number of
+    them is taken and none is gathered.
+    """
+    indexes, sizes = {}, {}
+    for c in categorical:
+        ranked, n = numbered(df.select(S.name(c).alias("_value")).where(S.name(c).isNotNull()).distinct(), "_value")
+        if n > 1:
+            indexes[c] = ranked.select("_value", (F.lit(n - 1) - F.col("_rank")).cast("double").alias("_position"))
+            sizes[c] = n
+    hot = None
+    if sizes:
+        inputs = [f"{c}_numeric" for c in sizes]
+        largest = df.sparkSession.createDataFrame([[float(n - 1) for n in sizes.values()]], inputs)
+        hot = OneHotEncoder(inputCols=inputs, outputCols=[f"{c}_vector" for c in sizes]).fit(largest)
+    return WideEncoder(tuple(numeric), indexes, sizes, hot)
+
+
+def encode_wide(df: DataFrame, encoder: WideEncoder, variants: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Add the feature vector. ``variants`` names more vectors, each without some of the numbers."""
+    out = df
+    for c, index in encoder.indexes.items():
+        named = index.withColumnsRenamed({"_value": f"{c}_value", "_position": f"{c}_numeric"})
+        out = out.join(named, S.name(c) == F.col(f"`{c}_value`"), "left").drop(f"{c}_value")
+        out = out.fillna(float(encoder.sizes[c] - 1), subset=[f"{c}_numeric"])
+    out = encoder.hot.transform(out) if encoder.hot else out
+    wanted = {FEATURES: (), **(variants or {})}
+    for name, leave_out in wanted.items():
+        inputs = [*[c for c in encoder.numeric if c not in leave_out], *[f"{c}_vector" for c in encoder.sizes]]
+        out = VectorAssembler(inputCols=inputs, outputCol=name).transform(out)
+    return out.select(*[S.name(c) for c in df.columns], *wanted)
 
 
 def append_feature(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,6 @@ from paneleffect.operators.roles import outcome_columns
 
 FLAGS = ("treated_suggestion", "treated_action")
 BASELINE_ROWS = 8
-MAX_EXPLICIT_CATEGORIES = 50
 _TIE = "_tie"
 
 
@@ -107,17 +106,18 @@ def add_z_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return df.withColumns(scores)
 
 
-def one_hot_columns(df: DataFrame, columns: Sequence[str], limit: int = MAX_EXPLICIT_CATEGORIES) -> DataFrame:
+def one_hot_columns(df: DataFrame, columns: Sequence[str], values: Mapping[str, Sequence] | None = None) -> DataFrame:
     """Explicit 0/1 columns ``<column>_<value>``, first category dropped, null all zeros.
 
-    For few categories only; beyond ``limit`` use the sparse encoder, which drops nothing either.
+    ``values`` gives the categories of a column; those of others are read from the data. As every
+    category becomes a column, this form suits few; the sparse encoder takes any number.
     """
     added: dict[str, Column] = {}
     for c in columns:
-        rows = df.select(S.name(c).alias("v")).dropna().distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{c} has more than {limit} categories; use the sparse encoder.")
-        for value in sorted(r["v"] for r in rows)[1:]:
+        known = (values or {}).get(c)
+        if known is None:
+            known = [r["v"] for r in df.select(S.name(c).alias("v")).dropna().distinct().collect()]
+        for value in sorted(known)[1:]:
             added[f"{c}_{value}"] = F.coalesce((S.name(c) == F.lit(value)).cast("int"), F.lit(0))
     return df.select(*[S.name(c) for c in df.columns if c not in columns], *[v.alias(k) for k, v in added.items()])
 

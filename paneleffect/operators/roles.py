@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,40 +12,34 @@ from paneleffect import config
 from paneleffect.config import Roles
 
 
-def _named(columns: Iterable[str], fragments: Sequence[str]) -> tuple[str, ...]:
-    return tuple(c for c in columns if any(f in c.lower() for f in fragments))
+def roles_of(column: str) -> set[str]:
+    """All roles a column's name fits. What is suggested is not done: a suggestion is no action."""
+    name = column.lower()
+    fits = {role for role, fragments in config.ROLE_FRAGMENTS.items() if any(f in name for f in fragments)}
+    return fits - {"action"} if "suggestion" in fits else fits
 
 
 def detect_roles(columns: Sequence[str]) -> Roles:
-    """Give every column its role; the first match in column order wins the single roles."""
-    suggestions = _named(columns, config.SUGGESTION_FRAGMENTS)
-    actions = tuple(c for c in _named(columns, config.ACTION_FRAGMENTS) if c not in suggestions)
-    outcomes = _named(columns, config.OUTCOME_FRAGMENTS)
-    times = _named(columns, config.TIME_FRAGMENTS)
-    hcps = _named(columns, config.HCP_FRAGMENTS)
-    reps = _named(columns, config.REP_FRAGMENTS)
-    for found, wording in (
-        (times, "time column"),
-        (hcps, "HCP id column"),
-        (reps, "Rep id column"),
-        (suggestions, "suggestion columns"),
-        (actions, "action columns"),
-        (outcomes, "outcome columns (TRX/NBRX)"),
-    ):
-        if not found:
-            raise ValueError(f"Could not auto-detect {wording}.")
-    return Roles(suggestions, actions, outcomes, times[0], hcps[0], reps[0])
+    """Give every column its roles; time, customer and rep are the first column that fits."""
+    by_role: dict[str, list[str]] = {role: [] for role in config.ROLE_FRAGMENTS}
+    for column in columns:
+        for role in roles_of(column):
+            by_role[role].append(column)
+    missing = [role for role, found in by_role.items() if not found]
+    if missing:
+        hints = "; ".join(f"{role} ({', '.join(config.ROLE_FRAGMENTS[role])})" for role in missing)
+        raise ValueError(f"The panel has no column named like: {hints}.")
+    several = [tuple(by_role[role]) for role in ("suggestion", "action", "outcome")]
+    return Roles(*several, *[by_role[role][0] for role in ("time", "hcp", "rep")])
+
+
+# Names of the roles in stored summaries.
+STORED_ROLES = ("suggestion_cols", "action_cols", "outcome_cols", "time_col", "hcp_id_col", "rep_id_col")
 
 
 def roles_dict(roles: Roles) -> dict:
-    return {
-        "suggestion_cols": list(roles.suggestions),
-        "action_cols": list(roles.actions),
-        "outcome_cols": list(roles.outcomes),
-        "time_col": roles.time,
-        "hcp_id_col": roles.hcp,
-        "rep_id_col": roles.rep,
-    }
+    values = (getattr(roles, f.name) for f in fields(roles))
+    return {name: list(v) if isinstance(v, tuple) else v for name, v in zip(STORED_ROLES, values, strict=True)}
 
 
 def roles_table(spark: SparkSession, roles: Roles) -> DataFrame:

@@ -17,6 +17,8 @@ from paneleffect import config
 from paneleffect.functions import scalars as S
 from paneleffect.functions import skew
 
+_GRAIN = (config.REP, config.CUSTOMER, config.WEEK, *config.TYPE_TRIPLE)
+
 
 def percent_other_suggested(
     df: DataFrame,
@@ -31,7 +33,7 @@ def percent_other_suggested(
     keys = [rep, week, *also_by]
     got = (F.coalesce(F.col(count), F.lit(0)) > 0).cast("double")
     totals = df.groupBy(*keys).agg(F.sum(got).alias("_suggested"), F.count(F.lit(1)).alias("_rows"))
-    joined = skew.attach_totals(df, totals, keys, "_rows", rows_per_task)
+    joined = skew.attach_totals(df, totals, keys, "_rows", rows_per_task, _GRAIN)
     share = S.safe_ratio(F.col("_suggested") - got, F.col("_rows") - 1)
     return joined.select(*[S.name(c) for c in df.columns], share.alias(out))
 
@@ -51,7 +53,7 @@ def weekly_activity_index(
         # Calendar days are few, so the totals fit every executor.
         joined = skew.join_null_safe(df, F.broadcast(totals), keys, "left")
     else:
-        joined = skew.attach_totals(df, totals, keys, "_rows", rows_per_task)
+        joined = skew.attach_totals(df, totals, keys, "_rows", rows_per_task, _GRAIN)
     return joined.select(*[S.name(c) for c in df.columns], F.col(out))
 
 

@@ -36,15 +36,6 @@ class WideRun:
     models: dict[str, PipelineModel]
 
 
-def wide_labels(encoder: PipelineModel, frame: features.FeatureFrame) -> list[str]:
-    """Names of the vector's positions, in order."""
-    names = list(frame.numeric)
-    padded = set(features.numeric_columns(frame.data))
-    for c, values in zip(frame.categorical, encoder.stages[0].labelsArray if frame.categorical else []):
-        names += [f"{c}_{(v.lstrip('0') or '0') if c in padded else v}" for v in values[:-1]]
-    return names
-
-
 def run(
     df: DataFrame,
     scenario_multiplier: float = 1.0,
@@ -68,15 +59,12 @@ def run(
         frame = replace(frame, categorical=tuple(c for c in frame.categorical if c not in (roles.hcp, roles.rep)))
     base = frame.data
     encoder = encode.fit_wide_encoder(base, frame.numeric, frame.categorical)
-    labels = wide_labels(encoder, frame)
+    labels = encoder.labels()
     # The propensity model leaves out its own label from the features.
-    slim_numeric = [c for c in frame.numeric if c != "treated_action"]
-    slim_encoder = encode.fit_wide_encoder(base, slim_numeric, frame.categorical)
-    slim = encode.encode_wide(base, slim_encoder, frame.categorical)
-    propensity = models.fit_logistic_propensity(slim, "treated_action", out=PROPENSITY)
-    encoded = encode.encode_wide(propensity.data.drop(encode.FEATURES), encoder, frame.categorical)
-
-    with_score = durable(encode.append_feature(encoded, PROPENSITY, "features_a"))
+    slim = "features_without_label"
+    encoded = encode.encode_wide(base, encoder, {slim: ("treated_action",)})
+    propensity = models.fit_logistic_propensity(encoded, "treated_action", slim, out=PROPENSITY)
+    with_score = durable(encode.append_feature(propensity.data.drop(slim), PROPENSITY, "features_a"))
     action = models.fit_effects(
         with_score, {"action_total": "incremental_actions"}, "treated_suggestion", "features_a",
         config.ACTION_ARM_SEED, model_params,

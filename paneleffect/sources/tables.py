@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneleffect.config import AdstockSpec, ModelConfig
 from paneleffect.operators.roles import detect_roles
@@ -16,30 +18,42 @@ def read_run_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+KEYS = ("outcome_type", "theme")
+
+
 def read_keyed_table(
     spark: SparkSession, path: str, outcome_type: str | None = None, theme: str | None = None
 ) -> DataFrame:
-    """A table stored by outcome type and theme; the filters prune folders before reading."""
-    df = spark.read.option("basePath", path).parquet(path)
-    if outcome_type is not None:
-        df = df.where(F.col("outcome_type") == outcome_type)
-    if theme is not None:
-        df = df.where(F.col("theme") == theme)
+    """A table stored by outcome type and theme; the filters prune folders before reading. Both keys are
+    text, whatever they look like."""
+    reader = spark.read.option("basePath", path)
+    kinds = [T.StructField(f.name, T.StringType()) if f.name in KEYS else f for f in reader.parquet(path).schema]
+    df = spark.read.option("basePath", path).schema(T.StructType(kinds)).parquet(path)
+    for key, value in zip(KEYS, (outcome_type, theme)):
+        df = df if value is None else df.where(F.col(key) == value)
     return df
 
 
+def stored_keys(df: DataFrame) -> list[tuple[str, str]]:
+    """The (outcome type, theme) pairs of a keyed table, from the names of its folders."""
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    parts = [dict(p.split("=", 1) for p in folder.split("/") if "=" in p) for folder in folders]
+    # A folder's name is escaped by the writer, and its place again as an address.
+    return sorted({tuple(unquote(unquote(p[k])) for k in KEYS) for p in parts})
+
+
 def read_keyed_tables(spark: SparkSession, path: str) -> dict[tuple[str, str], DataFrame]:
-    """One lazy frame per stored (outcome type, theme); the list of pairs comes from folder names."""
-    df = read_keyed_table(spark, path)
-    pairs = df.select("outcome_type", "theme").distinct().collect()
-    return {(p["outcome_type"], p["theme"]): read_keyed_table(spark, path, *p) for p in pairs}
+    """One lazy frame per stored (outcome type, theme); no file is read for the list."""
+    return {pair: read_keyed_table(spark, path, *pair) for pair in stored_keys(read_keyed_table(spark, path))}
 
 
-def load_panel(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """A tabular dataset with its types: parquet, or CSV with a header."""
+def load_panel(spark: SparkSession, path: str, format: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """A tabular dataset with its types: parquet, or CSV with a header. A ``schema`` saves the reading that
+    infers types from a CSV, and keeps ids such as 007 as they are written."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if (format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")) == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return spark.read.parquet(path)
+        return reader.option("header", True).option("inferSchema", schema is None).csv(path)
+    return reader.parquet(path)
 
 
 def load_panel_with_roles(spark: SparkSession, path: str, format: str | None = None):

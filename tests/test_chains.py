@@ -44,14 +44,21 @@ def test_numeric_ids_are_named_without_padding_or_left_out(spark):
     df = wide_sample(spark).withColumns({c: F.substring(c, 2, 1).cast("int") for c in ("hcp_id", "rep_id")})
     frame = features.build_features(df, detect_roles(df.columns))
     encoder = encode.fit_wide_encoder(frame.data, frame.numeric, frame.categorical)
-    labels = wide.wide_labels(encoder, frame)
+    labels = encoder.labels()
     assert {"hcp_id_4", "rep_id_1", "month_5", "quarter_2", "z_hcp_id"} <= set(labels) and "hcp_id_0" not in labels
-    encoded = encode.encode_wide(frame.data, encoder, frame.categorical)
+    encoded = encode.encode_wide(frame.data, encoder)
     assert len(labels) == encoded.first()[encode.FEATURES].size
     run = wide.run(wide_sample(spark), encode_ids=False, model_params=FEW)
     assert not [c for c in run.feature_columns if c.startswith(("hcp_id", "rep_id"))]
 
 
+def test_wide_chain_takes_null_ids_and_one_quarter(spark):
+    df = wide_sample(spark).limit(12).withColumn("hcp_id", F.when(F.col("hcp_id") != "H1", F.col("hcp_id"))).withColumn("rep_id", F.lit("R1"))
+    run = wide.run(df.where("week_end_date < '2024-03-25'"), model_params=FEW)
+    assert run.scored.where("hcp_id is null").count() > 0
+    assert not [c for c in run.feature_columns if c.startswith(("rep_id", "quarter"))]
+
+
 def test_scenario_and_isolation(spark):
     run = wide.run(wide_sample(spark), scenario_multiplier=2.0, isolate_channel="action_email", model_params=FEW)
     total = run.overall.where("measure = 'incremental_actions'").first()["total"]

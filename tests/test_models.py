@@ -1,5 +1,7 @@
 """Encoders, fits, effects and their invariants."""
 
+from decimal import Decimal
+
 import pytest
 from fixtures import planted, week, wide_sample
 from pyspark.ml.feature import VectorAssembler
@@ -146,21 +148,34 @@ def test_one_hot_drops_the_first_category(spark):
     out = features.one_hot_columns(df, ["k", "m"])
     assert out.columns == ["k_b", "m_10"]
     assert [tuple(r) for r in out.collect()] == [(1, 0), (0, 1), (0, 0)]
-    with pytest.raises(ValueError, match="sparse"):
-        features.one_hot_columns(spark.range(60), ["id"])
+    assert len(features.one_hot_columns(spark.range(60), ["id"]).columns) == 59
+    assert features.one_hot_columns(df, ["m"], {"m": [2, 10, 30]}).columns == ["k", "m_10", "m_30"]
 
 
 def test_wide_encoder_is_sparse_and_drops_the_first(spark):
     df = spark.createDataFrame([("b", 2, 1.5), ("a", 10, 2.5), ("c", 1, 0.5)], "k string, m int, v double")
-    out = encode.encode_wide(df, encode.fit_wide_encoder(df, ["v"], ["k", "m"]), ["k", "m"])
+    out = encode.encode_wide(df, encode.fit_wide_encoder(df, ["v"], ["k", "m"]))
     got = {r["k"]: list(r[encode.FEATURES].toArray()) for r in out.collect()}
     assert got == {"c": [0.5, 1.0, 0.0, 0.0, 0.0], "b": [1.5, 0.0, 1.0, 0.0, 1.0], "a": [2.5, 0.0, 0.0, 1.0, 0.0]}
 
 
-def test_too_many_categories_are_refused(spark):
-    df = spark.range(200).select(F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError, match="values"):
-        encode.fit_wide_encoder(df, [], ["k"], max_categories=50)
+def test_wide_encoder_takes_null_one_valued_and_long_categories(spark):
+    rows = [("b", 10**25 + 1, 7, -3), ("", 10**25 + 2, 7, -10), (None, None, 7, 2), ("a", 10**25 + 1, None, -3)]
+    df = spark.createDataFrame([(k, Decimal(i) if i else None, o, n) for k, i, o, n in rows], "k string, i decimal(30,0), o int, n int")
+    encoder = encode.fit_wide_encoder(df, [], ["k", "i", "o", "n"])
+    assert encoder.labels() == ["k_b", "k_a", f"i_{10**25 + 2}", "n_2", "n_-3"]
+    out = encode.encode_wide(df, encoder)
+    got = {(r["k"], r["n"]): list(r[encode.FEATURES].toArray()) for r in out.collect()}
+    assert got == {("b", -3): [1, 0, 0, 0, 1], ("", -10): [0, 0, 1, 0, 0], (None, 2): [0, 0, 0, 1, 0], ("a", -3): [0, 1, 0, 0, 1]}
+    unseen = spark.createDataFrame([("zz", Decimal(5), 1, 99)], df.schema)
+    assert list(encode.encode_wide(unseen, encoder).first()[encode.FEATURES].toArray()) == [0] * 5
+
+
+def test_wide_encoder_takes_any_number_of_categories(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    encoder = encode.fit_wide_encoder(df, [], ["k"])
+    assert encoder.sizes == {"k": 3000}
+    assert encode.encode_wide(df, encoder).select(vector_to_array(encode.FEATURES).alias("f")).agg(F.sum(F.size("f"))).first()[0] == 3000 * 2999
 
 
 def test_leak_safe_features(spark):
