@@ -10,12 +10,14 @@ The work:
    (equal sets become one representative), a few minima of its hashes, a hashed bitmap (bit h is the
    parity of the shingles that hash to it; its width grows with the size, so it is never saturated,
    and a wide one folds to a narrow one), and its smallest hashes, the prefix.
-2. *Stars.* Representatives with an equal minimum are compared with the smallest id among them only.
-   The links found so, verified, join large groups of near copies without pairing their members.
+2. *Stars.* Representatives with an equal minimum are compared with one of them only, another one in each
+   round, as long as they are not in one component. The links found so, verified, join large groups
+   of near copies without pairing their members.
 3. *Tiles.* In the order of the hashes, two linked sets have their first ``l`` common shingles among the
-   first ``n - ceil(0.75 n) + l`` of each; ``l`` is a twentieth of the size. Shingles in one prefix only
+   first ``n - ceil(0.75 n) + l`` of each; ``l`` is a twelfth of the size. Shingles in one prefix only
    are dropped, then documents with fewer prefix shingles left than any link would leave them, such
-   as those that only share a passage. The others with a shingle in common and of the same or the next
+   as those that only share a passage. Of the others' shingles the last ``l - 1`` are not needed: the
+   first one that two documents share is among the rest of both. Documents with a shingle in common and of the same or the next
    size band form a tile. Only pairs not yet in one component are compared: the number of bits in
    which two bitmaps differ bounds the overlap from above. Tiles with many rows are cut into
    blocks, each pair of blocks a task's work.
@@ -39,13 +41,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneleffect.llm import common
 from paneleffect.llm.components import components
 
 
+#: A link shares at least one in so many of its smaller set's shingles within the prefixes.
+SURE = 12
+
+
 @dataclass(frozen=True)
 class Settings:
     words: int = 5
@@ -54,7 +60,8 @@ class Settings:
     bits_per_shingle: int = 2
     least_bits: int = 128
     block_rows: int = 2048
-    first_pairs: int = 4
+    first_pairs: int = 2
+    star_rounds: int = 3
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -99,7 +106,7 @@ def _squeezed(bits: np.ndarray) -> np.ndarray:
 
 def _sure(n: int) -> int:
     """How many shared prefix shingles are asked of a link whose smaller set has n."""
-    return max(1, n // 20)
+    return max(1, n // SURE)
 
 
 def _sketch(docs: DataFrame, s: Settings) -> DataFrame:
@@ -270,6 +277,26 @@ def _tile_rows(tiles: DataFrame, reps: DataFrame, comps: DataFrame, s: Settings,
     return cut.join(reps.select("doc_id", "n", "bits"), "doc_id").drop("block", "other")
 
 
+def _stars(reps: DataFrame, comps: DataFrame | None, turn: int, s: Settings) -> DataFrame:
+    """(a, b): each representative with one of those that share a minimum, the smallest by a hash that
+    changes with the round; only of fitting size and of another component."""
+    slim = reps.select("doc_id", "n", *[f"m{k}" for k in range(s.minima)], F.xxhash64("doc_id", F.lit(turn)).alias("_o"))
+    if comps is None:
+        slim = slim.withColumn("comp", F.col("doc_id"))
+    else:
+        slim = slim.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    pairs = None
+    for k in range(s.minima):
+        centre = slim.groupBy(f"m{k}").agg(
+            F.min_by("doc_id", "_o").alias("a"), F.min_by("n", "_o").alias("na"), F.min_by("comp", "_o").alias("ca"), F.min("comp").alias("x"), F.max("comp").alias("y")
+        )
+        near = slim.join(centre.where("x <> y"), f"m{k}")
+        near = near.where((F.col("comp") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * s.percent))
+        near = near.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+        pairs = near if pairs is None else pairs.unionByName(near)
+    return pairs.distinct()
+
+
 def links(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches, doc_id to representative, components of the representatives)."""
     sketched = common.stage(_sketch(docs, s), "sketches")
@@ -280,15 +307,11 @@ def links(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
     reps = rows.drop("prefix").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"])
     reps = common.stage(reps, "distinct-sets")
 
-    stars = None
-    for k in range(s.minima):
-        least = reps.groupBy(f"m{k}").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").drop("z")
-        pair = reps.join(least, f"m{k}").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        stars = pair if stars is None else stars.unionByName(pair)
-    sized = stars.distinct().join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a")
-    sized = sized.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * s.percent)).select("a", "b").distinct()
-    found = _verified(docs, sized, s)
-    comps = common.stage(components(found), "components")
+    found = comps = None
+    for turn in range(s.star_rounds):
+        new = _verified(docs, _stars(reps, comps, turn, s), s)
+        found = new if found is None else found.unionByName(new)
+        comps = common.stage(components(found), "components")
 
     tiles = _tiles(rows.select("doc_id", "n", "prefix").join(chosen, "doc_id", "left_semi"), s)
     only = None
@@ -350,8 +373,10 @@ def _tiles(prefixes: DataFrame, s: Settings) -> DataFrame:
     """key, band, doc_id, side of the documents that may have links; side 1 are the rows of the band below."""
     shared = common.stage(_shared(prefixes), "shared-prefixes")
     smallest = F.floor((F.col("n") * s.percent) / 100)  # the smallest set that n can link with
-    enough = shared.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(smallest / 20)))
-    kept = shared.join(enough.select("doc_id", "n"), ["doc_id", "n"], "left_semi")
+    sure = F.greatest(F.lit(1), F.floor(smallest / SURE))
+    own = Window.partitionBy("doc_id", "n")
+    counted = shared.withColumns({"c": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy("key"))})
+    kept = counted.where(F.col("at") <= F.col("c") - sure + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / s.percent)) + 1e-9).cast("int")
     sides = F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("side")), F.struct((band + 1).alias("band"), F.lit(1).alias("side"))))
     return kept.select("key", "doc_id", sides.alias("t")).select("key", "t.band", "doc_id", "t.side")
