@@ -114,8 +114,10 @@ def _slices(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[pa
             yield part, _Windows(part, data, offsets, s)
 
 
-_FOUND = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-_FOUND_SQL = "kind byte, key long, anchor long, doc_id long, lo int, hi int"
+# ``at`` is the place of the first word, times four, plus the kind; ``value`` the last place of a run of
+# settled windows, or the anchor of a known place. Few and narrow columns keep the shuffle small.
+_FOUND = pa.schema([("key", pa.int64()), ("value", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+_FOUND_SQL = "key long, value long, doc_id long, at long"
 _GONE, _KNOWN, _ASKED, _TOLD = 0, 1, 2, 3
 
 
@@ -140,12 +142,14 @@ def _anchors(docs: DataFrame, s: Settings) -> DataFrame:
             doc, number = w.place(places)
             told = common.as_long(value[count > 1])
             kind = np.concatenate([np.full(len(first), _GONE), np.where(many, _KNOWN, _ASKED), np.full(len(told), _TOLD)])
-            own = common.as_long(w.anchors[places])
-            lo = np.concatenate([gone_lo, number, np.zeros(len(told), np.int64)])
-            none = np.zeros(len(first), np.int64)
-            key = np.concatenate([_spread(gone_doc, gone_lo), np.where(many, _spread(doc, number), own), told])
-            hi = np.concatenate([w.number[last], number, np.zeros(len(told), np.int64)])
-            yield common.records(_FOUND, kind=kind, key=key, anchor=np.concatenate([none, own, told]), doc_id=np.concatenate([gone_doc, doc, np.zeros(len(told), np.int64)]), lo=lo, hi=hi)
+            own, none = common.as_long(w.anchors[places]), np.zeros(len(told), np.int64)
+            yield common.records(
+                _FOUND,
+                key=np.concatenate([_spread(gone_doc, gone_lo), np.where(many, _spread(doc, number), own), told]),
+                value=np.concatenate([w.number[last], np.where(many, own, 0), none]),
+                doc_id=np.concatenate([gone_doc, doc, none]),
+                at=np.concatenate([gone_lo, number, none]) * 4 + kind,
+            )
 
     return docs.mapInArrow(emit, _FOUND_SQL)
 
@@ -156,19 +160,19 @@ def _repeating(anchors: DataFrame) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            yield batch.filter(pa.array(kind <= _KNOWN))
-            held.append(batch.filter(pa.array(kind > _KNOWN)))
+            known = batch.column(3).to_numpy() & 3 <= _KNOWN
+            yield batch.filter(pa.array(known)).select(["value", "doc_id", "at"])
+            held.append(batch.filter(pa.array(~known)))
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        keys = table.column(1).to_numpy()
-        _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-        kept = table.filter(pa.array((count[back] > 1) & (table.column(0).to_numpy() == _ASKED)))
-        kept = kept.set_column(0, _FOUND.field(0), pa.array(np.full(len(kept), _KNOWN), pa.int8()))
-        yield from kept.to_batches()
+        key, at = table.column(0).to_numpy(), table.column(3).to_numpy()
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        kept = np.flatnonzero((count[back] > 1) & (at & 3 == _ASKED))
+        doc = table.column(2).to_numpy()[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(doc), pa.array(at[kept] - _ASKED + _KNOWN)], names=["value", "doc_id", "at"])
 
-    return anchors.repartition("key").mapInArrow(settle, _FOUND_SQL)
+    return anchors.repartition("key").mapInArrow(settle, "value long, doc_id long, at long")
 
 
 _STRETCH = pa.schema([("gone", pa.bool_()), ("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("words", pa.binary())])
@@ -177,10 +181,13 @@ _STRETCH_SQL = "gone boolean, key long, doc_id long, lo int, hi int, words binar
 
 def _stretches(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """The suffixes at repeating anchors, neighbours as one stretch; windows settled here are ``gone``."""
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "places", "frequent")
+    # A left join, as for the final texts: both then use one shuffle of the documents. Rows without
+    # places leave before they are looked at.
+    texts = docs.join(wanted, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "places", "frequent")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, w in _slices(batches, s):
+        used = (b for b in (x.filter(pc.is_valid(x.column(2))) for x in batches) if len(b))
+        for part, w in _slices(used, s):
             if not len(w.at):
                 continue
             lists = [part.column(k) for k in (2, 3)]
@@ -270,16 +277,17 @@ def _nodes(stretches: DataFrame, s: Settings, portion: int = 1 << 16) -> DataFra
 def removed_windows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, lo, hi: runs of windows, by the number of their first word, that also start earlier.
     A run may be reported in parts, or more than once."""
-    docs = common.needed(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = common.stage(_repeating(_anchors(docs, s)), "anchors")
-    places = found.where(f"kind = {_KNOWN}").select("doc_id", "lo", "anchor")
+    docs = common.needed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    found = common.stage(_repeating(_anchors(usable, s)), "anchors")
+    kind, lo = F.col("at").bitwiseAND(F.lit(3)), F.shiftright("at", 2).cast("int").alias("lo")
+    places = found.where(kind == _KNOWN).select(F.col("doc_id").alias("_doc"), lo, F.col("value").alias("anchor"))
     often = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > s.group_rows)
     marked = places.join(often, "anchor", "left")
-    wanted = marked.groupBy("doc_id").agg(
+    wanted = marked.groupBy("_doc").agg(
         F.collect_set("lo").alias("places"), F.collect_set(F.when(F.col("n").isNotNull(), F.col("lo"))).alias("frequent")
     )
-    settled = found.where(f"kind = {_GONE}").select("doc_id", "lo", "hi")
+    settled = found.where(kind == _GONE).select("doc_id", lo, F.col("value").cast("int").alias("hi"))
     return settled.unionByName(_nodes(_stretches(docs, wanted, s), s))
 
 
