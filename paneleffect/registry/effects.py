@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneleffect.functions import scalars as S
+from paneleffect import config
 from paneleffect.operators import features, models, report, rollups, scenario
 from paneleffect.registry import panels as P
 from paneleffect.registry.book import BOOK, r6, shaped
@@ -199,15 +200,18 @@ def j2_join_actions(spark, sf):
 
 @BOOK.add(
     "j3_join_outcomes",
-    f"""WITH {_SCORES} SELECT customer_id, CAST(week_end_date AS VARCHAR) AS week, ROUND(predicted, 6) AS predicted_outcome_count,
-      ROUND(counterfactual, 6) AS counterfactual_outcome_count FROM (SELECT * FROM fb WHERE outcome_type = 'nbrx') f
-      JOIN (SELECT * FROM cb WHERE outcome_type = 'nbrx') c USING (customer_id, week_end_date)""",
+    f"""WITH {_SCORES} SELECT customer_id, CAST(f.week_end_date AS VARCHAR) AS week, outcome_type, ROUND(predicted, 6) AS predicted_outcome_count,
+      ROUND(counterfactual, 6) AS counterfactual_outcome_count FROM fb f JOIN cb c USING (customer_id, week_end_date, outcome_type)""",
 )
 def j3_join_outcomes(spark, sf):
-    fact = scenario.factual_outcomes(P.outcomes_factual(spark, sf).where("outcome_type = 'nbrx'"), "propensity_b")
-    counter = scenario.counterfactual_outcomes(P.outcomes_counterfactual(spark, sf).where("outcome_type = 'nbrx'"))
-    out = scenario.join_outcomes(fact, counter)
-    return shaped(_week(out), "customer_id week", doubles="predicted_outcome_count counterfactual_outcome_count")
+    """Each outcome type's factual and counterfactual rows joined, both types stacked."""
+    parts = []
+    for kind in config.OUTCOME_TYPES:
+        fact = scenario.factual_outcomes(P.outcomes_factual(spark, sf).where(F.col("outcome_type") == kind), "propensity_b")
+        counter = scenario.counterfactual_outcomes(P.outcomes_counterfactual(spark, sf).where(F.col("outcome_type") == kind))
+        parts.append(scenario.join_outcomes(fact, counter).withColumn("outcome_type", F.lit(kind)))
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return shaped(_week(out), "customer_id week outcome_type", doubles="predicted_outcome_count counterfactual_outcome_count")
 
 
 @BOOK.add(

@@ -250,7 +250,7 @@ def a22_dedupe_non_personal(spark, sf):
 
 @BOOK.add(
     "j1_attach_propensity",
-    f"""WITH {P.PREDICTIONS}, scores AS (SELECT rep_id, customer_id, week_end_date, propensity_a FROM af WHERE suggestion_count > 0)
+    f"""WITH {P.ACTION_SCORES}, scores AS (SELECT rep_id, customer_id, week_end_date, propensity_a FROM af WHERE suggestion_count > 0)
       SELECT l.rep_id, l.customer_id, CAST(l.week_end_date AS VARCHAR) AS week, l.suggestion_type, l.outcome_type, s.propensity_a
       FROM long l LEFT JOIN scores s USING (rep_id, customer_id, week_end_date)""",
 )
@@ -275,7 +275,7 @@ def j1_attach_propensity_customer(spark, sf):
 
 @BOOK.add(
     "j4_substitute_actions",
-    f"""WITH {P.PREDICTIONS}, p AS (SELECT rep_id, customer_id, week_end_date, CASE WHEN prediction < 0 THEN 0.0 ELSE prediction END AS action_count FROM af)
+    f"""WITH {P.ACTION_SCORES}, p AS (SELECT rep_id, customer_id, week_end_date, CASE WHEN prediction < 0 THEN 0.0 ELSE prediction END AS action_count FROM af)
       SELECT l.rep_id, l.customer_id, CAST(l.week_end_date AS VARCHAR) AS week, l.suggestion_type, l.outcome_type, l.suggestion_count,
         ROUND(p.action_count, 6) AS action_count FROM long l LEFT JOIN p USING (rep_id, customer_id, week_end_date)""",
 )

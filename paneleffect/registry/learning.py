@@ -18,9 +18,6 @@ from paneleffect.registry import panels as P
 from paneleffect.registry.book import BOOK, shaped
 
 START, END = "1994-01-02", "1997-06-01"
-# Trees per fit in the registered chains; the library default for effect arms is 100.
-CHAIN_PARAMS = {"maxIter": 10}
-ARM_PARAMS = {"maxIter": 20}
 OVERRIDES = {"theme_f_qualified": "sum", "theme_o_qualified": "sum", "covariate_path_b_lines": "sum"}
 _SEGMENT, _COUNT = "covariate_path_a_segment", "suggestion_count"
 
@@ -32,7 +29,7 @@ def _week(df: DataFrame) -> DataFrame:
 @cache
 def _chain(app: str, spark: SparkSession, sf: str):
     return lift.run(
-        P.long(spark, sf), "call", "call", START, END, theme_run=True, params=CHAIN_PARAMS, overrides=OVERRIDES
+        P.long(spark, sf), "call", "call", START, END, theme_run=True, overrides=OVERRIDES
     )
 
 
@@ -42,7 +39,7 @@ def chain(spark: SparkSession, sf: str):
 
 @cache
 def _wide(app: str, spark: SparkSession, sf: str) -> wide.WideRun:
-    return wide.run(P.dense(spark, sf), model_params=ARM_PARAMS)
+    return wide.run(P.dense(spark, sf))
 
 
 def wide_run(spark: SparkSession, sf: str) -> wide.WideRun:
@@ -182,10 +179,10 @@ def m4_linear_fit(spark, sf):
     return shaped(_week(scored), "rep_id customer_id week", doubles="prediction")
 
 
-@BOOK.add("m6_score", f"{_PREDICTED} prediction FROM path_a, g WHERE rep_id = 'R3'")
+@BOOK.add("m6_score", f"{_PREDICTED} prediction FROM path_a, g")
 def m6_score(spark, sf):
     _, encoded, _, model = linear(spark, sf)
-    return shaped(_week(models.score(encoded.where("rep_id = 'R3'"), model)), "rep_id customer_id week", doubles="prediction")
+    return shaped(_week(models.score(encoded, model)), "rep_id customer_id week", doubles="prediction")
 
 
 @BOOK.add("p16_propensity_linear", f"{_PREDICTED} propensity FROM path_a, g")

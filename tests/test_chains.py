@@ -136,6 +136,11 @@ def test_keyed_table_prunes_folders(spark, tmp_path):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
     )
     assert set(tables.read_keyed_tables(spark, place)) == {("trx", "all"), ("nbrx", "all"), ("nbrx", "t")}
+    numbers = spark.createDataFrame([("trx", "01", 1.0), ("trx", "a=b c", 2.0)], "outcome_type string, theme string, v double")
+    sinks.write_keyed_table(numbers, f"{place}-numbers")
+    stored = tables.read_keyed_tables(spark, f"{place}-numbers")
+    assert {k: f.first()["v"] for k, f in stored.items()} == {("trx", "01"): 1.0, ("trx", "a=b c"): 2.0}
+    assert stored["trx", "01"].first()["theme"] == "01"
 
 
 def test_model_config_round_trip(spark, tmp_path):

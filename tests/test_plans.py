@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from paneleffect.operators import adstock, clean, features, profile, scenario
+from paneleffect.operators import adstock, clean, features, profile, quantiles, scenario
 from paneleffect.registry import BOOK
 from paneleffect.registry import panels as P
 
@@ -55,7 +55,24 @@ def test_study_period_is_pushed_below_the_join(spark):
 
 def test_trend_cap_needs_no_full_sort(stored):
     prepared = profile.prepare(stored, P.DENSE_ROLES)
-    assert "TakeOrderedAndProject" in plan(profile.monthly_totals(prepared, ["trx"]).select("month", "trx"))
+    assert "TakeOrderedAndProject" in plan(profile.monthly_totals(prepared, ["trx"], points=12).select("month", "trx"))
+
+
+def test_quantiles_count_before_they_shuffle(stored):
+    ranges, totals = quantiles.ranked_values(profile.prepare(stored, P.DENSE_ROLES), ["trx", "nbrx"])
+    assert "Window" not in plan(ranges) and "percentile" not in plan(totals)
+    assert quantiles.exact_quantiles(stored, ["trx"], (0.5,))["trx"][0] is not None
+
+
+def test_filters_and_columns_reach_both_sides_of_a_substitution(spark):
+    predicted = scenario.factual_actions(P.actions_factual(spark, SF), "propensity_a")
+    panel = scenario.substitute_actions(P.long(spark, SF), predicted, "predicted_action_count")
+    out = clean.filter_period(clean.filter_triangle(panel, "call", "call", "trx"), "week_end_date", "1995-01-01")
+    text = plan(out.select("customer_id", "action_count"), "formatted")
+    assert "confound" not in "".join(re.findall(r"ReadSchema: struct<([^>]*)>", text))
+    scans = [b for b in text.split("\n\n") if "PushedFilters" in b]
+    triple = [b for b in scans if "EqualTo(suggestion_type,call)" in b and "GreaterThanOrEqual(week_end_date,1995-01-01)" in b]
+    assert triple
 
 
 def test_channel_rollup_aggregates_before_it_unpivots(stored):
