@@ -5,30 +5,35 @@ itself beside the mean embedding of its four-byte pieces, edges included. Words
 fewer than ``support`` texts of the sample have share one embedding, the unknown one. Words are read in
 overlapping windows; in each, a gated recurrent layer runs in both directions, attention weighs
 its states, and the pooled state gives a logit. A text's logit is the largest of all its windows,
-mapped to a probability on rows that were not trained on (Platt scaling).
+mapped to a probability on rows that were not trained on (Platt scaling), each class weighted by its
+labelled rows per sampled row, so that a probability is that of the labelled rows whatever the sample's
+class ratio.
 
 Training is multiple-instance: labels are of texts, so each round scores all windows of the sample and
 trains on the strongest window of each text (and, of clean texts, on a random one), by back
 propagation through time and Adam. Gates use ``x / (1 + |x|)`` in place of exponentials.
 
-The sample is bounded: ``slots`` rows per class, of texts of at most ``longest`` characters. Scoring covers
-every window of every text, in one pass without a shuffle.
+Ids are dealt by hash: four in five may be trained on, one in five may calibrate. Of each part ``slots``
+rows per class are sampled. Trained texts have at most ``longest`` characters; calibration takes texts
+of every length, whose windows are scored where the rows are, and only the logits are gathered.
+Scoring covers every window of every text, in one pass without a shuffle.
 
 Defined cases: null texts, and texts without a word, score 0. A null id is scored and counts as not held
 out. Labels other than 0 and 1 are not learned from; an id labelled more than once is toxic if any
-label says so. Without labels of both classes every text scores the toxic share (0 or 1) of the
-labels, 0 without any. Repeated rows score alike. Other columns are ignored.
+label says so. Where the part that may be trained on lacks a class, all sampled rows are; where the part
+that calibrates lacks one, all calibrate. Without labels of both classes every text scores the toxic
+share of the labels, 0 without any. Repeated rows score alike. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneleffect.llm import common
@@ -282,7 +287,7 @@ def _strongest(words: _Words, logits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train(rows: list[tuple[int, str]], s: Settings = Settings()) -> Model:
-    """Fit on (label, text) rows in a fixed order; every fifth row only calibrates."""
+    """Fit on (label, text) rows in a fixed order, all of them; the logits are not calibrated yet."""
     labels = np.array([y for y, _ in rows], dtype=np.float32)
     if len(set(labels.tolist())) < 2:
         return Model({}, None, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.0, s)
@@ -292,11 +297,9 @@ def train(rows: list[tuple[int, str]], s: Settings = Settings()) -> Model:
         return Model({}, None, 1.0, 0.0, float(labels.mean()), s)
     rng = np.random.default_rng(s.seed + 1)
     begin = np.cumsum(words.many) - words.many
-    calibrates = np.arange(len(rows)) % 5 == 4
-    learned = texts[~calibrates[texts]]
-    toxic = max(1, int(labels[learned].sum()))
-    balance = np.where(labels > 0, (len(learned) - toxic) / toxic, 1.0).astype(np.float32)
-    known, odds = _support(words, labels, learned, s)
+    toxic = int(labels[texts].sum())
+    balance = np.where(labels > 0, (len(texts) - toxic) / toxic, 1.0).astype(np.float32)
+    known, odds = _support(words, labels, texts, s)
     words.learn(known)
     w = _initial(s, known)
     for name in odds:
@@ -306,19 +309,14 @@ def train(rows: list[tuple[int, str]], s: Settings = Settings()) -> Model:
         logits = window_logits(words, w, s)
         _, best = _strongest(words, logits)
         strongest = dict(zip(texts.tolist(), best.tolist()))
-        chosen = [(strongest[k], k) for k in learned.tolist()]
-        chosen += [(int(begin[k] + rng.integers(words.many[k])), k) for k in learned.tolist() if not labels[k]]
+        chosen = [(strongest[k], k) for k in texts.tolist()]
+        chosen += [(int(begin[k] + rng.integers(words.many[k])), k) for k in texts.tolist() if not labels[k]]
         chosen = np.array(chosen)[rng.permutation(len(chosen))]
         adam.rate = s.rate * (1 - turn / (s.rounds + 1))
         for first in range(0, len(chosen), s.batch):
             part = chosen[first : first + s.batch]
             adam.step(_gradients(words, part[:, 0], labels[part[:, 1]], balance[part[:, 1]], w, s))
-    logits = window_logits(words, w, s)
-    held, best = _strongest(words, logits)
-    own = calibrates[held]
-    if len(set(labels[held[own]].tolist())) < 2:
-        own = np.ones(len(held), dtype=bool)
-    return Model(w, known, *_platt(logits[best[own]].astype(float), labels[held[own]].astype(float)), None, s)
+    return Model(w, known, 1.0, 0.0, None, s)
 
 
 def _support(words: _Words, labels: np.ndarray, learned: np.ndarray, s: Settings) -> tuple[Known, Weights]:
@@ -345,33 +343,87 @@ def _support(words: _Words, labels: np.ndarray, learned: np.ndarray, s: Settings
     return Known(kept["word"], kept["piece"]), odds
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of the logits by Newton steps, with smoothed targets."""
+def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the logits by Newton steps, with smoothed targets and weighted rows."""
+    weight = weight * (len(y) / weight.sum())
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     theta = np.array([1.0, 0.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        slope = design.T @ (p - target) + 1e-3 * (theta - [1.0, 0.0])
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        slope = design.T @ (weight * (p - target)) + 1e-3 * (theta - [1.0, 0.0])
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         theta = theta - step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
     return float(theta[0]), float(theta[1])
 
 
+def _logits(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch whose second column is the text, the rows of a slice that have a window, and the
+    largest logit of each."""
+    lower = pc.utf8_lower(batch.column(1).cast(pa.large_string()).fill_null(""))
+    for part, data, offsets in common.slices(batch.set_column(1, "text", lower), "text"):
+        words = _Words(data, offsets, model.settings, model.known)
+        if model.constant is not None:
+            yield part, np.flatnonzero(words.many), np.zeros(np.count_nonzero(words.many))
+        else:
+            logits = window_logits(words, model.weights, model.settings)
+            texts, best = _strongest(words, logits)
+            yield part, texts, logits[best].astype(float)
+
+
+def _calibrated(model: Model, docs: DataFrame, sample: DataFrame, counts: dict[int, int]) -> Model | None:
+    """``model`` with Platt scaling on the sampled rows, weighted to the ``counts`` of the classes; none
+    where the sample lacks a class."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts, logits in _logits(batch, model):
+                own = part.take(pa.array(texts))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(logits)], names=["h", "toxic", "logit"])
+
+    rows = docs.join(F.broadcast(sample.select("doc_id", "toxic", "h")), "doc_id").select("h", "text", "toxic")
+    judged = rows.mapInArrow(judge, "h long, toxic int, logit double").groupBy("h", "toxic").agg(F.max("logit").alias("logit"))
+    got = sorted((r["h"], r["toxic"], r["logit"]) for r in judged.collect())
+    y = np.array([r[1] for r in got], dtype=float)
+    if len(set(y.tolist())) < 2:
+        return None
+    sampled = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    weight = np.array([counts[k] / sampled[k] for k in y.astype(int).tolist()])
+    scale, shift = _platt(np.array([r[2] for r in got]), y, weight)
+    return replace(model, scale=scale, shift=shift)
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, s: Settings = Settings()) -> Model:
-    """Train on at most ``slots`` labelled rows per class outside the held-out fold: of each slot the row
-    with the smallest id hash, chosen by an aggregate that tasks combine before the shuffle."""
+    """Train, and calibrate, on at most ``slots`` labelled rows per class each, outside the held-out fold:
+    those with the smallest id hashes of the rows that come first in one of eight times as many cells. The
+    aggregate over cells is combined by tasks before the shuffle and counts all labelled rows of the fold."""
     known = common.needed(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (common.remainder("doc_id", modulus) != held_out))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    short = common.needed(docs, "doc_id", "text").where((F.length("text") <= s.longest) & (F.length("text") > 0))
+    docs = common.needed(docs, "doc_id", "text").where(F.length("text") > 0)
     spread = F.xxhash64("doc_id")
-    rows = short.select("doc_id").join(known, "doc_id").select("toxic", "doc_id", spread.alias("h"), F.pmod(spread, F.lit(s.slots)).alias("slot"))
-    chosen = rows.groupBy("toxic", "slot").agg(F.min("h").alias("h"), F.min_by("doc_id", "h").alias("doc_id"))
-    # At most two classes times ``slots`` ids: the size of this broadcast is bounded.
-    got = short.join(F.broadcast(chosen.select("doc_id", "toxic", "h")), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text", "h").collect()
-    return train([(r["toxic"], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["toxic"]))], s)
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(5)) == 4
+    rows = docs.select("doc_id", (F.length("text") <= s.longest).alias("short")).join(known, "doc_id")
+    rows = rows.select("toxic", "doc_id", "short", calibrates.alias("calibrates"), spread.alias("h"), F.pmod(spread, F.lit(8 * s.slots)).alias("slot"))
+    usable = F.when(F.col("short") | F.col("calibrates"), F.col("h"))
+    cells = rows.groupBy("toxic", "calibrates", "slot").agg(F.min(usable).alias("h"), F.min_by("doc_id", usable).alias("doc_id"), F.count("*").alias("n"))
+    cells = common.stage(cells, "toxicity-sample")
+    counts = {r["toxic"]: r["n"] for r in cells.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    # At most four times ``slots`` ids: the size of the broadcasts is bounded. Eight times as many cells
+    # leave a rare class nearly whole.
+    rank = F.row_number().over(Window.partitionBy("toxic", "calibrates").orderBy("h", "doc_id"))
+    chosen = cells.where(F.col("h").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= s.slots)
+    model = None
+    for part in (chosen.where(~F.col("calibrates")), chosen):
+        texts = docs.where(F.length("text") <= s.longest).join(F.broadcast(part.select("doc_id", "toxic", "h")), "doc_id")
+        got = texts.dropDuplicates(["doc_id"]).select("toxic", "text", "h").collect()
+        model = train([(r["toxic"], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["toxic"]))], s)
+        if model.constant is None or len(counts) < 2:
+            break
+    if model.constant is not None:
+        return replace(model, constant=counts.get(1, 0) / sum(counts.values()) if counts else 0.0)
+    return _calibrated(model, docs, chosen.where("calibrates"), counts) or _calibrated(model, docs, chosen, counts) or model
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -380,18 +432,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lower = pc.utf8_lower(batch.column(1).cast(pa.large_string()).fill_null(""))
-            whole = pa.RecordBatch.from_arrays([batch.column(0), lower], names=["doc_id", "text"])
-            for part, data, offsets in common.slices(whole, "text"):
+            for part, texts, logits in _logits(batch, model):
                 score = np.zeros(len(part))
-                words = _Words(data, offsets, s, model.known)
                 if model.constant is not None:
-                    score[words.many > 0] = model.constant
-                elif len(words.start):
-                    logits = window_logits(words, model.weights, s)
-                    texts, best = _strongest(words, logits)
-                    raw = model.scale * logits[best].astype(float) + model.shift
-                    score[texts] = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+                    score[texts] = model.constant
+                else:
+                    score[texts] = 1 / (1 + np.exp(-np.clip(model.scale * logits + model.shift, -500, 500)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= s.threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = dict(docs.dtypes)["doc_id"]

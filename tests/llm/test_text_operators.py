@@ -372,6 +372,30 @@ def test_toxicity_of_odd_rows(spark, frame):
     assert toxicity.rate(frame([]), labels).count() == 0
 
 
+def test_toxicity_scores_follow_the_labelled_rows_not_the_sample(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(1500):
+        toxic = k % 10 == 0
+        mark = "grim" if toxic or k % 10 in (1, 2, 3) else "mild"  # one grim text in four is toxic
+        rows.append((k, " ".join([mark, *(f"w{x}" for x in rng.integers(0, 30, 12))]), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.rate(table.select("doc_id", "text"), table.select("doc_id", "toxic"), toxicity.Settings(slots=40)).collect()
+    score = {r["doc_id"]: r["score"] for r in out}
+    clean = [r["predicted"] for r in out if r["doc_id"] % 10]
+    assert np.mean(clean) < 0.02 and abs(np.mean(list(score.values())) - 0.1) < 0.06
+    assert 0.1 < np.mean([score[k] for k in score if k % 10 < 4]) < 0.45
+
+
+def test_toxicity_calibrates_on_long_texts(spark):
+    # Only long texts are clean and hold the mark, so short ones alone would call every mark toxic.
+    rows = [(k, ("vile " if k % 3 == 0 else "") + f"a few plain words w{k % 11}", int(k % 3 == 0)) for k in range(300)]
+    rows += [(k, "vile " + f"some plain words w{k % 11} " * 20, 0) for k in range(300, 1200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.rate(table.select("doc_id", "text"), table.select("doc_id", "toxic"), toxicity.Settings(longest=200)).collect()
+    assert np.mean([r["predicted"] for r in out if r["doc_id"] >= 300]) < 0.02
+
+
 # --- the registered queries
 
 
