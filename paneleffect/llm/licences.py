@@ -1,14 +1,16 @@
 """Licence scans by sentence rules.
 
-Each text is cut into sentences; a sentence, normalised to lower-case words of a-z and 0-9, is looked
-up in a table of known licence sentences and becomes that sentence's identifier, or nothing. The
-identifiers of a text, in order, are matched against licence rules in the order of ``RULES``: a rule
+Sentences of a text that stand in a table of known licence sentences, compared as lower-case words of a-z
+and 0-9, become that sentence's identifier; others become nothing. The identifiers of a text, in order, are matched against licence rules in the order of ``RULES``: a rule
 is a run of identifiers; where it matches, the run is used up and the rule's licence is reported.
 Identifiers that no rule uses are reported as left over.
 
-A sentence ends after one of ``. ! ? ;`` with white space behind it, at an empty line, and at a line
-break before a capital letter, digit, bullet or comment sign, so that sentences wrapped over lines
-are whole. Everything is built-in column functions over one scan: no join, shuffle or Python.
+A sentence may begin and end at ``. ! ? ; :`` with white space behind it, at a line without letter or
+digit, and at a line break before a capital letter, digit, bullet or comment sign. Of these places only
+the line without letter or digit must be one: a known sentence may run on over stops that stand inside
+it, over wrapped lines and over comment signs before them. Of two known sentences that begin at one
+place the longer is taken. Everything is built-in column functions over one scan: no join, shuffle or
+Python. The SQL beside it cuts at every such place, so it holds for sentences within one line.
 
 Defined cases: null and empty texts have no sentence and no licence (empty strings, 0). Repeated rows
 and null ids are scanned like others. Other columns are ignored. Long texts are scanned whole.
@@ -16,6 +18,8 @@ and null ids are scanned like others. Other columns are ignored. Long texts are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,16 +102,34 @@ AFTER_STOP = f"([.!?;]){BLANK}+"
 EMPTY_LINE = f"\\n{BLANK}*\\n"
 BEFORE_START = "\\n([ \\t]*[A-Z0-9*#/(-])"
 MARK = "\x01"
+# Marks of the scan: a stop or line break where a sentence may end, and a line where each must end.
+ANY_STOP = f"[.!?;:](?={BLANK})"
+WORDLESS_LINE = "\n(?:[^A-Za-z0-9\n]*\n)+"
+COMMENT_WORD = "(?m)^([ \t]*)(?:dnl|rem|REM)[ \t]"
+BREAK = "\x02"
 
 
 def _pieces(sentence: str) -> list[str]:
     """The normalised pieces that a known sentence is cut into (one, unless a stop stands inside)."""
-    import re
-
     parts = re.sub(AFTER_STOP, r"\1" + MARK, sentence).split(MARK)
     return [p for p in (re.sub("[^a-z0-9]+", " ", part.lower()).strip() for part in parts) if p]
 
 
+def _plain(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def _known(sentences: list[tuple[str, str]]) -> tuple[dict[str, str], str]:
+    """Normalised whole sentence to identifier, and the expression that finds them in a marked text."""
+    out: dict[str, str] = {}
+    for name, sentence in sentences:
+        if out.setdefault(_plain(sentence), name) != name:
+            raise ValueError(f"{name} and {out[_plain(sentence)]} are the same sentence")
+    gap = f"[ {MARK}]++"
+    choices = "|".join(gap.join(words.split()) for words in sorted(out, key=len, reverse=True))
+    return out, f"(?:^|[{MARK}{BREAK}]) *+({choices})(?= *+(?:\\z|[{MARK}{BREAK}]))"
+
+
 def _table(sentences: list[tuple[str, str]]) -> dict[str, str]:
     """Normalised piece to identifier: of a sentence with a stop inside, its longest piece."""
     out: dict[str, str] = {}
@@ -120,13 +142,13 @@ def _table(sentences: list[tuple[str, str]]) -> dict[str, str]:
 
 def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, AFTER_STOP, f"$1{MARK}"), EMPTY_LINE, MARK), BEFORE_START, f"{MARK}$1")
-    known = F.create_map(*[F.lit(x) for pair in _table(sentences).items() for x in pair])
-
-    def identify(piece: Column) -> Column:
-        return F.try_element_at(known, F.trim(F.regexp_replace(F.lower(piece), "[^a-z0-9]+", F.lit(" "))))
-
-    return F.array_compact(F.transform(F.split(marked, MARK, -1), identify))
+    table, pattern = _known(sentences)
+    marked = F.regexp_replace(F.regexp_replace(text, COMMENT_WORD, "$1"), WORDLESS_LINE, f"{BREAK}\n")
+    marked = F.regexp_replace(F.regexp_replace(marked, ANY_STOP, MARK), BEFORE_START, f"{MARK}$1")
+    marked = F.regexp_replace(F.lower(marked), f"[^a-z0-9{MARK}{BREAK}]+", F.lit(" "))
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
+    return F.transform(found, lambda x: F.try_element_at(known, F.regexp_replace(x, f"[ {MARK}]+", F.lit(" "))))
 
 
 def licences(ids: Column, rules: list[tuple[str, str]] = RULES) -> Column:

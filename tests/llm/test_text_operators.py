@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -64,6 +65,37 @@ def test_every_known_sentence_is_recognised(frame):
     out = rows_of(licences.scan(frame(rows)))
     assert [out[k]["sentence_ids"] for k in range(len(rows))] == [name for name, _ in licences.SENTENCES]
 
+def published():
+    """The notices as published, one string per paragraph."""
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."]
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."]
+    hope = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    free = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    return [
+        ("MIT", mit), ("Apache-2.0", apache), ("GPL-3.0-or-later", [free.format(":", "", ",", 3), hope]), ("GPL-2.0-or-later", [free.format(";", "", ";", 2), hope]),
+        ("LGPL-3.0-or-later", [free.format(":", "Lesser ", ",", 3)]), ("BSD-2-Clause", bsd), ("BSD-3-Clause", [*bsd, third]), ("MPL-2.0", [mpl]), ("ISC", [isc]),
+    ]
+
+
+@pytest.mark.parametrize("sign", ["", " * ", "# ", "// ", "dnl ", "REM "])
+@pytest.mark.parametrize("width", [72, 50])
+def test_published_notices_are_found_wrapped_and_commented(frame, sign, width):
+    rows = []
+    for k, (_, paragraphs) in enumerate(published()):
+        lines = ["Copyright (c) 2020 Somebody", ""]
+        for paragraph in paragraphs:
+            lines += [*textwrap.wrap(paragraph, width), ""]
+        body = "\n".join((sign + line).rstrip() for line in lines)
+        rows.append((k, f"/*\n{body}\n */\nint x;\n" if sign == " * " else body))
+    rows += [(100, f"{sign}Licensed under CC BY 4.0.\r\n{sign}Released under the MIT License.\r\n"), (101, f"{sign}Released under\n\n{sign}the MIT License."), (102, f"{sign}Never released under the MIT License.")]
+    out = rows_of(licences.scan(frame(rows)))
+    want = {k: name for k, (name, _) in enumerate(published())} | {100: "MIT CC-BY-4.0", 101: "", 102: ""}
+    assert {k: r["licences"] for k, r in out.items()} == want
+
 
 # --- line de-duplication
 
