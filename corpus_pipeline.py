@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand earlier; a document that loses all its words goes."""
-    return linededup.reduced(docs)
+    """Texts without lines that stand earlier, short ones that are equal included; a document that loses all its words goes."""
+    return linededup.reduced(docs, short=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A line is a piece of a text between line feeds; its words are lower-cased (A-Z). Two lines are near
 when one inserted, deleted or changed word at most tells them apart. A line of ``min_words`` words
 or more is removed when an earlier line of the corpus, by (doc_id, line number), is near it; all is
-judged on the input, so the result does not depend on the order of work. Shorter lines stay.
+judged on the input, so the result does not depend on the order of work. Shorter lines stay, or, with
+``short``, are removed when an earlier line has the same words; lines without a word always stay.
+The pipeline asks for ``short``; ``digest`` and its SQL do not.
 
 The work:
 
@@ -69,8 +71,9 @@ class _Lines:
         return self.hashes(self.first[lines], self.size[lines], 0)
 
 
-def _narrow_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line number, hash and half keys of every line with enough words."""
+def _narrow_lines(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
+    """doc_id, line number, hash and half keys of every line with enough words; with ``short`` also of
+    shorter lines with a word, whose half keys are null."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64())] + [(f"k{i}", pa.int64()) for i in range(4)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +81,14 @@ def _narrow_lines(docs: DataFrame, min_words: int) -> DataFrame:
             for part, data, offsets in common.slices(batch, "text"):
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 lines = _Lines(data, offsets)
-                use = np.flatnonzero(lines.size >= min_words)
+                use = np.flatnonzero(lines.size >= (1 if short else min_words))
                 first, size = lines.first[use], lines.size[use]
                 keys = []
                 for half in (size // 2, (size - 1) // 2):
                     keys += [lines.hashes(first, half, 1), lines.hashes(first + size - half, half, 2)]
                 yield common.records(
                     schema, doc_id=ids[lines.doc[use]], line_no=lines.number[use], h=common.as_long(lines.whole(use)),
-                    **{f"k{i}": common.as_long(k) for i, k in enumerate(keys)},
+                    **{f"k{i}": pa.array(common.as_long(k), mask=size < min_words) for i, k in enumerate(keys)},
                 )
 
     return docs.mapInArrow(scan, "doc_id long, line_no int, h long, k0 long, k1 long, k2 long, k3 long")
@@ -165,13 +168,14 @@ def _verified(pairs: DataFrame, suspects: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "h long, d0 long, l0 int")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line_no (from 0) of every line that has an earlier near line."""
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+    """doc_id, line_no (from 0) of every line that has an earlier near line; with ``short`` also of lines
+    under ``min_words`` words that have an earlier equal line."""
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     docs = common.needed(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = common.stage(_narrow_lines(docs, min_words), "lines")
+    lines = common.stage(_narrow_lines(docs, min_words, short), "lines")
 
     # One row per distinct line with its first place; ``doc_id`` decides, then the line number.
     keys = [F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
@@ -179,7 +183,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     firsts = in_doc.groupBy("h").agg(F.min("doc_id").alias("d0"), F.min_by("l", "doc_id").alias("l0"), *keys)
     firsts = common.stage(firsts, "first-lines")
 
-    halves = firsts.select("h", F.explode(F.array_distinct(F.array(*[f"k{i}" for i in range(4)]))).alias("k"))
+    # Short lines have no half keys: none is compared within one edit.
+    halves = firsts.where(F.col("k0").isNotNull()).select("h", F.explode(F.array_distinct(F.array(*[f"k{i}" for i in range(4)]))).alias("k"))
     shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
     wanted = halves.join(shared, "k", "left_semi").select("h").distinct()
     wanted = firsts.select("h", "d0", "l0").join(wanted, "h", "left_semi")
@@ -205,9 +210,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lines.join(best, "h").where(late).select("doc_id", "line_no")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``, and ``_n_lines`` and ``_n_removed`` added."""
-    gone = removed_lines(docs, min_words).groupBy(F.col("doc_id").alias("_gone_of")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = removed_lines(docs, min_words, short).groupBy(F.col("doc_id").alias("_gone_of")).agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_of"), "left")
     pieces = F.split(F.col("text"), "\n", -1)
     kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("_gone", i)), "\n")
@@ -219,9 +224,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def reduced(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def reduced(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """``docs`` without the removed lines; a document with no word left after a removal goes."""
-    out = without_repeats(docs, min_words)
+    out = without_repeats(docs, min_words, short)
     empty = (F.col("_n_removed") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     return out.where(~F.coalesce(empty, F.lit(False))).drop("_n_lines", "_n_removed")
 

@@ -136,6 +136,25 @@ def test_line_rules_for_odd_rows(frame):
     assert linededup.reduced(frame([])).count() == 0
 
 
+def test_short_lines_go_when_equal(frame, prose):
+    texts = [t and t.replace(" w1 ", "\n") for t in prose(3, 60, 8, 1, 20)]
+    rows = [(k * 7 % 101, t) for k, t in enumerate(texts)] + [(200, "All rights\nw2"), (201, "ALL  rights \n\nall"), (None, texts[0])]
+    got = {(r["doc_id"], r["line_no"]) for r in linededup.removed_lines(frame(rows), short=True).collect()}
+    lines = [((d, k), words(line, True)) for d, t in rows if d is not None and t is not None for k, line in enumerate(t.split("\n"))]
+    few = [(p, w) for p, w in lines if 0 < len(w) < linededup.MIN_WORDS]
+    equal = {p for p, w in few if any(q < p and v == w for q, v in few)}
+    assert (201, 0) in equal and got == brute_lines(rows) | equal
+
+
+def test_the_pipeline_removes_equal_short_lines(spark):
+    import corpus_pipeline
+
+    line = "One two three four five six"
+    docs = spark.createDataFrame([(1, f"{line}\nall rights reserved."), (2, "Kept words\nAll rights reserved."), (3, "all rights reserved.")], "doc_id long, text string")
+    out = dict(corpus_pipeline.lines(spark, docs, "").collect())
+    assert out == {1: f"{line}\nall rights reserved.", 2: "Kept words"}
+
+
 def test_one_word_apart():
     near = linededup.within_one_word
     assert near(b"a b c", b"a x c") and near(b"a b c", b"a c") and near(b"a a", b"a a a") and near(b"", b"a")
