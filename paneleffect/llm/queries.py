@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneleffect.llm import decontam, jaccard, langid, licences, linededup, neighbours, packing, repeats, sharding, toxicity
+from paneleffect.llm import decontam, infill, jaccard, langid, licences, linededup, neighbours, packing, repeats, sharding, toxicity
 from paneleffect.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_licence_scan, op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op6_ngram_jaccard, op7_embedding_neighbours, op8_toxicity, op9_substring_dedup, op10_decontamination)
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_licence_scan, op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op6_ngram_jaccard, op7_embedding_neighbours, op8_toxicity, op9_substring_dedup, op10_decontamination, op12_fill_in_middle)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op1_licence_scan": licences.sql(), "op2_line_dedup": linededup.SQL, "op9_substring_dedup": repeats.SQL}
+SQL: dict[str, str] = {"op1_licence_scan": licences.sql(), "op2_line_dedup": linededup.SQL, "op9_substring_dedup": repeats.SQL, "op12_fill_in_middle": infill.SQL}
