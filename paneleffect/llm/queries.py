@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneleffect.llm import decontam, infill, jaccard, langid, licences, linededup, neighbours, packing, periodic, repeats, sharding, toxicity
+from paneleffect.llm import credentials, decontam, infill, jaccard, langid, licences, linededup, neighbours, packing, periodic, repeats, sharding, toxicity
 from paneleffect.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(read(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_licence_scan, op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op6_ngram_jaccard, op7_embedding_neighbours, op8_toxicity, op9_substring_dedup, op10_decontamination, op11_periodic_runs, op12_fill_in_middle)
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_licence_scan, op2_line_dedup, op3_language_id, op4_packing, op5_sharding, op6_ngram_jaccard, op7_embedding_neighbours, op8_toxicity, op9_substring_dedup, op10_decontamination, op11_periodic_runs, op12_fill_in_middle, op13_secret_scan)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op1_licence_scan": licences.sql(), "op2_line_dedup": linededup.SQL, "op9_substring_dedup": repeats.SQL, "op11_periodic_runs": periodic.SQL, "op12_fill_in_middle": infill.SQL}
+SQL: dict[str, str] = {"op1_licence_scan": licences.sql(), "op2_line_dedup": linededup.SQL, "op9_substring_dedup": repeats.SQL, "op11_periodic_runs": periodic.SQL, "op12_fill_in_middle": infill.SQL, "op13_secret_scan": credentials.sql()}
