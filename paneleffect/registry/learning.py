@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneleffect import config
-from paneleffect.operators import encode, models, report, scenario
+from paneleffect.operators import encode, ensembles, models, report, scenario
 from paneleffect.plans import lift, recipes, wide
 from paneleffect.registry import panels as P
+from paneleffect.registry import refit
 from paneleffect.registry.book import BOOK, shaped
 
 START, END = "1994-01-02", "1997-06-01"
@@ -29,11 +30,12 @@ def _week(df: DataFrame) -> DataFrame:
 @cache
 def _chain(app: str, spark: SparkSession, sf: str):
     return lift.run(
-        P.long(spark, sf), "call", "call", START, END, theme_run=True, overrides=OVERRIDES
+        P.long(spark, sf), "call", "call", START, END, theme_run=True, overrides=OVERRIDES, params=refit.EXACT
     )
 
 
 def chain(spark: SparkSession, sf: str):
+    """The whole chain with small ensembles, which SQL fits again from the tables alone."""
     return _chain(spark.sparkContext.applicationId, spark, sf)
 
 
@@ -197,14 +199,49 @@ def x6_linear_contributions(spark, sf):
     return shaped(report.contributions(spark, encoder, model), "feature", doubles="contribution")
 
 
-@BOOK.add("m4_boosted_fit")
+_KEYS = "rep_id, customer_id, CAST(week_end_date AS VARCHAR) AS week"
+
+
+def _r9(*columns: str) -> str:
+    """SQL: ``column`` or ``expression AS name``, to nine decimals, without a negative zero."""
+    pairs = [c.rsplit(" AS ", 1) if " AS " in c else (c, c) for c in columns]
+    return ", ".join(f"ROUND({value}, 9) + 0.0 AS {name}" for value, name in pairs)
+
+
+@BOOK.add("m4_boosted_fit", f"{refit.FIT_PROPENSITY_A} SELECT {_KEYS}, {_r9('suggestion_count', 'prediction')} FROM a0 JOIN pa USING (k)")
 def m4_boosted_fit(spark, sf):
     """Suggestion propensity of path A, scored on the rows it was fitted on."""
     a, _ = chain(spark, sf)
-    return shaped(_week(a.propensity.scored), "rep_id customer_id week", doubles="suggestion_count prediction")
+    return shaped(_week(a.propensity.scored), "rep_id customer_id week", doubles="suggestion_count prediction", decimals=9)
+
+
+def _nodes(f: lift.Fitted) -> DataFrame:
+    return ensembles.nodes(f.model, encode.feature_labels(f.encoder), f.encoder.stages[-1].std.toArray().tolist())
+
+
+def _node_rows(f: lift.Fitted) -> DataFrame:
+    return shaped(_nodes(f), "feature", "tree node left_node right_node rows", "weight threshold value")
 
 
-@BOOK.add("m5_model_labels")
+@BOOK.add("m4_ensemble_nodes", f"{refit.FIT_PROPENSITY_A} {refit.node_rows('pa', refit.PROPENSITY_A)}")
+def m4_ensemble_nodes(spark, sf):
+    """The fitted propensity trees as a table of nodes."""
+    return _node_rows(chain(spark, sf)[0].propensity)
+
+
+@BOOK.add("m7_ensemble_nodes", f"{refit.FIT_A} {refit.node_rows('ea', refit.EFFECT_A)}")
+def m7_ensemble_nodes(spark, sf):
+    return _node_rows(chain(spark, sf)[0].effect)
+
+
+@BOOK.add(
+    "m5_model_labels",
+    f"""WITH {P.LONG}, rows AS (SELECT * FROM long WHERE suggestion_type = 'call' AND action_type = 'call' AND week_end_date < DATE '{refit.END}')
+      SELECT 'PathA_PropensityModel' AS model, '' AS outcome_type, 'suggestion_count' AS label, {_r9("SUM(suggestion_count) AS total")} FROM rows WHERE outcome_type = 'nbrx'
+      UNION ALL SELECT 'PathA_TreatmentEffectModel', '', 'action_count', ROUND(SUM(action_count), 9) FROM rows WHERE outcome_type = 'nbrx'
+      UNION ALL SELECT 'PathB_PropensityModel', outcome_type, 'action_count', ROUND(SUM(action_count), 9) FROM rows GROUP BY outcome_type
+      UNION ALL SELECT 'PathB_TreatmentEffectModel', outcome_type, 'outcome_count', ROUND(SUM(outcome_count), 9) FROM rows GROUP BY outcome_type""",
+)
 def m5_model_labels(spark, sf):
     """Total of each model's label over the rows it was fitted on."""
     a, b = chain(spark, sf)
@@ -220,17 +257,17 @@ def m5_model_labels(spark, sf):
     return shaped(out, "model outcome_type label", doubles="total")
 
 
-@BOOK.add("m7_fit_and_score")
+@BOOK.add("m7_fit_and_score", f"{refit.FIT_A} SELECT {_KEYS}, {_r9('action_count', 'prediction')} FROM a3 JOIN ea USING (k)")
 def m7_fit_and_score(spark, sf):
     """Action effect model of path A, fitted and scored."""
     a, _ = chain(spark, sf)
-    return shaped(_week(a.effect.scored), "rep_id customer_id week", doubles="action_count prediction")
+    return shaped(_week(a.effect.scored), "rep_id customer_id week", doubles="action_count prediction", decimals=9)
 
 
-@BOOK.add("m9_importances")
+@BOOK.add("m9_importances", f"{refit.FIT_A} SELECT feature AS feature_name, importance FROM ({refit.importance_rows('ea', refit.EFFECT_A)})")
 def m9_importances(spark, sf):
     a, _ = chain(spark, sf)
-    return report.importances(spark, a.effect.encoder, a.effect.model)
+    return shaped(report.importances(spark, a.effect.encoder, a.effect.model), "feature_name", doubles="importance")
 
 
 @BOOK.add("x5_flat_stages")
@@ -241,7 +278,19 @@ def x5_flat_stages(spark, sf):
     return spark.createDataFrame(rows, "position int, stage string")
 
 
-@BOOK.add("x6_boosted_contributions")
+_EXPLAINED = {
+    "PathA_PropensityModel": ("pa", refit.PROPENSITY_A),
+    "PathB_PropensityModel": ("pbnbrx", refit.PROPENSITY_B),
+    "PathA_TreatmentEffectModel": ("ea", refit.EFFECT_A),
+    "PathB_TreatmentEffectModel__nbrx": ("ebnbrx", refit.EFFECT_B),
+    "PathB_TreatmentEffectModel__trx": ("ebtrx", refit.EFFECT_B),
+}
+_CONTRIBUTIONS = " UNION ALL ".join(
+    f"SELECT '{model}' AS model, feature, importance AS contribution FROM ({refit.importance_rows(n, features)})" for model, (n, features) in _EXPLAINED.items()
+)
+
+
+@BOOK.add("x6_boosted_contributions", f"{refit.CHAIN} {_CONTRIBUTIONS}")
 def x6_boosted_contributions(spark, sf):
     """One table over all fitted models."""
     a, b = chain(spark, sf)
@@ -252,7 +301,8 @@ def x6_boosted_contributions(spark, sf):
         "PathB_TreatmentEffectModel__nbrx": b.effect["nbrx"],
         "PathB_TreatmentEffectModel__trx": b.effect["trx"],
     }
-    return scenario.stack({n: report.contributions(spark, f.encoder, f.model) for n, f in fitted.items()}, "model")
+    out = scenario.stack({n: report.contributions(spark, f.encoder, f.model) for n, f in fitted.items()}, "model")
+    return shaped(out, "model feature", doubles="contribution")
 
 
 @BOOK.add("m10_logistic_propensity")
@@ -278,30 +328,57 @@ def m15_wide_chain(spark, sf):
     return run.action_monthly.join(run.outcome_monthly, "month")
 
 
-@BOOK.add("c1_counterfactual_actions")
+_CARRIED = "suggestion_count suggestion_count_adstock percent_other_hcps_suggested".split()
+
+
+@BOOK.add(
+    "c1_counterfactual_actions",
+    f"""{refit.COUNTERFACTUAL_A} SELECT {_KEYS}, {", ".join(f"CAST(0 AS DOUBLE) AS {c}_counterfactual" for c in _CARRIED)}, {_r9("counterfactual_action_count")} FROM ac""",
+)
 def c1_counterfactual_actions(spark, sf):
-    return chain(spark, sf)[0].counterfactual
+    doubles = " ".join(f"{c}_counterfactual" for c in _CARRIED) + " counterfactual_action_count"
+    return shaped(_week(chain(spark, sf)[0].counterfactual), "rep_id customer_id week", doubles=doubles, decimals=9)
 
 
-@BOOK.add("c2_predicted_actions")
+@BOOK.add(
+    "c2_predicted_actions",
+    f"""{refit.FACTUAL_A} SELECT {_KEYS}, theme, {_r9("suggestion_count AS suggestion_count_factual", "sa AS suggestion_count_adstock_factual",
+      "other AS percent_other_hcps_suggested_factual", "action_count AS action_count_factual", "predicted_action_count", "propensity")} FROM af""",
+)
 def c2_predicted_actions(spark, sf):
     a = chain(spark, sf)[0]
-    return a.factual.withColumn("theme", F.lit("all")).unionByName(a.theme_factual)
+    out = a.factual.withColumn("theme", F.lit("all")).unionByName(a.theme_factual)
+    doubles = " ".join(f"{c}_factual" for c in (*_CARRIED, "action_count")) + " predicted_action_count propensity"
+    return shaped(_week(out), "rep_id customer_id week theme", doubles=doubles, decimals=9)
+
 
+_OUTCOME_KEYS = "customer_id, CAST(week_end_date AS VARCHAR) AS week, outcome_type"
 
-@BOOK.add("c3_counterfactual_outcomes")
+
+@BOOK.add("c3_counterfactual_outcomes", f"{refit.CHAIN} SELECT {_OUTCOME_KEYS}, {_r9('counterfactual_outcome_count')} FROM bc")
 def c3_counterfactual_outcomes(spark, sf):
-    return chain(spark, sf)[1].counterfactual
+    return shaped(_week(chain(spark, sf)[1].counterfactual), "customer_id week outcome_type", doubles="counterfactual_outcome_count", decimals=9)
 
 
-@BOOK.add("c4_predicted_outcomes")
+@BOOK.add("c4_predicted_outcomes", f"{refit.CHAIN} SELECT {_OUTCOME_KEYS}, theme, {_r9('predicted_outcome_count', 'propensity')} FROM bf")
 def c4_predicted_outcomes(spark, sf):
     b = chain(spark, sf)[1]
-    return b.factual.withColumn("theme", F.lit("all")).unionByName(b.theme_factual)
+    out = b.factual.withColumn("theme", F.lit("all")).unionByName(b.theme_factual)
+    return shaped(_week(out), "customer_id week outcome_type theme", doubles="predicted_outcome_count propensity", decimals=9)
+
 
+_STUDY = f"week_end_date >= DATE '{START}' AND week_end_date < DATE '{END}'"
 
-@BOOK.add("c7_full_chain")
+
+@BOOK.add(
+    "c7_full_chain",
+    f"""{refit.CHAIN}, x AS (SELECT theme, SUM(predicted_action_count - counterfactual_action_count) AS incremental_action
+        FROM af JOIN ac USING (rep_id, customer_id, week_end_date) WHERE {_STUDY} GROUP BY theme),
+      y AS (SELECT theme, SUM(predicted_outcome_count - counterfactual_outcome_count) AS incremental_outcome
+        FROM bf JOIN bc USING (customer_id, week_end_date, outcome_type) WHERE {_STUDY} GROUP BY theme)
+      SELECT theme, ROUND(incremental_outcome, 6) + 0.0 AS incremental_outcome, ROUND(incremental_action, 6) + 0.0 AS incremental_action FROM x FULL JOIN y USING (theme)""",
+)
 def c7_full_chain(spark, sf):
     """Incremental actions and outcomes of the fitted chain, by theme."""
     a, b = chain(spark, sf)
-    return report.theme_summary(b.incremental, a.incremental)
+    return shaped(report.theme_summary(b.incremental, a.incremental), "theme", doubles="incremental_outcome incremental_action")

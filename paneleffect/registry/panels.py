@@ -139,7 +139,9 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_long(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per rep × customer × week × (suggestion, action, outcome) type."""
+    """One row per rep × customer × week × (suggestion, action, outcome) type.
+
+    Means are rounded, so that equal ones are equal whatever order their values were added in."""
     keyed = lines(spark, sf).withColumns(
         {
             "customer_id": F.concat(F.lit("H"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")),
@@ -150,8 +152,8 @@ def build_long(spark: SparkSession, sf: str) -> DataFrame:
     suggested = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")
     panel = keyed.groupBy(*keys).agg(
         *[v.alias(k) for k, v in _metrics().items()],
-        F.avg("s_acctbal").alias("confound_path_a_suppbal"),
-        F.avg("c_acctbal").alias("confound_path_b_custbal"),
+        F.round(F.avg("s_acctbal"), 9).alias("confound_path_a_suppbal"),
+        F.round(F.avg("c_acctbal"), 9).alias("confound_path_b_custbal"),
         _hits(suggested & (F.col("l_linestatus") == "F")).cast("double").alias("theme_f_qualified"),
         _hits(suggested & (F.col("l_linestatus") == "O")).cast("double").alias("theme_o_qualified"),
         F.count(F.lit(1)).cast("double").alias("covariate_path_b_lines"),
@@ -274,7 +276,7 @@ TOTALS = f"""{DENSE}, totals AS (
 _SUGGESTED = "o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"
 LONG = f"""{_LINES}, panel AS (
   SELECT {_NAMES[1]} AS rep_id, {_NAMES[0]} AS customer_id, week_end_date, {_METRICS},
-    AVG(s_acctbal) AS confound_path_a_suppbal, AVG(c_acctbal) AS confound_path_b_custbal,
+    ROUND(AVG(s_acctbal), 9) AS confound_path_a_suppbal, ROUND(AVG(c_acctbal), 9) AS confound_path_b_custbal,
     CAST(SUM(CASE WHEN {_SUGGESTED} AND l_linestatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS theme_f_qualified,
     CAST(SUM(CASE WHEN {_SUGGESTED} AND l_linestatus = 'O' THEN 1 ELSE 0 END) AS DOUBLE) AS theme_o_qualified,
     CAST(COUNT(*) AS DOUBLE) AS covariate_path_b_lines
