@@ -20,8 +20,9 @@ def stored_nodes(spark: SparkSession, path: str) -> DataFrame:
     """The node table of a stored pipeline whose last stage is a boosted ensemble.
 
     One row per node: tree, weight, node (the root is 1, the children of n are 2n and 2n + 1), position of
-    the feature and threshold of an inner node (rows not above it go left), value of a leaf, the number of training
-    ``rows`` and the fall of the squared error by the split (``gain``). Its size is that of the model.
+    the feature and threshold of an inner node (rows not above it go left; of a feature known to be a category,
+    the ``left_values`` do, and there is no threshold), value of a leaf, the number of training ``rows`` and
+    the fall of the squared error by the split (``gain``). Its size is that of the model.
     """
     stages = f"{path.rstrip('/')}/stages/*"
     kept = spark.read.parquet(f"{stages}/data").select("treeID", "nodeData.*")
@@ -29,7 +30,8 @@ def stored_nodes(spark: SparkSession, path: str) -> DataFrame:
     flat = durable(
         kept.join(F.broadcast(weights), "treeID").select(
             F.col("treeID").cast("bigint").alias("tree"), "weight", "id", "leftChild", "rightChild", F.col("prediction").alias("value"), F.col("rawCount").alias("rows"),
-            F.col("split.featureIndex").alias("position"), F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"), (F.col("gain") * F.col("rawCount")).alias("gain"),
+            F.col("split.featureIndex").alias("position"), F.when(F.col("split.numCategories") < 0, F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1))).alias("threshold"),
+            F.when(F.col("split.numCategories") >= 0, F.array_sort("split.leftCategoriesOrThreshold")).alias("left_values"), (F.col("gain") * F.col("rawCount")).alias("gain"),
         )
     )
     level, out = flat.where("id = 0").withColumn("node", F.lit(1).cast("bigint")), None
@@ -62,6 +64,7 @@ def nodes(model: PipelineModel, labels: Sequence[str], scales: Sequence[float] |
         F.when(inner, name).alias("feature"),
         F.when(inner, F.col("threshold") * scale).alias("threshold"),
         F.when(inner, F.col("threshold")).alias("scaled_threshold"),
+        F.when(inner, F.col("left_values")).alias("left_values"),
         F.when(inner, 2 * F.col("node")).alias("left_node"),
         F.when(inner, 2 * F.col("node") + 1).alias("right_node"),
         F.when(~inner, F.col("value")).alias("value"),
@@ -72,7 +75,7 @@ def nodes(model: PipelineModel, labels: Sequence[str], scales: Sequence[float] |
 
 def _forest(table: DataFrame) -> DataFrame:
     """One row: the trees, in order, each an array of its nodes by number."""
-    slots = F.struct("position", F.col("scaled_threshold").alias("threshold"), "value")
+    slots = F.struct("position", F.col("scaled_threshold").alias("threshold"), "left_values", "value")
     by_node = table.groupBy("tree", "weight").agg(F.map_from_entries(F.collect_list(F.struct("node", slots.alias("at")))).alias("m"), F.max("node").alias("last"))
     # An array finds a node by its number at once; a map would look at each in turn.
     dense = by_node.select("tree", "weight", F.transform(F.sequence(F.lit(1).cast("bigint"), "last"), lambda i: F.try_element_at("m", i)).alias("at"))
@@ -90,8 +93,9 @@ def add_leaves(df: DataFrame, table: DataFrame, features: str = FEATURES) -> Dat
     def down(tree: Column) -> Column:
         def step(node: Column, _: Column) -> Column:
             at = F.element_at(tree["at"], node.cast("int"))
-            above = F.element_at(F.col("_x"), at["position"] + 1) > at["threshold"]
-            return F.when(at["position"].isNull(), node).otherwise(2 * node + F.when(above, 1).otherwise(0))
+            x = F.element_at(F.col("_x"), at["position"] + 1)
+            right = F.coalesce(x > at["threshold"], ~F.array_contains(at["left_values"], x))
+            return F.when(at["position"].isNull(), node).otherwise(2 * node + F.when(right, 1).otherwise(0))
 
         last = F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(1).cast("bigint"), step)
         return F.struct(tree["tree"].alias("tree"), tree["weight"].alias("weight"), last.alias("node"))

@@ -12,6 +12,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +123,7 @@ def fit_logistic_propensity(
     features: str = FEATURES,
     out: str = "propensity_score_path_a",
     max_iter: int = 1000,
+    tol: float = 1e-6,
 ) -> PropensityFit:
     """P(label | features) by logistic regression with unit ridge weight on the summed loss.
 
@@ -131,12 +133,38 @@ def fit_logistic_propensity(
     facts = df.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("low"), F.max(label).alias("high")).first()
     if facts["low"] == facts["high"]:
         return PropensityFit(df.withColumn(out, F.lit(float(facts["low"] or 0))), None, 0.5)
-    params = {"maxIter": max_iter, "regParam": 1.0 / facts["n"], "elasticNetParam": 0.0, "standardization": False}
+    params = {"maxIter": max_iter, "tol": tol, "regParam": 1.0 / facts["n"], "elasticNetParam": 0.0, "standardization": False}
     model = fit_model(df, label, "LogisticRegression", features, params=params)
     scored = add_propensity(model.transform(df), model, out)
     return PropensityFit(scored.drop("rawPrediction", "probability", "prediction"), model, roc_auc(scored, label, out))
 
 
+def score_equations(
+    df: DataFrame,
+    model: PipelineModel,
+    label: str,
+    names: Sequence[str],
+    features: str = FEATURES,
+    probability: str = "propensity_score_path_a",
+    ridge: float = 1.0,
+) -> DataFrame:
+    """Per position of a logistic fit, and ``(intercept)``: what its score equation leaves over.
+
+    At the optimum Σ (label − probability) · feature = ridge · coefficient, without ridge for the intercept.
+    The two weighted sums of the sparse feature vectors are merged partition by partition, so
+    nothing but a few vectors of the model's width is moved. ``remainder`` is per row.
+    """
+    fitted = model.stages[-1]
+    y, p = F.col(label).cast("double"), F.col(probability)
+    of = Summarizer.metrics("sum")
+    sums = df.agg(of.summary(F.col(features), y).alias("y"), of.summary(F.col(features), p).alias("p"), F.sum(y).alias("y0"), F.sum(p).alias("p0"), F.count(F.lit(1)).alias("n")).first()
+    left = sums["y"]["sum"].toArray() - sums["p"]["sum"].toArray() - ridge * fitted.coefficients.toArray()
+    rows = [("(intercept)", fitted.intercept, sums["y0"] - sums["p0"])]
+    rows += list(zip(names, fitted.coefficients.toArray().tolist(), left.tolist(), strict=True))
+    spark = df.sparkSession
+    return spark.createDataFrame([(name, b, r / sums["n"]) for name, b, r in rows], "feature string, coefficient double, remainder double")
+
+
 def arm_facts(df: DataFrame, treatment: str, outcomes: Sequence[str]) -> dict:
     """Rows and mean outcomes of both arms, in one aggregate."""
     treated = F.col(treatment) == 1

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import cache
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneleffect import config
-from paneleffect.operators import encode, ensembles, models, report, scenario
+from paneleffect.functions import skew
+from paneleffect.operators import encode, ensembles, features, models, report, scenario
 from paneleffect.plans import lift, recipes, wide
 from paneleffect.registry import panels as P
 from paneleffect.registry import refit
@@ -220,7 +222,8 @@ def _nodes(f: lift.Fitted) -> DataFrame:
 
 
 def _node_rows(f: lift.Fitted) -> DataFrame:
-    return shaped(_nodes(f), "feature", "tree node left_node right_node rows", "weight threshold value")
+    out = _nodes(f).withColumn("left_values", F.array_join(F.col("left_values").cast("array<string>"), ","))
+    return shaped(out, "feature left_values", "tree node left_node right_node rows", "weight threshold value")
 
 
 @BOOK.add("m4_ensemble_nodes", f"{refit.FIT_PROPENSITY_A} {refit.node_rows('pa', refit.PROPENSITY_A)}")
@@ -305,20 +308,129 @@ def x6_boosted_contributions(spark, sf):
     return shaped(out, "model feature", doubles="contribution")
 
 
-@BOOK.add("m10_logistic_propensity")
+@cache
+def _design(app: str, spark: SparkSession, sf: str):
+    """The wide panel with history, ids and months as features; some suggestion flags are missing."""
+    frame = features.build_features(P.dense(spark, sf), P.DENSE_ROLES, leak_safe=True, store=True)
+    base = frame.data.withColumn("treated_suggestion", F.when(F.col("trx") % 7 != 0, F.col("treated_suggestion")))
+    encoder = encode.fit_wide_encoder(base, refit.HISTORY, ("rep_id", "month"))
+    return encoder, skew.durable_for_fitting(encode.encode_wide(base, encoder))
+
+
+def design(spark: SparkSession, sf: str):
+    return _design(spark.sparkContext.applicationId, spark, sf)
+
+
+@cache
+def _arms(app: str, spark: SparkSession, sf: str):
+    _, encoded = design(spark, sf)
+    action = models.fit_effects(encoded, {"action_total": "incremental_actions"}, "treated_suggestion", params=refit.EXACT)
+    rows = skew.durable_for_fitting(encode.append_feature(action.data, "incremental_actions", "features_b"))
+    targets = {"trx": "incremental_trx", "nbrx": "incremental_nbrx"}
+    return action, models.fit_effects(rows, targets, "treated_action", "features_b", config.OUTCOME_ARM_SEED, refit.EXACT)
+
+
+def arms(spark: SparkSession, sf: str):
+    """Both T-learners of the wide panel with small ensembles, which SQL fits again."""
+    return _arms(spark.sparkContext.applicationId, spark, sf)
+
+
+def _day(df: DataFrame) -> DataFrame:
+    return df.withColumn("week", F.col("week_end_date").cast("date"))
+
+
+_WIDE_KEYS = "hcp_id, rep_id, CAST(week_end_date AS VARCHAR) AS week"
+
+
+@BOOK.add("m10_logistic_propensity", f"{refit.LOGISTIC} SELECT {_WIDE_KEYS}, treated_action, ROUND(p, 4) + 0.0 AS propensity FROM wide JOIN lr USING (k)")
 def m10_logistic_propensity(spark, sf):
-    run = wide_run(spark, sf)
-    return shaped(_week(run.scored), "hcp_id rep_id week", "treated_action", wide.PROPENSITY)
+    """A fit on two features to the end of its convergence; SQL takes Newton's steps."""
+    _, encoded = design(spark, sf)
+    rows = VectorAssembler(inputCols=["suggestion_total", "lag_action_total_1"], outputCol="two").transform(encoded)
+    fit = models.fit_logistic_propensity(rows, features="two", out="propensity", tol=1e-14)
+    out = shaped(_day(fit.data), "hcp_id rep_id week", "treated_action", "propensity", decimals=4)
+    return out.withColumn("treated_action", F.col("treated_action").cast("int"))
+
+
+_POSITIONS = " UNION ALL ".join(f"SELECT '{name}' AS feature" for name in ("(intercept)", *refit.WIDE))
+
 
+@BOOK.add("m10_score_equations", f"SELECT feature, TRUE AS holds FROM ({_POSITIONS})")
+def m10_score_equations(spark, sf):
+    """Each position's score equation of a fit on the whole design leaves nothing over."""
+    encoder, encoded = design(spark, sf)
+    fit = models.fit_logistic_propensity(encoded, out="propensity", tol=1e-10)
+    left = models.score_equations(fit.data, fit.model, "treated_action", encoder.labels(), probability="propensity")
+    return left.select("feature", (F.abs("remainder") < 1e-5).alias("holds"))
 
-@BOOK.add("m12_tlearner")
+
+@BOOK.add(
+    "p16_propensity_logistic",
+    f"""{refit.LOGISTIC} SELECT '(intercept)' AS feature, ROUND(a, 3) + 0.0 AS coefficient, TRUE AS recomputed FROM lrb9
+      UNION ALL SELECT 'suggestion_total', ROUND(b, 3) + 0.0, TRUE FROM lrb9 UNION ALL SELECT 'lag_action_total_1', ROUND(c, 3) + 0.0, TRUE FROM lrb9""",
+)
+def p16_propensity_logistic(spark, sf):
+    """Coefficients of the fit, and whether every row's score is the logistic function of them."""
+    _, encoded = design(spark, sf)
+    names = ["suggestion_total", "lag_action_total_1"]
+    rows = VectorAssembler(inputCols=names, outputCol="two").transform(encoded)
+    fit = models.fit_logistic_propensity(rows, features="two", out="propensity", tol=1e-14)
+    left = models.score_equations(fit.data, fit.model, "treated_action", names, "two", "propensity")
+    b = {r["feature"]: r["coefficient"] for r in left.collect()}
+    again = 1 / (1 + F.exp(-(F.lit(b["(intercept)"]) + F.col(names[0]) * b[names[0]] + F.col(names[1]) * b[names[1]])))
+    same = fit.data.agg(F.bool_and(F.abs(again - F.col("propensity")) < 1e-12).alias("recomputed"))
+    return shaped(left.crossJoin(F.broadcast(same)), "feature", doubles="coefficient", flags="recomputed", decimals=3)
+
+
+@BOOK.add("m12_tlearner", f"{refit.ACTION_ARMS} SELECT {_WIDE_KEYS}, CAST(treated_suggestion AS BIGINT) AS treated_suggestion, {_r9('effect AS incremental_actions')} FROM wide JOIN ia USING (k)")
 def m12_tlearner(spark, sf):
-    return shaped(_week(wide_run(spark, sf).scored), "hcp_id rep_id week", "treated_suggestion", "incremental_actions")
+    return shaped(_day(arms(spark, sf)[0].data), "hcp_id rep_id week", "treated_suggestion", "incremental_actions", decimals=9)
 
 
-@BOOK.add("m13_outcome_tlearner")
+@BOOK.add(
+    "m13_outcome_tlearner",
+    f"""{refit.OUTCOME_ARMS} SELECT {_WIDE_KEYS}, CAST(treated_action AS BIGINT) AS treated_action, {_r9('ot.effect AS incremental_trx', 'onb.effect AS incremental_nbrx')}
+      FROM wide2 JOIN ot USING (k) JOIN onb USING (k)""",
+)
 def m13_outcome_tlearner(spark, sf):
-    return shaped(_week(wide_run(spark, sf).scored), "hcp_id rep_id week", "treated_action", "incremental_trx incremental_nbrx")
+    return shaped(_day(arms(spark, sf)[1].data), "hcp_id rep_id week", "treated_action", "incremental_trx incremental_nbrx", decimals=9)
+
+
+def _leaf_rows(n: str, arm: str) -> str:
+    """SQL: rows, mean target and value of every leaf of a fit. Two leaves of one parent with the same value are one."""
+    leaves = " UNION ALL ".join(f"SELECT {t} AS tree, node, COUNT(*) AS c, SUM(y) AS s FROM {n}_a{t}_{refit.DEPTH} GROUP BY node" for t in range(refit.ITERATIONS))
+    for level in range(refit.DEPTH, 0, -1):
+        pair = f"x.node >= {2**level} AND y.node = CASE WHEN x.node % 2 = 0 THEN x.node + 1 ELSE x.node - 1 END AND x.s / x.c = y.s / y.c"
+        leaves = f"""SELECT tree, node, SUM(c) AS c, SUM(s) AS s FROM (SELECT x.tree, x.c, x.s, CASE WHEN y.node IS NULL THEN x.node ELSE x.node // 2 END AS node
+          FROM ({leaves}) x LEFT JOIN ({leaves}) y ON x.tree = y.tree AND {pair}) GROUP BY tree, node"""
+    return f"SELECT '{arm}' AS arm, CAST(tree AS BIGINT) AS tree, node, CAST(c AS BIGINT) AS rows, ROUND(s / c, 6) + 0.0 AS mean_target, ROUND(s / c, 6) + 0.0 AS value FROM ({leaves})"
+
+
+_ARMS = {"action_total_treated": "iat", "action_total_control": "iac", "trx_treated": "ott", "trx_control": "otc", "nbrx_treated": "onbt", "nbrx_control": "onbc"}
+
+
+@BOOK.add("m12_ensemble_nodes", f"{refit.ACTION_ARMS} SELECT 'treated' AS arm, * FROM ({refit.node_rows('iat', refit.WIDE)}) UNION ALL SELECT 'control', * FROM ({refit.node_rows('iac', refit.WIDE)})")
+def m12_ensemble_nodes(spark, sf):
+    """Both arms' trees as tables of nodes."""
+    names = design(spark, sf)[0].labels()
+    out = scenario.stack({arm.rpartition("_")[2]: ensembles.nodes(m, names) for arm, m in arms(spark, sf)[0].models.items()}, "arm")
+    out = out.withColumn("left_values", F.array_join(F.col("left_values").cast("array<string>"), ","))
+    return shaped(out, "arm feature left_values", "tree node left_node right_node rows", "weight threshold value")
+
+
+@BOOK.add("m13_leaf_values", f"""{refit.OUTCOME_ARMS} {" UNION ALL ".join(_leaf_rows(n, arm) for arm, n in _ARMS.items())}""")
+def m13_leaf_values(spark, sf):
+    """Every leaf of every arm of both T-learners: its rows, the mean of what the trees before it left, and its value."""
+    encoder, _ = design(spark, sf)
+    action, outcome = arms(spark, sf)
+    reports = {}
+    for fit, treatment, vector, names in ((action, "treated_suggestion", encode.FEATURES, encoder.labels()), (outcome, "treated_action", "features_b", [*encoder.labels(), "incremental_actions"])):
+        treated = F.coalesce(F.col(treatment) == 1, F.lit(False))
+        for arm, model in fit.models.items():
+            label, _, side = arm.rpartition("_")
+            rows = fit.data.where(treated if side == "treated" else ~treated)
+            reports[arm] = ensembles.leaf_report(ensembles.add_leaves(rows, ensembles.nodes(model, names), vector), label)
+    return shaped(scenario.stack(reports, "arm"), "arm", "tree node rows", "mean_target value")
 
 
 @BOOK.add("m15_wide_chain")

@@ -21,9 +21,10 @@ def _long(rows: str, features: Mapping[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT k, {f} AS f, CAST({value} AS DOUBLE) AS v FROM {rows}" for f, value in enumerate(features.values(), 1))
 
 
-def _splits(n: str, nodes: str) -> str:
-    """The best cut of each node: largest fall of the squared error, then first feature and lowest cut."""
-    return f"""SELECT b.node, b.f, b.v, d.nv, b.gain, b.c FROM (
+def _splits(n: str, nodes: str, categories: str) -> str:
+    """The best cut of each node: largest fall of the squared error, then first feature and lowest cut.
+    Of a category's two values the one with the smaller mean is on the left."""
+    return f"""SELECT b.node, b.f, b.v, d.nv, b.gain, b.c, b.f IN ({categories}) AND b.sl / b.nl > (b.s - b.sl) / (b.c - b.nl) AS flipped FROM (
       SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS r FROM (
         SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (c - nl) - s * s / c AS gain FROM (
           SELECT node, f, v, SUM(sy) OVER w AS sl, SUM(cy) OVER w AS nl, SUM(sy) OVER u AS s, SUM(cy) OVER u AS c
@@ -32,8 +33,10 @@ def _splits(n: str, nodes: str) -> str:
       JOIN {n}_d d ON d.f = b.f AND d.v = b.v WHERE b.r = 1"""
 
 
-def boosted(n: str, rows: str, features: Mapping[str, str], label: str, iterations: int = ITERATIONS, depth: int = DEPTH, step: float = STEP) -> str:
+def boosted(n: str, rows: str, features: Mapping[str, str], label: str, iterations: int = ITERATIONS, depth: int = DEPTH, step: float = STEP, categorical: bool = False) -> str:
     """Tables of a fit on ``rows`` (k, and what the expressions need): ``n_nodes`` and ``n`` (k, prediction)."""
+    # Those that are 0 or 1 by a condition are categories to the library, unless it scales them.
+    categories = ", ".join(["0", *[str(f) for f, value in enumerate(features.values(), 1) if categorical and value.startswith("CASE")]])
     parts = [
         f"{n}_x AS MATERIALIZED ({_long(rows, features)})",
         f"{n}_d AS MATERIALIZED (SELECT f, v, LEAD(v) OVER (PARTITION BY f ORDER BY v) AS nv FROM (SELECT DISTINCT f, v FROM {n}_x))",
@@ -46,14 +49,14 @@ def boosted(n: str, rows: str, features: Mapping[str, str], label: str, iteratio
         parts.append(f"{n}_a{t}_0 AS MATERIALIZED (SELECT k, {target} AS y, CAST(1 AS BIGINT) AS node FROM {source})")
         for level in range(depth):
             a, s = f"{n}_a{t}_{level}", f"{n}_s{t}_{level}"
-            parts.append(f"{s} AS MATERIALIZED ({_splits(n, f'(SELECT * FROM {a} WHERE node >= {2**level})')})")
+            parts.append(f"{s} AS MATERIALIZED ({_splits(n, f'(SELECT * FROM {a} WHERE node >= {2**level})', categories)})")
             parts.append(
-                f"{n}_a{t}_{level + 1} AS MATERIALIZED (SELECT a.k, a.y, CASE WHEN s.node IS NULL THEN a.node WHEN x.v > s.v THEN 2 * a.node + 1 ELSE 2 * a.node END AS node "
+                f"{n}_a{t}_{level + 1} AS MATERIALIZED (SELECT a.k, a.y, CASE WHEN s.node IS NULL THEN a.node WHEN (x.v > s.v) <> s.flipped THEN 2 * a.node + 1 ELSE 2 * a.node END AS node "
                 f"FROM {a} a LEFT JOIN {s} s ON a.node = s.node LEFT JOIN {n}_x x ON x.k = a.k AND x.f = s.f)"
             )
-            nodes.append(f"SELECT {t} AS tree, {weight} AS weight, node, f, (v + nv) / 2 AS cut, NULL AS value, gain, c FROM {s}")
+            nodes.append(f"SELECT {t} AS tree, {weight} AS weight, node, f, (v + nv) / 2 AS cut, flipped, f IN ({categories}) AS category, NULL AS value, gain, c FROM {s}")
         parts.append(f"{n}_l{t} AS MATERIALIZED (SELECT node, AVG(y) AS value, COUNT(*) AS c FROM {n}_a{t}_{depth} GROUP BY node)")
-        nodes.append(f"SELECT {t}, {weight}, node, NULL, NULL, value, NULL, c FROM {n}_l{t}")
+        nodes.append(f"SELECT {t}, {weight}, node, NULL, NULL, NULL, NULL, value, NULL, c FROM {n}_l{t}")
         before = "" if t == 0 else f" JOIN {n}_p{t - 1} USING (k)"
         parts.append(f"{n}_p{t} AS MATERIALIZED (SELECT k, {'' if t == 0 else 'p + '}{weight} * value AS p FROM {n}_a{t}_{depth} JOIN {n}_l{t} USING (node){before})")
     parts.append(f"{n}_nodes AS MATERIALIZED ({' UNION ALL '.join(nodes)})")
@@ -65,9 +68,9 @@ def walked(w: str, n: str, rows: str, features: Mapping[str, str], iterations: i
     """Table ``w`` (k, prediction): other ``rows`` sent down the trees of the fit ``n``."""
     return f"""{w}_x AS MATERIALIZED ({_long(rows, features)}),
       {w}_walk AS (SELECT k, t.tree, CAST(1 AS BIGINT) AS node FROM {rows} CROSS JOIN RANGE(0, {iterations}) t(tree)
-        UNION ALL SELECT w.k, w.tree, 2 * w.node + CASE WHEN x.v > s.cut THEN 1 ELSE 0 END
+        UNION ALL SELECT w.k, w.tree, 2 * w.node + CASE WHEN (x.v > s.cut) <> s.flipped THEN 1 ELSE 0 END
         FROM {w}_walk w JOIN {n}_nodes s ON s.tree = w.tree AND s.node = w.node AND s.f IS NOT NULL JOIN {w}_x x ON x.k = w.k AND x.f = s.f),
-      {w} AS MATERIALIZED (SELECT k, SUM(weight * value) AS prediction FROM {w}_walk JOIN {n}_nodes USING (tree, node) WHERE value IS NOT NULL GROUP BY k)"""
+      {w} AS MATERIALIZED (SELECT k, ROUND(SUM(weight * value), 12) AS prediction FROM {w}_walk JOIN {n}_nodes USING (tree, node) WHERE value IS NOT NULL GROUP BY k)"""
 
 
 def node_rows(n: str, features: Mapping[str, str]) -> str:
@@ -75,7 +78,7 @@ def node_rows(n: str, features: Mapping[str, str]) -> str:
     names = ", ".join(f"'{f}'" for f in features)
     return f"""SELECT CAST(tree AS BIGINT) AS tree, node, ([{names}])[f] AS feature, CAST(CASE WHEN f IS NOT NULL THEN 2 * node END AS BIGINT) AS left_node,
       CAST(CASE WHEN f IS NOT NULL THEN 2 * node + 1 END AS BIGINT) AS right_node, CAST(c AS BIGINT) AS rows, CAST(weight AS DOUBLE) AS weight,
-      ROUND(cut, 6) + 0.0 AS threshold, ROUND(value, 6) + 0.0 AS value FROM {n}_nodes"""
+      CASE WHEN NOT category THEN ROUND(cut, 6) + 0.0 END AS threshold, CASE WHEN category THEN CASE WHEN flipped THEN '1.0' ELSE '0.0' END END AS left_values, ROUND(value, 6) + 0.0 AS value FROM {n}_nodes"""
 
 
 def importance_rows(n: str, features: Mapping[str, str]) -> str:
@@ -184,3 +187,56 @@ def _outcome_rows(name: str, rows: str, walk: str, column: str, rest: str) -> st
 CHAIN = f"""{BOTH_A}, {_path_b('nbrx')}, {_path_b('trx')},
   {_outcome_rows('bf', 'f2', 'fw', 'predicted_outcome_count', 'theme, propensity, ')},
   {_outcome_rows('bc', 'z2', 'zw', 'counterfactual_outcome_count', '')}"""
+
+
+# --- the wide panel: two arms a fit
+
+HISTORY = ("lag_suggestion_total_1", "rolling4_suggestion_total", "baseline_trx_8w")
+MONTHS, REPS = tuple(range(2, 13)), tuple(f"R{i}" for i in range(1, 5))
+WIDE = {**{c: c for c in HISTORY}, **{f"rep_id_{r}": f"CASE WHEN rep_id = '{r}' THEN 1 ELSE 0 END" for r in reversed(REPS)}, **{f"month_{m}": f"CASE WHEN month = {m} THEN 1 ELSE 0 END" for m in reversed(MONTHS)}}
+WIDE_ROWS = f"""WITH RECURSIVE {P.TOTALS.strip()}, wide AS MATERIALIZED (
+  SELECT ROW_NUMBER() OVER (ORDER BY hcp_id, rep_id, week_end_date) AS k, *, month(week_end_date) AS month,
+    CASE WHEN trx % 7 = 0 THEN NULL ELSE CAST(suggestion_total > 0 AS INT) END AS treated_suggestion, CAST(action_total > 0 AS INT) AS treated_action,
+    COALESCE(LAG(suggestion_total) OVER w, 0) AS lag_suggestion_total_1, COALESCE(LAG(action_total) OVER w, 0) AS lag_action_total_1,
+    AVG(suggestion_total) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS rolling4_suggestion_total,
+    COALESCE(AVG(trx) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) AS baseline_trx_8w
+  FROM totals WINDOW w AS (PARTITION BY hcp_id, rep_id ORDER BY week_end_date))"""
+
+
+def arms(n: str, rows: str, features: Mapping[str, str], label: str, treatment: str) -> str:
+    """Table ``n`` (k, effect): what the treated arm's trees predict above the control arm's, on every row. A missing flag is a control."""
+    return f"""{n}t0 AS MATERIALIZED (SELECT * FROM {rows} WHERE {treatment} = 1), {n}c0 AS MATERIALIZED (SELECT * FROM {rows} WHERE {treatment} IS DISTINCT FROM 1),
+      {boosted(n + 't', n + 't0', features, label, categorical=True)}, {boosted(n + 'c', n + 'c0', features, label, categorical=True)},
+      {walked(n + 'tw', n + 't', rows, features)}, {walked(n + 'cw', n + 'c', rows, features)},
+      {n} AS MATERIALIZED (SELECT t.k, ROUND(GREATEST(t.prediction - c.prediction, 0), 12) AS effect FROM {n}tw t JOIN {n}cw c USING (k))"""
+
+
+ACTION_ARMS = f"{WIDE_ROWS}, {arms('ia', 'wide', WIDE, 'action_total', 'treated_suggestion')}"
+_WITH_EFFECT = {**WIDE, "incremental_actions": "effect"}
+OUTCOME_ARMS = f"""{ACTION_ARMS}, wide2 AS MATERIALIZED (SELECT wide.*, effect FROM wide JOIN ia USING (k)),
+  {arms('ot', 'wide2', _WITH_EFFECT, 'trx', 'treated_action')}, {arms('onb', 'wide2', _WITH_EFFECT, 'nbrx', 'treated_action')}"""
+OUTCOME_FEATURES = _WITH_EFFECT
+
+
+# --- logistic regression by Newton's steps
+
+def logistic(n: str, rows: str, x1: str, x2: str, label: str, steps: int = 9) -> str:
+    """Tables ``n``b0, b1, ... (a, b, c): intercept and two coefficients, with a ridge weight of one on the summed loss."""
+    parts = [f"{n}b0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c)"]
+    for i in range(steps):
+        parts.append(
+            f"{n}h{i} AS MATERIALIZED (SELECT a, b, c, SUM(y - p) AS g0, SUM((y - p) * u) - b AS g1, SUM((y - p) * v) - c AS g2, SUM(q) AS h00, SUM(q * u) AS h01, SUM(q * v) AS h02, "
+            f"SUM(q * u * u) + 1 AS h11, SUM(q * u * v) AS h12, SUM(q * v * v) + 1 AS h22 FROM (SELECT *, p * (1 - p) AS q FROM ("
+            f"SELECT a, b, c, CAST({label} AS DOUBLE) AS y, CAST({x1} AS DOUBLE) AS u, CAST({x2} AS DOUBLE) AS v, 1 / (1 + EXP(-(a + b * {x1} + c * {x2}))) AS p FROM {rows}, {n}b{i})) GROUP BY a, b, c)"
+        )
+        parts.append(
+            f"{n}b{i + 1} AS MATERIALIZED (SELECT a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d AS a, "
+            f"b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d AS b, "
+            f"c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d AS c "
+            f"FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d FROM {n}h{i}))"
+        )
+    parts.append(f"{n} AS MATERIALIZED (SELECT k, 1 / (1 + EXP(-(a + b * {x1} + c * {x2}))) AS p FROM {rows}, {n}b{steps})")
+    return ", ".join(parts)
+
+
+LOGISTIC = f"{WIDE_ROWS}, {logistic('lr', 'wide', 'suggestion_total', 'lag_action_total_1', 'treated_action')}"
