@@ -27,7 +27,7 @@ class Fitted:
     config: ModelConfig
     encoder: PipelineModel
     model: PipelineModel
-    scored: DataFrame
+    scored: DataFrame | None
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,22 @@ def run_path_b(
     return PathB(propensity, effect, fact, counter, theme_fact, incremental)
 
 
+def path_a(
+    df: DataFrame,
+    suggestion_type: str,
+    action_type: str,
+    start: str | None = None,
+    end: str | None = None,
+    theme_run: bool = False,
+    adstock: Mapping[str, AdstockSpec] | None = config.DEFAULT_ADSTOCK,
+    **how,
+) -> PathA:
+    """Path A alone. It is fitted on the rows of the first outcome type: its inputs do not depend
+    on the outcome. ``how`` are further arguments of ``run_path_a``."""
+    effect = model_config("PathA_TreatmentEffectModel", suggestion_type, action_type, config.OUTCOME_TYPES[0], start, end, adstock)
+    return run_path_a(df, effect, theme_run, **how)
+
+
 def run(
     df: DataFrame,
     suggestion_type: str,
@@ -178,14 +194,12 @@ def run(
     kind: str = "GBTRegressor",
     params: Mapping | None = None,
     overrides: Mapping[str, str] | None = None,
+    keep_actual_spillover: bool = False,
 ) -> tuple[PathA, PathB]:
-    """The full chain. Path A is fitted on the rows of the first outcome type: its inputs do not
-    depend on the outcome."""
-    a_config = model_config(
-        "PathA_TreatmentEffectModel", suggestion_type, action_type, config.OUTCOME_TYPES[0], start, end, adstock
-    )
-    b_config = model_config(
-        "PathB_TreatmentEffectModel", suggestion_type, action_type, config.OUTCOME_TYPES[0], start, end, adstock
+    """The full chain. ``keep_actual_spillover`` leaves the observed share of a rep's other customers in
+    path A's counterfactual rows, whose own suggestions are zero."""
+    a = path_a(
+        df, suggestion_type, action_type, start, end, theme_run, adstock, kind=kind, params=params, keep_actual_spillover=keep_actual_spillover
     )
-    a = run_path_a(df, a_config, theme_run, kind=kind, params=params)
+    b_config = model_config("PathB_TreatmentEffectModel", suggestion_type, action_type, config.OUTCOME_TYPES[0], start, end, adstock)
     return a, run_path_b(df, a, b_config, kind=kind, params=params, overrides=overrides)

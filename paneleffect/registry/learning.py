@@ -7,6 +7,7 @@ covered by the invariants in the tests. One chain per input folder is fitted and
 from __future__ import annotations
 
 from functools import cache
+from uuid import uuid4
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from paneleffect import config
 from paneleffect.functions import skew
 from paneleffect.operators import encode, ensembles, features, models, report, scenario
-from paneleffect.plans import lift, recipes, wide
+from paneleffect.plans import lift, recipes, store, wide
 from paneleffect.registry import panels as P
 from paneleffect.registry import refit
 from paneleffect.registry.book import BOOK, shaped
@@ -482,15 +483,43 @@ def c4_predicted_outcomes(spark, sf):
 _STUDY = f"week_end_date >= DATE '{START}' AND week_end_date < DATE '{END}'"
 
 
-@BOOK.add(
-    "c7_full_chain",
-    f"""{refit.CHAIN}, x AS (SELECT theme, SUM(predicted_action_count - counterfactual_action_count) AS incremental_action
+_THEME_SUMMARY = f"""{refit.CHAIN}, x AS (SELECT theme, SUM(predicted_action_count - counterfactual_action_count) AS incremental_action
         FROM af JOIN ac USING (rep_id, customer_id, week_end_date) WHERE {_STUDY} GROUP BY theme),
       y AS (SELECT theme, SUM(predicted_outcome_count - counterfactual_outcome_count) AS incremental_outcome
         FROM bf JOIN bc USING (customer_id, week_end_date, outcome_type) WHERE {_STUDY} GROUP BY theme)
-      SELECT theme, ROUND(incremental_outcome, 6) + 0.0 AS incremental_outcome, ROUND(incremental_action, 6) + 0.0 AS incremental_action FROM x FULL JOIN y USING (theme)""",
-)
+      SELECT theme, ROUND(incremental_outcome, 6) + 0.0 AS incremental_outcome, ROUND(incremental_action, 6) + 0.0 AS incremental_action FROM x FULL JOIN y USING (theme)"""
+
+
+@BOOK.add("c7_full_chain", _THEME_SUMMARY)
 def c7_full_chain(spark, sf):
     """Incremental actions and outcomes of the fitted chain, by theme."""
     a, b = chain(spark, sf)
     return shaped(report.theme_summary(b.incremental, a.incremental), "theme", doubles="incremental_outcome incremental_action")
+
+
+@BOOK.add("c7_store_and_reload", _THEME_SUMMARY)
+def c7_store_and_reload(spark, sf):
+    """Path A stored, path B run from its stored tables alone, both loaded again."""
+    folder = f"{skew.shared_folder(spark)}/run-{uuid4().hex}"
+    store.save(chain(spark, sf)[0], folder)
+    run = store.run_path_b(P.long(spark, sf), folder, params=refit.EXACT, overrides=OVERRIDES)
+    return shaped(report.theme_summary(run.b.incremental, run.a.incremental), "theme", doubles="incremental_outcome incremental_action")
+
+
+_OBSERVED = f"""{refit.FIT_A}, az AS MATERIALIZED (SELECT k, rep_id, customer_id, week_end_date, segment, propensity, 0.0 AS sa, oa, other FROM a3),
+  {refit.walked('zw', 'ea', 'az', refit.EFFECT_A)}"""
+
+
+@BOOK.add(
+    "c1_observed_spillover",
+    f"""{_OBSERVED} SELECT {_KEYS}, {_r9("other AS percent_other_hcps_suggested_counterfactual", "GREATEST(prediction, 0) AS counterfactual_action_count")} FROM az JOIN zw USING (k)""",
+)
+def c1_observed_spillover(spark, sf):
+    """Counterfactual actions with the rep's other customers suggested as they were."""
+    a = _observed(spark.sparkContext.applicationId, spark, sf)
+    return shaped(_week(a.counterfactual), "rep_id customer_id week", doubles="percent_other_hcps_suggested_counterfactual counterfactual_action_count", decimals=9)
+
+
+@cache
+def _observed(app: str, spark: SparkSession, sf: str):
+    return lift.path_a(P.long(spark, sf), "call", "call", START, END, params=refit.EXACT, keep_actual_spillover=True)

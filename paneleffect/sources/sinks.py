@@ -55,6 +55,11 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One short text as a file of its own."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -64,5 +69,4 @@ def read_model(path: str) -> PipelineModel:
 
 
 def write_model_config(spark: SparkSession, model_config: ModelConfig, path: str) -> None:
-    text = json.dumps(model_config.to_dict())
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    write_text(spark, json.dumps(model_config.to_dict()), path)
