@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from paneleffect import config
 from paneleffect.config import Roles
 from paneleffect.functions.skew import durable
-from paneleffect.operators import encode, features, models, rollups, scenario
+from paneleffect.operators import encode, features, idmeans, models, rollups, scenario
 from paneleffect.operators.roles import detect_roles, outcome_columns, roles_dict
 from paneleffect.sources import sinks
 
@@ -42,7 +42,7 @@ def run(
     isolate_channel: str | None = None,
     leak_safe: bool = False,
     consistent: bool = False,
-    encode_ids: bool = True,
+    encode_ids: bool | str = True,
     roles: Roles | None = None,
     model_params: Mapping | None = None,
 ) -> WideRun:
@@ -51,12 +51,21 @@ def run(
     The channel lift is taken before the multiplier and isolation, and the channel rollup weights
     the isolated effect by the share again; ``consistent`` uses the final effect, unweighted by a
     second share, for both. ``encode_ids=False`` leaves the customer and rep out of the one-hot
-    features, for panels with more of them than a model can have positions.
+    features, for panels with more of them than a model can have positions; ``encode_ids="means"`` gives each
+    three numbers instead, cross-fitted means of the action flag, the actions and the outcome.
     """
+    if encode_ids not in (True, False, "means"):
+        raise ValueError(f"encode_ids is True, False or 'means', not {encode_ids!r}.")
     roles = roles or detect_roles(df.columns)
     frame = features.build_features(df, roles, leak_safe, store=True)
-    if not encode_ids:
+    if encode_ids is not True:
         frame = replace(frame, categorical=tuple(c for c in frame.categorical if c not in (roles.hcp, roles.rep)))
+    if encode_ids == "means":
+        data, added = frame.data, []
+        for c in (roles.hcp, roles.rep):
+            means = idmeans.fit_id_means(data, c, ("treated_action", "action_total", outcome_columns(roles)[0]), (roles.hcp, roles.rep, roles.time))
+            data, added = durable(idmeans.add_id_means(data, means)), [*added, *means.columns]
+        frame = replace(frame, data=data, numeric=(*frame.numeric, *added))
     base = frame.data
     encoder = encode.fit_wide_encoder(base, frame.numeric, frame.categorical)
     labels = encoder.labels()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paneleffect.config import DEFAULT_ADSTOCK
 from paneleffect.functions import scalars as S
-from paneleffect.operators import adstock, features, grain, report, scenario, spillover
+from paneleffect.operators import adstock, features, grain, idmeans, report, scenario, spillover
 from paneleffect.registry import panels as P
 from paneleffect.registry.book import BOOK, shaped
 
@@ -313,3 +313,25 @@ def p18_long_summary(spark, sf):
         F.sum("trx").alias("observed_outcome"), F.sum("action_total").alias("observed_action")
     )
     return shaped(report.summary_long(totals), "year_month variable", "year month", "value")
+
+
+_MEAN = "CASE WHEN hcp_id % 97 = 0 THEN NULL ELSE hcp_id END"
+
+
+@BOOK.add(
+    "p6_id_means",
+    f"""WITH {P.FINE}, x AS (SELECT {_MEAN} AS hcp_id, rep_id, week_end_date, CAST(action_email + action_call AS DOUBLE) AS y, trx AS z,
+        ('0x' || SUBSTR(MD5(COALESCE(CAST({_MEAN} AS VARCHAR), '') || '|' || rep_id || '|' || CAST(week_end_date AS VARCHAR)), 1, 8))::UBIGINT % 5 AS fold FROM fine),
+      g AS (SELECT fold, (SUM(SUM(y)) OVER () - SUM(y)) / (SUM(COUNT(*)) OVER () - COUNT(*)) AS my, (SUM(SUM(z)) OVER () - SUM(z)) / (SUM(COUNT(*)) OVER () - COUNT(*)) AS mz FROM x GROUP BY fold),
+      t AS (SELECT hcp_id, fold, COUNT(*) AS n, SUM(y) AS y, SUM(z) AS z FROM x WHERE hcp_id IS NOT NULL GROUP BY 1, 2),
+      w AS (SELECT hcp_id, SUM(n) AS n, SUM(y) AS y, SUM(z) AS z FROM t GROUP BY 1)
+      SELECT CAST(x.hcp_id AS VARCHAR) AS hcp_id, CAST(x.rep_id AS VARCHAR) AS rep_id, CAST(week_end_date AS VARCHAR) AS week,
+        ROUND((COALESCE(w.y - t.y, 0) + 20 * my) / (COALESCE(w.n - t.n, 0) + 20), 9) + 0.0 AS mean_action_total_by_hcp_id,
+        ROUND((COALESCE(w.z - t.z, 0) + 20 * mz) / (COALESCE(w.n - t.n, 0) + 20), 9) + 0.0 AS mean_trx_by_hcp_id
+      FROM x JOIN g USING (fold) LEFT JOIN t ON t.hcp_id = x.hcp_id AND t.fold = x.fold LEFT JOIN w ON w.hcp_id = x.hcp_id""",
+)
+def p6_id_means(spark, sf):
+    """Customers as cross-fitted means; some rows have no customer."""
+    panel = _totals(spark, sf, P.fine).withColumn("hcp_id", F.when(F.col("hcp_id") % 97 != 0, F.col("hcp_id")))
+    means = idmeans.fit_id_means(panel, "hcp_id", ("action_total", "trx"), ("hcp_id", "rep_id", "week_end_date"))
+    return shaped(_week(idmeans.add_id_means(panel, means)), "hcp_id rep_id week", doubles=" ".join(means.columns), decimals=9)
