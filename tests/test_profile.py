@@ -166,6 +166,31 @@ def test_correlations_are_pairwise_whatever_their_number(spark):
     assert all(many[k] == pytest.approx(v) for k, v in few.items())
 
 
+def test_correlations_by_blocks_are_the_same_and_rows_are_not_repeated(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(300, 11)) * 10.0 ** rng.integers(-3, 6, 11) + 1e6
+    values[:, 4] = 7.0
+    values[rng.random(values.shape) < 0.15] = np.nan
+    values[3, 2], values[4, 3] = np.inf, -np.inf
+    names = [f"c{k}" for k in range(11)]
+    rows = [[None if np.isnan(x) and k % 2 else float(x) for k, x in enumerate(row)] for row in values]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(4)
+    whole = {(r["a"], r["b"]): r["correlation"] for r in profile.correlations(df, names).collect()}
+    for block in (1, 4):
+        assert {(r["a"], r["b"]): r["correlation"] for r in profile.correlations(df, names, block).collect()} == pytest.approx(whole, abs=1e-9)
+    finite = np.where(np.isfinite(values), values, np.nan)
+    for i in range(11):
+        for j in range(11):
+            both = ~np.isnan(finite[:, i]) & ~np.isnan(finite[:, j])
+            want = 0.0 if 4 in (i, j) else np.corrcoef(finite[both, i], finite[both, j])[0, 1]
+            assert whole[names[i], names[j]] == pytest.approx(want, abs=1e-9)
+    wide = spark.range(20_000, numPartitions=2).select(*[F.rand(k).alias(f"c{k}") for k in range(60)])
+    plan = profile.correlations(wide, wide.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow accumulate") == 1 and "Generate" not in plan.split("MapInArrow accumulate")[1]  # rows are read once, none is repeated
+    cells = profile._gram_rows(wide, [(k, F.col(f"c{k}")) for k in range(60)], [(k, F.col(f"c{k}")) for k in range(60)])
+    assert cells.count() == 2 * 60 * 61 // 2
+
+
 def test_trend_flags_an_odd_month(spark):
     rows = [(f"2024-{m:02d}", 10.0 + m % 2) for m in range(1, 13)] + [("2025-01", 500.0)]
     trend = profile.monthly_variable_trend(spark.createDataFrame(rows, "month string, v double"), "v")
