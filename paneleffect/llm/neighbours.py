@@ -359,11 +359,15 @@ def classes(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     good, sizes, built = index(rows, s)
     parts = built.where("kind = 'links'").select("id", "n", "part").unionByName(_across(built, sizes, s))
     parts = common.stage(parts, "vector-links")
-    joined = components(parts.select(F.col("id").alias("a"), F.col("part").alias("b")))
-    found = parts.groupBy("id").agg(F.sum("n").alias("found"))
     v = F.xxhash64("v")
     least = good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     mapped = good.withColumn("_h", v).join(least.withColumn("_h", v), ["label", "dim", "_h", "v"]).select("vec_id", "rep", "weight")
+    mapped = common.stage(mapped, "vector-representatives")
+    # Rows of one id with different vectors are one place: their representatives belong together.
+    several = mapped.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).where("a <> _most").select("vec_id", "a")
+    same_id = mapped.join(several, "vec_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    joined = components(parts.select(F.col("id").alias("a"), F.col("part").alias("b")).unionByName(same_id))
+    found = parts.groupBy("id").agg(F.sum("n").alias("found"))
     known = (
         mapped.join(found.withColumnRenamed("id", "rep"), "rep", "left")
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")

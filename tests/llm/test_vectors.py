@@ -69,6 +69,13 @@ def test_recall_of_the_given_vectors(spark):
     assert audit and all(r["recall"] >= 0.99 for r in audit)
 
 
+def test_rows_that_repeat_an_id_with_other_vectors_are_one_place(spark):
+    v, w, x = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, v, 0), (5, v, 0), (5, w, 0), (7, w, 0), (9, x, 0), (9, x, 1), (11, x, 1)]
+    out = {(r["vec_id"], r["component_id"], r["kept"]) for r in neighbours.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == {(1, 1, True), (5, 1, False), (7, 1, False), (9, 9, True), (11, 9, False)}
+
+
 def test_no_vectors(spark):
     assert neighbours.classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
