@@ -3,9 +3,9 @@
 A line is a piece of a text between line feeds; its words are lower-cased (A-Z). Two lines are near
 when one inserted, deleted or changed word at most tells them apart. A line of ``min_words`` words
 or more is removed when an earlier line of the corpus, by (doc_id, line number), is near it; all is
-judged on the input, so the result does not depend on the order of work. Shorter lines stay, or, with
-``short``, are removed when an earlier line has the same words; lines without a word always stay.
-The pipeline asks for ``short``; ``digest`` and its SQL do not.
+judged on the input, so the result does not depend on the order of work. Shorter lines are removed when an
+earlier line has the same words, or stay where ``short`` is not asked for; lines without a word always stay.
+The pipeline, ``digest`` and its SQL ask for ``short``.
 
 The work:
 
@@ -103,11 +103,14 @@ def _suspect_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in common.slices(batch, "text"):
-                raw, out = data.tobytes(), ([], [], [], [])
+                raw, out, every = data.tobytes(), ([], [], [], []), _Lines(data, offsets)
+                first = np.searchsorted(every.doc, np.arange(len(part)))
+                hashes = common.as_long(every.whole(np.arange(len(every.doc))))
                 for row, (doc, wants) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
                     lines = raw[offsets[row] : offsets[row + 1]].split(b"\n")
                     for w in wants:
-                        if w["l0"] < len(lines):
+                        # Another row of the same id may have another line there.
+                        if w["l0"] < len(lines) and hashes[first[row] + w["l0"]] == w["h"]:
                             for column, value in zip(out, (w["h"], doc, w["l0"], b" ".join(lines[w["l0"]].lower().split()))):
                                 column.append(value)
                 yield common.records(schema, h=out[0], d0=out[1], l0=out[2], line=out[3])
@@ -232,7 +235,7 @@ def reduced(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) ->
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = without_repeats(common.needed(docs, "doc_id", "text"))
+    out = without_repeats(common.needed(docs, "doc_id", "text"), short=True)
     return out.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).alias("n_lines"),
@@ -248,9 +251,11 @@ WITH pieces AS (
 ), worded AS (
   SELECT *, LIST_FILTER(STRING_SPLIT_REGEX(LOWER(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM pieces
 ), lines AS (
-  SELECT doc_id, line_no, w, ARRAY_TO_STRING(w, ' ') AS h FROM worded WHERE LEN(w) >= {MIN_WORDS}
-), firsts AS (
+  SELECT doc_id, line_no, w, ARRAY_TO_STRING(w, ' ') AS h FROM worded WHERE LEN(w) >= 1
+), every_first AS (
   SELECT h, ANY_VALUE(w) AS w, MIN({{'d': doc_id, 'l': line_no}}) AS p FROM lines GROUP BY h
+), firsts AS (
+  SELECT * FROM every_first WHERE LEN(w) >= {MIN_WORDS}
 ), variants AS MATERIALIZED (
   SELECT h, p, k, ARRAY_TO_STRING(LIST_CONCAT(w[1:k - 1], w[k + 1:LEN(w)]), ' ') AS v
   FROM (SELECT h, w, p, UNNEST(RANGE(1, LEN(w) + 1)) AS k FROM firsts)
@@ -260,6 +265,7 @@ WITH pieces AS (
   SELECT variants.h, earliest.p FROM variants JOIN earliest USING (v, k)
   UNION ALL SELECT variants.h, firsts.p FROM variants JOIN firsts ON variants.v = firsts.h
   UNION ALL SELECT firsts.h, variants.p FROM variants JOIN firsts ON variants.v = firsts.h
+  UNION ALL SELECT h, p FROM every_first
 ), best AS (
   SELECT h, MIN(p) AS p FROM near GROUP BY h
 ), gone AS (
