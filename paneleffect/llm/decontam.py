@@ -15,8 +15,11 @@ The items are a small table: they go to the tasks in portions of at most ``porti
 pass over the documents for each portion, so what is sent has a fixed size. Documents are read
 once per portion and never shuffled; long texts are searched in overlapping pieces.
 
-Defined cases: null or empty texts hold nothing. Items that are null or shorter than ``min_chars``
-are no evidence and are ignored; items that repeat are each reported. Repeated documents are each
+Items shorter than ``min_chars`` are found where they stand unchanged as whole words: no letter or digit
+touches a letter or digit at either end.
+
+Defined cases: null or empty texts hold nothing. Items that are null, empty or white space hold nothing to
+find and are ignored; items that repeat are each reported. Repeated documents are each
 reported. A null doc_id is reported as such. Other columns are ignored by ``leaks`` and kept by
 ``clean``.
 """
@@ -94,6 +97,36 @@ def best_alignment(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int,
     return edits, end - int(np.flatnonzero(starts == edits)[0]), end
 
 
+class _WholeWords:
+    """Short items, found unchanged where no letter or digit goes on at their ends."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int):
+        self.items = [(k, characters(t.strip())) for k, t in items]
+        self.by_length: dict[int, dict[int, list[int]]] = {}
+        for place, (_, item) in enumerate(self.items):
+            n = min(len(item), q)
+            self.by_length.setdefault(n, {}).setdefault(int(_grams(item, n)[0]), []).append(place)
+        self.keys = {n: np.array(sorted(found), dtype=np.uint64) for n, found in self.by_length.items()}
+
+    def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item's number, 0, start, end) of the first place of each item that is found."""
+        found: dict[int, tuple[int, int]] = {}
+
+        def inside(at: int) -> bool:
+            return 0 < at < len(points) and chr(points[at - 1]).isalnum() and chr(points[at]).isalnum()
+
+        for n, keys in self.keys.items():
+            grams = _grams(points, n)
+            slot = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            for at in np.flatnonzero(keys[slot] == grams).tolist():
+                for place in self.by_length[n][int(grams[at])]:
+                    number, item = self.items[place]
+                    end = at + len(item)
+                    if number not in found and end <= len(points) and (points[at:end] == item).all() and not inside(at) and not inside(end):
+                        found[number] = (at, end)
+        return [(k, 0, *span) for k, span in found.items()]
+
+
 class Matcher:
     """The items' q-grams, and the search of one text for all of them."""
 
@@ -101,8 +134,11 @@ class Matcher:
         if not 1 <= settings.q <= 8 or settings.q * settings.edit_share >= 1:
             raise ValueError("q must be 1 to 8 and q * edit_share below 1")
         self.s = settings
-        items = [(i, t) for i, t in items if t is not None and len(t) >= settings.min_chars]
+        items = [(i, t) for i, t in items if t is not None and t.strip()]
+        self.short = _WholeWords([(k, t) for k, (_, t) in enumerate(items) if len(t) < settings.min_chars], settings.q)
+        self.numbers = [k for k, (_, t) in enumerate(items) if len(t) >= settings.min_chars]
         self.ids = [i for i, _ in items]
+        items = [items[k] for k in self.numbers]
         self.items = [characters(t) for _, t in items]
         self.edits = np.array([int(settings.edit_share * len(p)) for p in self.items], dtype=np.int64)
         sizes = np.array([len(p) for p in self.items], dtype=np.int64)
@@ -134,25 +170,36 @@ class Matcher:
         if len(at) < self.bound.min(initial=1):
             return np.zeros((0, 2), np.int64)
         bands = (len(points) + self.longest) // self.band + 2
-        total = np.zeros(len(self.items) * bands, dtype=np.int64)
         many = self.first[slot + 1] - self.first[slot]
-        begin = 0
-        reach = np.cumsum(many)
-        while begin < len(at):  # a portion of the shared q-grams at a time
+        begin, reach = 0, np.cumsum(many)
+        cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while begin < len(at):  # a portion of the shared q-grams at a time; only cells that hold one are kept
             stop = max(begin + 1, int(np.searchsorted(reach, (reach[begin - 1] if begin else 0) + (1 << 20), side="right")))
             n = many[begin:stop]
             entry = np.repeat(self.first[slot[begin:stop]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             diagonal = np.repeat(at[begin:stop], n) - self.place[entry] + self.longest
-            total += np.bincount(self.item[entry] * bands + diagonal // self.band, minlength=len(total))
+            new, seen = np.unique(self.item[entry] * bands + diagonal // self.band, return_counts=True)
+            if len(cells):
+                both, where = np.unique(np.concatenate([cells, new]), return_inverse=True)
+                new, seen = both, np.bincount(where, weights=np.concatenate([counts, seen])).astype(np.int64)
+            cells, counts = new, seen
             begin = stop
-        total = total.reshape(len(self.items), bands)
-        return np.argwhere(total[:, :-1] + total[:, 1:] >= self.bound[:, None])
+        lower = np.unique(np.concatenate([cells, cells[cells % bands > 0] - 1]))
+        lower = lower[lower % bands < bands - 1]
+
+        def count(cell: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+            return np.where(cells[at] == cell, counts[at], 0)
+
+        enough = count(lower) + count(lower + 1) >= self.bound[lower // bands]
+        return np.stack([lower[enough] // bands, lower[enough] % bands], axis=1)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item's number, edits, start, end) of the best stretch for every item that is found."""
-        if not self.items or len(text) < self.s.q:
-            return []
         points = characters(text)
+        out = self.short.find(points)
+        if not self.items or len(text) < self.s.q:
+            return sorted(out)
         best: dict[int, tuple[int, int, int]] = {}
         overlap = self.longest + 3 * self.band
         for begin in range(0, max(1, len(points) - overlap), self.s.piece_chars):
@@ -164,12 +211,12 @@ class Matcher:
                 if (got := best_alignment(item, piece[first : max(0, last)], most)) is not None:
                     found = (got[0], begin + first + got[1], begin + first + got[2])
                     best[k] = min(best.get(k, found), found)
-        return [(k, *found) for k, found in sorted(best.items())]
+        return sorted(out + [(self.numbers[k], *found) for k, found in best.items()])
 
 
 def portions(benchmark: DataFrame, settings: Settings) -> Iterator[Matcher]:
     """The benchmark's items, so many at a time that a portion has about ``portion_bytes``."""
-    rows = needed(benchmark, "item_id", "text").where(F.length("text") >= settings.min_chars)
+    rows = needed(benchmark, "item_id", "text").where(F.length(F.trim("text")) > 0)
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // settings.portion_bytes))
     for k in range(n):

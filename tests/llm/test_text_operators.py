@@ -146,6 +146,22 @@ def test_short_lines_go_when_equal(frame, prose):
     assert (201, 0) in equal and got == brute_lines(rows) | equal
 
 
+def test_lines_of_rows_that_repeat_an_id(frame):
+    """Rows of one id with other texts: each line is compared as what it is, in any order of the rows."""
+    a, b = "One two three four five six", "Seven eight nine ten eleven twelve"
+    rows = [(1, a), (1, b), (2, a.replace("two", "2")), (3, b.replace("nine", "9")), (4, "Quite another line of words here")]
+    for order in (rows, rows[::-1], [rows[k] for k in (3, 1, 4, 0, 2)]):
+        got = {(r["doc_id"], r["line_no"]) for r in linededup.removed_lines(frame(order).repartition(3)).collect()}
+        assert got == {(2, 0), (3, 0)}
+
+
+def test_a_very_long_line_and_a_hot_one(frame):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, long), (2, long.replace("w777 ", "")), (3, long + " x y")] + [(k, "the same short line of words\nok") for k in range(10, 300)]
+    got = {(r["doc_id"], r["line_no"]) for r in linededup.removed_lines(frame(rows), short=True).collect()}
+    assert got == {(2, 0)} | {(k, n) for k in range(11, 300) for n in (0, 1)}
+
+
 def test_the_pipeline_removes_equal_short_lines(spark):
     import corpus_pipeline
 
@@ -376,7 +392,7 @@ def test_leaks_match_brute_force(spark, frame):
     want = {}
     for doc, text in rows:
         for item, passage in items:
-            if text and passage and len(passage) >= settings.min_chars:
+            if text and passage and len(passage) >= settings.min_chars:  # shorter ones have a test of their own
                 edits = brute_leak(passage, text, int(settings.edit_share * len(passage)))
                 if edits is not None:
                     want[doc, item] = edits
@@ -395,6 +411,31 @@ def test_leak_spans_and_portions(frame):
     assert sorted((r["item_id"], r["edits"], r["start"], r["end"]) for r in out) == [(7, 0, 50, 50 + len(item)), (8, 0, 50, 50 + len(item))]
 
 
+def test_short_items_are_found_as_whole_words(frame):
+    items = [(1, "What is the capital of Peru?"), (2, "forty-two"), (3, "Ouagadougou"), (4, "no"), (5, " "), (6, None), (7, ""), (8, "É 9"), (9, "x" * 39)]
+    texts = ["so: WHAT IS THE\tCAPITAL of peru?", "what is the capital of peru", "it is forty-two.", "forty-twos, aforty-two", "no", "No.", "nothing, piano", "(é 9)", "É 9", "é 99 É 9", "", None, "y" + "x" * 39, "- " + "x" * 39 + "\n"]
+    benchmark = frame(items, "item_id long, text string")
+    out = sorted((r["doc_id"], r["item_id"], r["edits"], r["start"], r["end"]) for r in decontam.leaks(frame(list(enumerate(texts))), benchmark).collect())
+    assert out == [(0, 1, 0, 4, 32), (2, 2, 0, 6, 15), (4, 4, 0, 0, 2), (5, 4, 0, 0, 2), (8, 8, 0, 0, 3), (9, 8, 0, 5, 8), (13, 9, 0, 2, 41)]
+    kept = {r["doc_id"] for r in decontam.clean(frame(list(enumerate(texts))), benchmark).collect()}
+    assert kept == set(range(len(texts))) - {d for d, *_ in out}
+
+
+def test_many_items_and_a_long_text_take_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=40))) for k in range(4000)]
+    matcher = decontam.Matcher(items, decontam.Settings())
+    text = " ".join(rng.choices(vocabulary, k=12_000)) + " " + items[77][1]
+    tracemalloc.start()
+    assert [k for k, *_ in matcher.find(text)] == [77]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 # --- toxicity
 
 
