@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from paneleffect import config
 from paneleffect.functions import scalars as S
-from paneleffect.functions.skew import numbered
+from paneleffect.functions.skew import left_join_unique, numbered
 from paneleffect.operators.clean import numeric_null_to_zero
 from paneleffect.operators.roles import matching, prefer_adstock
 
@@ -182,8 +182,9 @@ def encode_wide(df: DataFrame, encoder: WideEncoder, variants: Mapping[str, Sequ
     """Add the feature vector. ``variants`` names more vectors, each without some of the numbers."""
     out = df
     for c, index in encoder.indexes.items():
-        named = index.withColumnsRenamed({"_value": f"{c}_value", "_position": f"{c}_numeric"})
-        out = out.join(named, S.name(c) == F.col(f"`{c}_value`"), "left").drop(f"{c}_value")
+        # Rows without a value go round the join; a value with very many rows is split by the adaptive join.
+        named = index.select(F.col("_value").alias(c), F.col("_position").alias(f"{c}_numeric"))
+        out = left_join_unique(out, named, [c])
         out = out.fillna(float(encoder.sizes[c] - 1), subset=[f"{c}_numeric"])
     out = encoder.hot.transform(out) if encoder.hot else out
     wanted = {FEATURES: (), **(variants or {})}

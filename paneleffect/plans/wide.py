@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paneleffect import config
 from paneleffect.config import Roles
@@ -34,6 +35,7 @@ class WideRun:
     diagnostics: DataFrame
     variables: DataFrame
     models: dict[str, PipelineModel]
+    setup: dict
 
 
 def run(
@@ -112,9 +114,13 @@ def run(
         action_monthly=rollups.monthly_rollup(scored, roles.time, ["incremental_actions"]),
         outcome_monthly=rollups.monthly_rollup(scored, roles.time, ["incremental_trx", "incremental_nbrx"]),
         overall=rollups.overall_lift(scored, ["incremental_actions", "incremental_trx", "incremental_nbrx"]),
-        diagnostics=rollups.cohort_diagnostics(scored, len(labels)),
+        diagnostics=rollups.cohort_diagnostics(scored, len(labels)).withColumn("auc", F.lit(propensity.auc)),
         variables=rollups.variable_roles(df.sparkSession, roles, labels),
         models={**({"propensity": propensity.model} if propensity.model else {}), **action.models, **outcome.models},
+        setup={
+            "scenario_multiplier": float(scenario_multiplier), "isolate_channel": isolate_channel, "leak_safe": leak_safe, "consistent": consistent,
+            "encode_ids": str(encode_ids),
+        },
     )
 
 
@@ -125,8 +131,9 @@ def write(run: WideRun, folder: str) -> None:
     sinks.write_rollup_csv(run.action_monthly, f"{folder}/path_a_monthly_rollup")
     sinks.write_rollup_csv(run.outcome_monthly, f"{folder}/path_b_monthly_rollup")
     sinks.write_rollup_csv(run.diagnostics, f"{folder}/path_a_diagnostics")
-    plain = {"schema": roles_dict(run.roles), "auc": run.auc, "features": run.feature_columns}
+    plain = {"schema": roles_dict(run.roles), "auc": run.auc, "features": run.feature_columns, "setup": run.setup}
     tables = {
+        "variables": run.variables,
         "overall": run.overall,
         "channel_lift": run.channel_lift,
         "channel_monthly_rollup": run.channel_monthly,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneleffect import config
 from paneleffect.functions.skew import shared_folder
@@ -13,7 +14,7 @@ from paneleffect.plans import lift
 from paneleffect.registry import panels as P
 from paneleffect.registry.book import BOOK, shaped
 from paneleffect.registry.effects import _EFFECT, _FACT, _effect
-from paneleffect.registry.learning import _PREDICTED, linear, wide_run
+from paneleffect.registry.learning import _PREDICTED, linear
 from paneleffect.sources import sinks, tables
 
 _KEY = "rep_id, customer_id, CAST(week_end_date AS VARCHAR) AS week"
@@ -80,13 +81,45 @@ def s5_rollup_csv(spark, sf):
     return shaped(back, "month", doubles="incremental_actions")
 
 
-@BOOK.add("s6_summary_json")
+_DIAGNOSED = """(VALUES ('treated_cohort_size'), ('control_cohort_size'), ('treated_action_rows'), ('control_action_rows')) m(measure)"""
+
+
+@BOOK.add(
+    "s6_summary_json",
+    f"""WITH {_EFFECT}, shares AS (SELECT *, action_email / denom AS e, action_call / denom AS c FROM effect),
+      f AS (SELECT *, CAST(suggestion_total > 0 AS INT) AS ts, CAST(action_total > 0 AS INT) AS ta FROM effect)
+      SELECT 'overall' AS block, 'incremental_actions' AS label, ROUND(SUM(incremental_actions), 6) + 0.0 AS value FROM effect
+      UNION ALL SELECT 'channel_lift', 'action_email', ROUND(SUM(incremental_actions * e), 6) + 0.0 FROM shares
+      UNION ALL SELECT 'channel_lift', 'action_call', ROUND(SUM(incremental_actions * c), 6) + 0.0 FROM shares
+      UNION ALL SELECT 'path_a_monthly_rollup', month_label, ROUND(SUM(incremental_actions), 6) + 0.0 FROM effect GROUP BY month_label
+      UNION ALL SELECT 'diagnostics', measure, CAST(CASE measure WHEN 'treated_cohort_size' THEN SUM(ts) WHEN 'control_cohort_size' THEN SUM(1 - ts)
+        WHEN 'treated_action_rows' THEN SUM(ta) ELSE SUM(1 - ta) END AS DOUBLE) FROM f CROSS JOIN {_DIAGNOSED} GROUP BY measure
+      UNION ALL SELECT 'setup', 'scenario_multiplier', CAST(1.5 AS DOUBLE)
+      UNION ALL SELECT 'schema', 'suggestions', CAST(2 AS DOUBLE)""",
+)
 def s6_summary_json(spark, sf):
+    """The summary written as one JSON text, parsed back by its schema into the rows of its blocks."""
     folder = _place(spark, "summary")
-    run = wide_run(spark, sf)
-    tables_in = {"overall": run.overall, "channel_lift": run.channel_lift, "path_a_monthly_rollup": run.action_monthly}
-    sinks.write_summary(sinks.summary_frame(spark, {"schema": roles.roles_dict(run.roles), "auc": run.auc}, tables_in), folder)
-    return spark.read.text(folder)
+    effect = _effect(spark, sf)
+    tables_in = {
+        "overall": rollups.overall_lift(effect, ["incremental_actions"]),
+        "channel_lift": rollups.channel_lift(effect, "incremental_actions", ["action_email", "action_call"]),
+        "path_a_monthly_rollup": rollups.monthly_rollup(effect, "week_end_date", ["incremental_actions"]),
+        "diagnostics": rollups.cohort_diagnostics(effect, 3),
+    }
+    plain = {"schema": roles.roles_dict(P.DENSE_ROLES), "setup": {"scenario_multiplier": 1.5}}
+    sinks.write_summary(sinks.summary_frame(spark, plain, tables_in), folder)
+    kinds = "schema struct<suggestion_cols: array<string>>, setup struct<scenario_multiplier: double>"
+    one = sinks.read_summary(spark, folder, sinks.summary_schema(tables_in, T.StructType.fromDDL(kinds)))
+    rows = {
+        "overall": one.select(F.inline("overall")).select(F.col("measure").alias("label"), F.col("total").alias("value")),
+        "channel_lift": one.select(F.inline("channel_lift")).toDF("label", "value"),
+        "path_a_monthly_rollup": one.select(F.inline("path_a_monthly_rollup")).toDF("label", "value"),
+        "diagnostics": one.select(F.inline("diagnostics")).unpivot([], ["treated_cohort_size", "control_cohort_size", "treated_action_rows", "control_action_rows"], "label", "value").withColumn("value", F.col("value").cast("double")),
+        "setup": one.select(F.lit("scenario_multiplier").alias("label"), F.col("plain.setup.scenario_multiplier").alias("value")),
+        "schema": one.select(F.lit("suggestions").alias("label"), F.size("plain.schema.suggestion_cols").cast("double").alias("value")),
+    }
+    return shaped(scenario.stack(rows, "block"), "block label", doubles="value")
 
 
 @BOOK.add("s7_load_panel", f"WITH {P.DENSE} SELECT hcp_id, rep_id, CAST(week_end_date AS VARCHAR) AS week, suggestion_call, trx FROM dense")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneleffect import config
 from paneleffect.config import ModelConfig
@@ -51,6 +52,17 @@ def summary_frame(spark: SparkSession, plain: dict, tables: dict[str, DataFrame]
     return one.select(F.concat(*parts, F.lit("}")).alias("value"))
 
 
+def summary_schema(tables: dict[str, DataFrame], plain: T.StructType | None = None) -> T.StructType:
+    """The nested type of a summary: the plain values' own, or text, and an array of rows per table."""
+    fields = [T.StructField("plain", plain or T.StringType())]
+    return T.StructType([*fields, *[T.StructField(label, T.ArrayType(t.schema)) for label, t in tables.items()]])
+
+
+def read_summary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored summary as one typed row; a table's rows come back by ``inline`` of its column."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").text(path)
 
