@@ -73,6 +73,15 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
     return wide & np.uint64((1 << (8 * q)) - 1) if q < 8 else wide.copy()
 
 
+def _place(item: np.ndarray, text: np.ndarray) -> int:
+    """Where ``item`` stands in ``text`` first; -1 if nowhere."""
+    wanted, within = item.astype(np.uint32).tobytes(), text.astype(np.uint32).tobytes()
+    at = within.find(wanted)
+    while at % 4 and at >= 0:
+        at = within.find(wanted, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 def best_alignment(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the stretch of ``text`` nearest to ``item``: the fewest edits, then the
     earliest end, then the latest start; None beyond ``most`` edits."""
@@ -87,6 +96,11 @@ def best_alignment(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int,
             row = np.minimum.accumulate(new - steps) + steps
         return row
 
+    unchanged = _place(item, text)
+    if unchanged >= 0:
+        return 0, unchanged, unchanged + len(item)
+    if not most:
+        return None
     ends = last_row(item, text, True)
     edits = int(ends.min())
     if edits > most:
@@ -184,7 +198,11 @@ class Matcher:
                 new, seen = both, np.bincount(where, weights=np.concatenate([counts, seen])).astype(np.int64)
             cells, counts = new, seen
             begin = stop
-        lower = np.unique(np.concatenate([cells, cells[cells % bands > 0] - 1]))
+        # Of two neighbours that reach the bound together one holds half of it.
+        strong = cells[2 * counts >= self.bound[cells // bands]]
+        if not len(strong):
+            return np.zeros((0, 2), np.int64)
+        lower = np.unique(np.concatenate([strong, strong[strong % bands > 0] - 1]))
         lower = lower[lower % bands < bands - 1]
 
         def count(cell: np.ndarray) -> np.ndarray:
