@@ -1,4 +1,7 @@
-"""Substring de-duplication with prefix-partitioned suffix trees.
+"""Substring de-duplication by groups of suffixes that share a part of their prefix.
+
+No suffix tree is built: of each suffix only its first 20 words matter to the result, and those are
+compared inside groups of suffixes that share a part of them.
 
 A window is 20 consecutive words of a document, unchanged. Every word covered by a window whose
 words also start earlier (in a document with a smaller id, or earlier in the same one) is removed;
@@ -13,10 +16,8 @@ The work:
 2. Suffixes are split into groups by a part of their prefix: by the anchor, or, where an anchor
    occurs more often than ``group_rows`` times, by the whole 20 words, so that every group fits in
    memory. Neighbouring suffixes of a group travel as one stretch of words.
-3. Each group's suffixes are sorted word by word, which is the order of the leaves of their suffix
-   tree; neighbours that agree in 20 words or more hang below one deep internal node. The leaves
-   of such a node are a repeat: the earliest stays, the others are removed. Runs of removed windows
-   are maximal repeats.
+3. Each group's suffixes are sorted word by word; neighbours that agree in 20 words are a repeat: the
+   earliest stays, the others are removed. Runs of removed windows are maximal repeats.
 
 Both passes first settle what they can inside a slice of a few megabytes of text: of equal windows
 there only the earliest goes on. A passage that a third of all documents share therefore reaches
