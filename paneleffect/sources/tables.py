@@ -47,12 +47,43 @@ def read_keyed_tables(spark: SparkSession, path: str) -> dict[tuple[str, str], D
     return {pair: read_keyed_table(spark, path, *pair) for pair in stored_keys(read_keyed_table(spark, path))}
 
 
+# Texts that are whole numbers, and those that begin with a zero they would lose as one.
+_WHOLE, _PADDED = "^[+-]?(0|[1-9][0-9]{0,17})$", "^[+-]?0[0-9]"
+
+
+def with_types(df: DataFrame) -> DataFrame:
+    """Text columns as the narrowest type that all their values have: boolean, bigint, double, date,
+    timestamp, else text. One aggregate decides for all columns; a column without values stays text.
+
+    A value with a leading zero, such as 007, keeps its column text, as does a whole number of more than 18 digits.
+    """
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    marks = []
+    for i, name in enumerate(names):
+        c = F.trim(F.col(f"`{name}`"))
+        number = c.try_cast("double").isNotNull() & ~c.rlike(_PADDED) & ~(c.rlike("^[+-]?[0-9]{19,}$"))
+        day = c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & c.try_cast("date").isNotNull()
+        time = c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}") & c.try_cast("timestamp").isNotNull()
+        fits = {"n": c.isNotNull(), "boolean": F.lower(c).isin("true", "false"), "bigint": c.rlike(_WHOLE), "double": number, "date": day, "timestamp": time}
+        marks += [F.count_if(fit).alias(f"{kind}{i}") for kind, fit in fits.items()]
+    row = df.agg(*marks).first()
+    kinds = {}
+    for i, name in enumerate(names):
+        full = [k for k in ("boolean", "bigint", "double", "date", "timestamp") if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]]
+        if full:
+            kinds[name] = full[0]
+    return df.select(*[F.trim(F.col(f"`{c}`")).cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])
+
+
 def load_panel(spark: SparkSession, path: str, format: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """A tabular dataset with its types: parquet, or CSV with a header. A ``schema`` saves the reading that
-    infers types from a CSV, and keeps ids such as 007 as they are written."""
+    """A tabular dataset with its types: parquet, or CSV with a header, whose types are found by ``with_types``. A
+    ``schema`` saves the reading that finds them."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     if (format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")) == "csv":
-        return reader.option("header", True).option("inferSchema", schema is None).csv(path)
+        rows = reader.option("header", True).csv(path)
+        return with_types(rows) if schema is None else rows
     return reader.parquet(path)
 
 

@@ -7,7 +7,7 @@ from paneleffect import config
 from paneleffect.plans import lift, store
 from paneleffect.registry import panels as P
 from paneleffect.registry.learning import OVERRIDES
-from paneleffect.sources import sinks
+from paneleffect.sources import sinks, tables
 
 SF = "/root/testdata/sf0.001"
 FEW = {"maxIter": 2, "maxDepth": 2}
@@ -89,3 +89,21 @@ def test_observed_spillover_stays_in_the_counterfactual(panel):
     kept = lift.path_a(panel, "call", "call", params=FEW, keep_actual_spillover=True)
     assert kept.counterfactual.where("percent_other_hcps_suggested_counterfactual > 0").count() > 0
     assert kept.counterfactual.where("suggestion_count_counterfactual <> 0").count() == 0
+
+
+def test_types_of_a_csv_are_found_in_one_pass(spark, tmp_path):
+    lines = [
+        "id,whole,mixed,share,day,at,flag,none,long,word,blank id",
+        "007,1,1,0.5,2024-01-01,2024-01-01 10:00:00,true,,12345678901234567890, x,5",
+        "8,-20,2.5,1e3,2024-02-29,2024-01-02,FALSE,,1,2,",
+        "9,0,,0.0,,2024-01-02T03:04:05,,,2,3,6",
+    ]
+    path = tmp_path / "panel.csv"
+    path.write_text("\n".join(lines) + "\n")
+    df = tables.load_panel(spark, str(path))
+    kinds = dict(df.dtypes)
+    assert kinds == {"id": "string", "whole": "bigint", "mixed": "double", "share": "double", "day": "date", "at": "timestamp", "flag": "boolean", "none": "string", "long": "string", "word": "string", "blank id": "bigint"}
+    rows = df.collect()
+    assert [r["id"] for r in rows] == ["007", "8", "9"] and rows[1]["whole"] == -20 and rows[2]["mixed"] is None and rows[2]["day"] is None
+    assert tables.load_panel(spark, str(path), schema=df.schema).where("whole = -20").count() == 1
+    assert tables.with_types(spark.createDataFrame([], "a string")).dtypes == [("a", "string")]
