@@ -295,8 +295,15 @@ long AS MATERIALIZED (
     theme_f_qualified, theme_o_qualified
   FROM panel p JOIN segment s USING (rep_id, customer_id, week_end_date)
     CROSS JOIN (VALUES ('email'), ('call')) t(kind) CROSS JOIN (VALUES ('trx'), ('nbrx')) o(outcome_type))"""
+# The long panel's keys and counts alone: the lines are read and grouped once.
+LONG_COUNTS = f"""{_LINES}, panel AS (SELECT {_NAMES[1]} AS rep_id, {_NAMES[0]} AS customer_id, week_end_date, {_METRICS} FROM lines GROUP BY 1, 2, 3),
+long AS MATERIALIZED (
+  SELECT rep_id, customer_id, week_end_date, t.kind AS suggestion_type, t.kind AS action_type, o.outcome_type,
+    CAST(CASE WHEN t.kind = 'email' THEN suggestion_email ELSE suggestion_call END AS DOUBLE) AS suggestion_count,
+    CAST(CASE WHEN t.kind = 'email' THEN action_email ELSE action_call END AS DOUBLE) AS action_count
+  FROM panel CROSS JOIN (VALUES ('email'), ('call')) t(kind) CROSS JOIN (VALUES ('trx'), ('nbrx')) o(outcome_type))"""
 # The factual scores of path A alone, for queries that need no more of PREDICTIONS.
-ACTION_SCORES = f"""{LONG}, af AS (
+ACTION_SCORES = f"""{LONG_COUNTS}, af AS (
   SELECT *, CASE WHEN action_count < 9 THEN action_count * 0.75 + suggestion_count * 0.5 - 1.0 END AS prediction,
     suggestion_count * 0.25 AS propensity_a
   FROM long WHERE suggestion_type = 'call' AND action_type = 'call' AND outcome_type = 'trx')"""
