@@ -268,6 +268,18 @@ def m7_fit_and_score(spark, sf):
     return shaped(_week(a.effect.scored), "rep_id customer_id week", doubles="action_count prediction", decimals=9)
 
 
+@BOOK.add("m7_full_sized_fit", "SELECT CAST(tree AS BIGINT) AS tree, TRUE AS leaves_hold, TRUE AS walk_agrees FROM RANGE(0, 20) t(tree)")
+def m7_full_sized_fit(spark, sf):
+    """A fit of path A's effect with the usual parameters: per tree, whether every leaf is its rows' mean target; and whether
+    the walk down the node table predicts what the model does, on every row."""
+    a, _ = chain(spark, sf)
+    scored, model = models.fit_score(a.effect.scored.drop("prediction"), "action_count")
+    rows = skew.durable(ensembles.add_leaves(scored, ensembles.nodes(model, encode.feature_labels(a.effect.encoder))).select("action_count", "prediction", ensembles.LEAVES))
+    agrees = rows.agg(F.bool_and(F.abs(ensembles.walked_prediction() - F.col("prediction")) < 1e-9).alias("walk_agrees"))
+    holds = ensembles.leaf_report(rows, "action_count").groupBy("tree").agg(F.bool_and(F.abs(F.col("mean_target") - F.col("value")) < 1e-9).alias("leaves_hold"))
+    return shaped(holds.crossJoin(F.broadcast(agrees)), "", "tree", flags="leaves_hold walk_agrees")
+
+
 @BOOK.add("m9_importances", f"{refit.FIT_A} SELECT feature AS feature_name, importance FROM ({refit.importance_rows('ea', refit.EFFECT_A)})")
 def m9_importances(spark, sf):
     a, _ = chain(spark, sf)
