@@ -21,9 +21,9 @@ The work:
    size band form a tile. Only pairs not yet in one component are compared: the number of bits in
    which two bitmaps differ bounds the overlap from above. Tiles with many rows are cut into
    blocks, each pair of blocks a task's work.
-4. Pairs that pass are verified by intersecting the two sorted arrays of hashes. Where many pairs of the
-   same two components pass in a tile, the most promising go first; such tiles are compared again,
-   whole, once the links found have joined components.
+4. Pairs that pass are verified by intersecting the two sorted arrays of hashes, each pair once. Where many
+   pairs pass in a tile, the most promising of each component go first; such tiles are compared again
+   once the links found have joined components, the last time whole.
 
 The result is that of comparing all pairs, up to 64-bit hash collisions of shingles.
 
@@ -40,7 +40,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +56,12 @@ class Settings:
     words: int = 5
     percent: int = 75
     minima: int = 4
-    bits_per_shingle: int = 2
+    bits_per_shingle: int = 1
     least_bits: int = 128
     block_rows: int = 2048
     first_pairs: int = 2
-    star_rounds: int = 3
+    star_rounds: int = 2
+    tile_rounds: int = 2
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -104,6 +104,10 @@ def _squeezed(bits: np.ndarray) -> np.ndarray:
     return x[..., 0::2] | (x[..., 1::2] << np.uint64(32))
 
 
+#: Low bits of a hash that prefixes leave out: equal shingles stay equal, and every pair is verified by whole hashes.
+_DROPPED = np.uint64(16)
+
+
 def _sure(n: int) -> int:
     """How many shared prefix shingles are asked of a link whose smaller set has n."""
     return max(1, n // SURE)
@@ -125,7 +129,7 @@ def _sketch(docs: DataFrame, s: Settings) -> DataFrame:
                         least = [int((own * m).min().view(np.int64)) for m in odd]
                         sums = int(own.sum().view(np.int64)), int(common.mixed(own).sum().view(np.int64))
                         take = min(n, n + _needed_share(n, s) + _sure(n))
-                        rows.append((n, *sums, *least, bitmap(own, width(n, s)).tobytes(), own[:take].view(np.int64)))
+                        rows.append((n, *sums, *least, bitmap(own, width(n, s)).tobytes(), (own[:take] >> _DROPPED).view(np.int64)))
                     else:
                         rows.append((0, 0, 0, *[0] * s.minima, None, None))
                 named = dict(zip(["n", "f1", "f2", *minima, "bits", "prefix"], zip(*rows)))
@@ -152,9 +156,27 @@ def _arrays(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, hashes binary")
 
 
+def _likely(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+    sized = reps.select("doc_id", "n", "bits")
+    for side in ("a", "b"):
+        pairs = pairs.join(sized.withColumnsRenamed({"doc_id": side, "n": f"_n{side}", "bits": f"_bits{side}"}), side)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64))
+                good.append((n + m - differ) // 2 >= _needed_overlap(n, m, s))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "_na", "_nb", "_bitsa", "_bitsb").mapInArrow(check, "a long, b long").distinct()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection."""
-    pairs = common.stage(pairs, "pairs")
+    """The staged pairs (a, b) that link, by exact intersection."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     arrays = common.stage(_arrays(docs, ids, s), "hash-arrays")
     both = pairs.join(arrays.withColumnsRenamed({"doc_id": "a", "hashes": "_a"}), "a").join(arrays.withColumnsRenamed({"doc_id": "b", "hashes": "_b"}), "b")
@@ -201,12 +223,24 @@ def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarra
     return tuple(map(np.concatenate, found))
 
 
+def _promising(x: np.ndarray, y: np.ndarray, share: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` with the largest share of one of their two components: as
+    many as there are components, times ``most``, however many pairs there are."""
+    comp, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+    order = np.lexsort((pair, -share[pair], comp))
+    comp = comp[order]
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = comp[1:] != comp[:-1]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    return np.unique(pair[order[rank < most]])
+
+
 _KEY = ["key", "band", "low", "high"]
 
 
 def _compared(rows: DataFrame, s: Settings, whole: bool) -> DataFrame:
-    """Pairs (a, b) that pass in a tile, and, with null a, the tiles of which not all are returned: at
-    most ``first_pairs`` of each two components unless ``whole``.
+    """Pairs (a, b) that pass in a tile, and, with null a, the tiles of which not all are returned:
+    unless ``whole``, only the ``first_pairs`` most promising of each component.
 
     ``rows``: the tile's key, doc_id, n, comp, bits, side (pairs of two rows of side 1 belong to the
     band below).
@@ -226,14 +260,8 @@ def _compared(rows: DataFrame, s: Settings, whole: bool) -> DataFrame:
                 continue
             p, q, share = _passing(n[own], comp[own], bits[own], side[own], s)
             if not whole and len(p) > s.first_pairs:
-                x, y = comp[own][p], comp[own][q]
-                order = np.lexsort((-share, np.maximum(x, y), np.minimum(x, y)))
-                x, y = np.minimum(x, y)[order], np.maximum(x, y)[order]
-                head = np.ones(len(order), dtype=bool)
-                head[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-                kept = order[rank < s.first_pairs]
-                if len(kept) < len(order):
+                kept = _promising(comp[own][p], comp[own][q], share, s.first_pairs)
+                if len(kept) < len(p):
                     unfinished.append(first)
                 p, q = p[kept], q[kept]
             x, y = doc[own][p], doc[own][q]
@@ -261,7 +289,10 @@ def _compared(rows: DataFrame, s: Settings, whole: bool) -> DataFrame:
 
 
 def _tile_rows(tiles: DataFrame, reps: DataFrame, comps: DataFrame, s: Settings, only: DataFrame | None = None) -> DataFrame:
-    """Rows of the tiles that hold more than one component, large tiles cut into pairs of blocks."""
+    """Rows of the tiles, or of ``only`` some, that hold more than one component, large tiles cut into
+    pairs of blocks."""
+    if only is not None:
+        tiles = tiles.join(only.select("key", "band").distinct(), ["key", "band"], "left_semi")
     comp = F.coalesce("component", F.col("doc_id")).alias("comp")
     rows = tiles.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "side", comp)
     rows = common.stage(rows, "tile-rows")
@@ -307,35 +338,62 @@ def links(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
     reps = rows.drop("prefix").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"])
     reps = common.stage(reps, "distinct-sets")
 
-    found = comps = None
+    tried = common.stage(reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), "tried")
+    comps = None
     for turn in range(s.star_rounds):
-        new = _verified(docs, _stars(reps, comps, turn, s), s)
-        found = new if found is None else found.unionByName(new)
-        comps = common.stage(components(found), "components")
+        pairs = _stars(reps, comps, turn, s).join(tried, ["a", "b"], "left_anti")
+        tried, comps = _joined(docs, _likely(pairs, reps, s), tried, comps, s)
 
-    tiles = _tiles(rows.select("doc_id", "n", "prefix").join(chosen, "doc_id", "left_semi"), s)
+    tiles = common.stage(_tiles(rows.select("doc_id", "n", "prefix").join(chosen, "doc_id", "left_semi"), s), "tiles")
     only = None
-    for whole in (False, True):
-        candidates = _compared(_tile_rows(tiles, reps, comps, s, only), s, whole)
-        found = found.unionByName(_verified(docs, candidates.where("a is not null").select("a", "b").distinct(), s))
-        comps = common.stage(components(found), "components")
+    for turn in range(s.tile_rounds + 1):
+        candidates = _compared(_tile_rows(tiles, reps, comps, s, only), s, turn == s.tile_rounds)
+        pairs = candidates.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        tried, comps = _joined(docs, pairs, tried, comps, s)
         only = candidates.where("a is null").select(*_KEY)
         if only.isEmpty():
             break
     return sketched, mapped, comps
 
 
+def _joined(docs: DataFrame, pairs: DataFrame, tried: DataFrame, comps: DataFrame | None, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """All pairs verified so far, and the components with the links among ``pairs``."""
+    pairs = common.stage(pairs, "pairs")
+    new = _verified(docs, pairs, s)
+    if comps is not None:
+        new = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
+    return tried.unionByName(pairs), common.stage(components(new), "components")
+
+
 _KNOWN, _ASKED, _TOLD = 1, 2, 3
-_PREFIX = pa.schema([("kind", pa.int8()), ("spread", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
-_PREFIX_SQL = "kind byte, spread long, key long, doc_id long, n long"
+_BLOCK = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
+_SHARED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+
+
+def _packed(kind: np.ndarray, key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> bytes:
+    """The columns as bytes, those of one weight together and ids as steps from the one before, so that
+    shuffle compression finds the zeros."""
+    step = np.diff(doc, prepend=0)
+    flat = np.stack([kind, key, (step << 1) ^ (step >> 63), n])
+    return flat.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def _unpacked(block: bytes) -> np.ndarray:
+    """kind, key, doc_id and n, one row each."""
+    flat = np.frombuffer(block, np.uint8).reshape(4, 8, -1).transpose(0, 2, 1)
+    out = flat.copy(order="C").view(np.int64)[..., 0]
+    out[2] = np.cumsum((out[2].view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(out[2] & 1))
+    return out
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
     """key, doc_id, n of the prefix shingles that more than one document has in its prefix.
 
     A shingle that a batch has more than once is known to be shared there; one row tells the other
-    batches, so a shingle of very many documents is gathered once per batch.
+    batches, so a shingle of very many documents is gathered once per batch. Rows travel in blocks, one
+    per batch and part of the keys, and a task settles one part after the other.
     """
+    parts = 4 * int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,25 +406,37 @@ def _shared(prefixes: DataFrame) -> DataFrame:
             value, back, count = np.unique(keys, return_inverse=True, return_counts=True)
             many, told = count[back] > 1, value[count > 1]
             none = np.zeros(len(told), np.int64)
-            spread = np.where(many, common.as_long(common.mixed(keys.view(np.uint64) ^ doc.view(np.uint64))), keys)
-            yield common.records(
-                _PREFIX, kind=np.concatenate([np.where(many, _KNOWN, _ASKED), none + _TOLD]), spread=np.concatenate([spread, told]),
-                key=np.concatenate([keys, told]), doc_id=np.concatenate([doc, none]), n=np.concatenate([n, none]),
-            )
+            spread = np.where(many, common.mixed(keys.view(np.uint64) ^ doc.view(np.uint64)), keys.view(np.uint64))
+            part = (np.concatenate([spread, told.view(np.uint64)]) % np.uint64(parts)).astype(np.int32)
+            kind = np.concatenate([np.where(many, _KNOWN, _ASKED), none + _TOLD])
+            columns = [kind, np.concatenate([keys, told]), np.concatenate([doc, none]), np.concatenate([n, none])]
+            order = np.lexsort((kind, part))
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            blocks = [(int(part[own[0]]), _packed(*(c[own] for c in columns))) for own in np.split(order, cuts) if len(own)]
+            yield common.records(_BLOCK, part=[k for k, _ in blocks], rows=[b for _, b in blocks])
+
+    def settled(blocks: list[bytes]) -> pa.RecordBatch:
+        kind, key, doc, n = np.concatenate([_unpacked(b) for b in blocks], axis=1)
+        open_ = np.flatnonzero(kind != _KNOWN)
+        _, back, count = np.unique(key[open_], return_inverse=True, return_counts=True)
+        kept = (kind == _KNOWN) | (kind == _ASKED)
+        kept[open_] &= count[back] > 1
+        return common.records(_SHARED, key=key[kept], doc_id=doc[kept], n=n[kept])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        last, held = None, []
         for batch in batches:
-            known = pa.array(batch.column(0).to_numpy() == _KNOWN)
-            yield batch.filter(known).select(["key", "doc_id", "n"])
-            held.append(batch.filter(pc.invert(known)))
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != last and held:
+                    yield settled(held)
+                    held = []
+                last = part
+                held.append(block)
         if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            _, back, count = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
-            kept = table.filter(pa.array((count[back] > 1) & (table.column("kind").to_numpy() == _ASKED)))
-            yield from kept.select(["key", "doc_id", "n"]).to_batches()
+            yield settled(held)
 
-    return prefixes.mapInArrow(emit, _PREFIX_SQL).repartition("spread").mapInArrow(settle, "key long, doc_id long, n long")
+    dealt = prefixes.mapInArrow(emit, "part int, rows binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(settle, "key long, doc_id long, n long")
 
 
 def _tiles(prefixes: DataFrame, s: Settings) -> DataFrame:

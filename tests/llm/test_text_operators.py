@@ -312,6 +312,22 @@ def test_bitmaps_fold():
     assert (jaccard.folded(jaccard.bitmap(own, 4096), 4) == jaccard.bitmap(own, 256)).all()
 
 
+def test_prefix_blocks_come_back():
+    edge = np.iinfo(np.int64)
+    doc = np.array([5, 5, -7, edge.max, edge.min, 0, edge.min])
+    columns = [np.arange(7) % 3 + 1, np.arange(7) << 44, doc, np.array([1, 2, 70_000, 300, 0, 1 << 40, 5])]
+    assert (jaccard._unpacked(jaccard._packed(*columns)) == np.stack(columns)).all()
+    assert jaccard._unpacked(jaccard._packed(*(c[:0] for c in columns))).shape == (4, 0)
+
+
+def test_first_candidates_grow_with_the_components():
+    for size in (10, 100, 400):
+        x, y = np.triu_indices(size, 1)
+        kept = jaccard._promising(x, y, np.random.default_rng(size).random(len(x)), 2)
+        assert len(kept) <= 2 * size
+        assert set(x[kept]) | set(y[kept]) == set(range(size))
+
+
 # --- substring de-duplication
 
 
