@@ -2,7 +2,7 @@
 
 Every round joins each node's larger neighbours to its smallest neighbour, then all its smaller
 neighbours and itself to the smallest of them (the published large-star and small-star steps),
-until nothing changes. Minima are combined before the shuffle, so a node with very many links is
+until only stars are left. Minima are combined before the shuffle, so a node with very many links is
 no bottleneck; every round is stored, so the plan stays short and a lost executor costs one round.
 """
 
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from paneleffect.llm.common import stage
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every u has one edge, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")).distinct())
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.max("up").alias("up")).where("k > 1 and up = 1").isEmpty()
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -33,12 +35,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links from a node to itself and repeated links change nothing."""
     high, low = F.greatest(a, b).cast("long"), F.least(a, b).cast("long")
     edges = stage(links.select(high.alias("u"), low.alias("v")).where("u > v").distinct(), "links")
-    before = _signature(edges)
-    while before[0]:
+    while not _settled(edges):
         edges = stage(_round(edges), "stars")
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -20,7 +20,9 @@ The work:
    first one that two documents share is among the rest of both. Documents with a shingle in common and of the same or the next
    size band form a tile. Only pairs not yet in one component are compared: the number of bits in
    which two bitmaps differ bounds the overlap from above. Tiles with many rows are cut into
-   blocks, each pair of blocks a task's work.
+   blocks, each pair of blocks a task's work. Two documents that share many shingles meet in many tiles:
+   every row names a few earlier shingles of its document, its witnesses, and two rows with a witness in
+   common are left to that earlier tile. A tile whose rows all have one in common is dropped.
 4. Pairs that pass are verified by intersecting the two sorted arrays of hashes, each pair once. Where many
    pairs pass in a tile, the most promising of each component go first; such tiles are compared again
    once the links found have joined components, the last time whole.
@@ -61,7 +63,7 @@ class Settings:
     block_rows: int = 2048
     first_pairs: int = 2
     star_rounds: int = 2
-    tile_rounds: int = 2
+    tile_rounds: int = 1
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -198,8 +200,9 @@ def _needed_overlap(x, y, s: Settings):
     return -(-s.percent * (x + y) // (100 + s.percent))
 
 
-def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows whose components differ and whose bitmaps allow a link, with the bound's share."""
+def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray, seen: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows whose components differ, that have no witness in common and whose bitmaps allow a
+    link, with the bound's share."""
     words = min(map(len, bits)) // 8
     flat = np.stack([folded(np.frombuffer(b, np.uint64), words) for b in bits])
     found = ([], [], [])
@@ -209,6 +212,8 @@ def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarra
         i = rows[first : first + step, None]
         ok = (comp[i] != comp) & (i < rows) & ((side[i] == 0) | (side == 0))
         ok &= 100 * np.minimum(n[i], n) >= s.percent * np.maximum(n[i], n)
+        for w in seen:
+            ok &= (w[i] != w) | (w < 0)
         x, y = np.nonzero(ok)
         x = x + first
         for k in range(0, len(x), max(1, (1 << 20) // words)):
@@ -236,21 +241,23 @@ def _promising(x: np.ndarray, y: np.ndarray, share: np.ndarray, most: int) -> np
 
 
 _KEY = ["key", "band", "low", "high"]
+_WITNESSES = ["w0", "w1", "w2"]
 
 
 def _compared(rows: DataFrame, s: Settings, whole: bool) -> DataFrame:
     """Pairs (a, b) that pass in a tile, and, with null a, the tiles of which not all are returned:
     unless ``whole``, only the ``first_pairs`` most promising of each component.
 
-    ``rows``: the tile's key, doc_id, n, comp, bits, side (pairs of two rows of side 1 belong to the
-    band below).
+    ``rows``: the tile's key, doc_id, n, comp, bits, witnesses, side (pairs of two rows of side 1 belong
+    to the band below).
     """
-    dealt = rows.select(*_KEY, "doc_id", "n", "comp", "side", "bits").repartition(*_KEY).sortWithinPartitions(*_KEY)
+    dealt = rows.select(*_KEY, "doc_id", "n", "comp", "side", *_WITNESSES, "bits").repartition(*_KEY).sortWithinPartitions(*_KEY)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("band", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
     def judge(table: pa.Table) -> pa.RecordBatch:
         key, band, low, high, doc, n, comp, side = (table.column(k).combine_chunks().to_numpy() for k in range(8))
-        bits = table.column(8).to_pylist()
+        seen = np.stack([table.column(w).combine_chunks().to_numpy() for w in _WITNESSES])
+        bits = table.column("bits").to_pylist()
         tile = np.stack([key, band, low, high])
         cuts = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1
         pairs, unfinished = set(), []
@@ -258,7 +265,7 @@ def _compared(rows: DataFrame, s: Settings, whole: bool) -> DataFrame:
             own = slice(first, last)
             if last - first < 2 or (comp[own] == comp[first]).all():
                 continue
-            p, q, share = _passing(n[own], comp[own], bits[own], side[own], s)
+            p, q, share = _passing(n[own], comp[own], bits[own], side[own], seen[:, own], s)
             if not whole and len(p) > s.first_pairs:
                 kept = _promising(comp[own][p], comp[own][q], share, s.first_pairs)
                 if len(kept) < len(p):
@@ -294,7 +301,7 @@ def _tile_rows(tiles: DataFrame, reps: DataFrame, comps: DataFrame, s: Settings,
     if only is not None:
         tiles = tiles.join(only.select("key", "band").distinct(), ["key", "band"], "left_semi")
     comp = F.coalesce("component", F.col("doc_id")).alias("comp")
-    rows = tiles.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "side", comp)
+    rows = tiles.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "side", *_WITNESSES, comp)
     rows = common.stage(rows, "tile-rows")
     sizes = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("side").alias("own"))
     live = sizes.where("x <> y and own = 0").select("key", "band", F.ceil(F.col("rows") / s.block_rows).cast("int").alias("blocks"))
@@ -302,7 +309,7 @@ def _tile_rows(tiles: DataFrame, reps: DataFrame, comps: DataFrame, s: Settings,
     # A row of block k is needed in the pairs (0, k) ... (k, k), (k, k + 1) ... (k, blocks - 1).
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cut = rows.select("key", "band", "doc_id", "side", "comp", block.alias("block"), other)
+    cut = rows.select("key", "band", "doc_id", "side", *_WITNESSES, "comp", block.alias("block"), other)
     cut = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     cut = cut if only is None else cut.join(only, _KEY, "left_semi")
     return cut.join(reps.select("doc_id", "n", "bits"), "doc_id").drop("block", "other")
@@ -440,16 +447,27 @@ def _shared(prefixes: DataFrame) -> DataFrame:
 
 
 def _tiles(prefixes: DataFrame, s: Settings) -> DataFrame:
-    """key, band, doc_id, side of the documents that may have links; side 1 are the rows of the band below."""
+    """key, band, doc_id, side and witnesses of the documents that may have links; side 1 are the rows of
+    the band below.
+
+    Witnesses are shingles that the document has in earlier tiles (-1: none): the one before, and those
+    least by two hashes. Where all documents of a tile have one in common, they all meet in that
+    earlier tile, in the same bands, and this one is dropped; so are tiles of one document.
+    """
     shared = common.stage(_shared(prefixes), "shared-prefixes")
     smallest = F.floor((F.col("n") * s.percent) / 100)  # the smallest set that n can link with
     sure = F.greatest(F.lit(1), F.floor(smallest / SURE))
     own = Window.partitionBy("doc_id", "n")
-    counted = shared.withColumns({"c": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy("key"))})
-    kept = counted.where(F.col("at") <= F.col("c") - sure + 1)
+    row, earlier = own.orderBy("key"), own.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    found = [F.lag("key").over(row), *[F.min_by("key", F.xxhash64("key", F.lit(k))).over(earlier) for k in (1, 2)]]
+    counted = shared.withColumns({"c": F.count(F.lit(1)).over(own), "at": F.row_number().over(row), **{w: F.coalesce(f, F.lit(-1)) for w, f in zip(_WITNESSES, found)}})
+    kept = common.stage(counted.where(F.col("at") <= F.col("c") - sure + 1).select("key", "doc_id", "n", *_WITNESSES), "prefix-rows")
+    spans = [(F.min(w).alias(f"{w}_least"), F.max(w).alias(f"{w}_most")) for w in _WITNESSES]
+    sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *[e for span in spans for e in span])
+    first = sizes.where(" and ".join(["rows > 1", *[f"({w}_least < 0 or {w}_least < {w}_most)" for w in _WITNESSES]]))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / s.percent)) + 1e-9).cast("int")
     sides = F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("side")), F.struct((band + 1).alias("band"), F.lit(1).alias("side"))))
-    return kept.select("key", "doc_id", sides.alias("t")).select("key", "t.band", "doc_id", "t.side")
+    return kept.join(first.select("key"), "key", "left_semi").select("key", "doc_id", *_WITNESSES, sides.alias("t")).select("key", "t.band", "doc_id", "t.side", *_WITNESSES)
 
 
 def _usable(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paneleffect.llm import common, decontam, jaccard, langid, licences, linededup, packing, queries, repeats, sharding, toxicity
 
@@ -299,6 +300,25 @@ def test_jaccard_matches_brute_force(frame, prose, settings):
     assert len(set(want.values())) < len(want)
 
 
+def test_jaccard_tiles_alone_find_all_links_and_name_a_pair_in_few_tiles(frame, prose, monkeypatch):
+    shared = [f"p{k}" for k in range(200)]  # a passage in texts that nearly link, in texts that do, and in long ones
+    rows = [(k, " ".join([f"a{k}x{j}" for j in range(28 + k % 9)] + shared + [f"b{k}x{j}" for j in range(2 * (k % 3))])) for k in range(60)]
+    rows += [(100 + k, " ".join(shared[: 20 + 9 * k])) for k in range(20)] + [(200 + k, t) for k, t in enumerate(prose(5, 60, 50, 1, 90))]
+    monkeypatch.setattr(jaccard, "_stars", lambda reps, *_: reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
+    compared, passed = jaccard._compared, []
+
+    def counted(*args):
+        out = compared(*args)
+        passed.append(out.where("a is not null"))
+        return out
+
+    monkeypatch.setattr(jaccard, "_compared", counted)
+    out = jaccard.classes(frame(rows), jaccard.Settings(block_rows=32, tile_rounds=1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute_jaccard(rows)[1]
+    for pairs in passed:
+        assert pairs.count() <= 4 * pairs.select("a", "b").distinct().count()
+
+
 def test_jaccard_keeps_one_of_each(frame):
     text = "a b c d e f g h i j"
     rows = [(3, text), (1, text.upper()), (2, None), (4, ""), (5, "a"), (6, "a"), (6, "a"), (None, text)]
