@@ -47,12 +47,22 @@ SENTENCES: list[tuple[str, str]] = [
     ("gplHope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
     ("gplImplied", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("gplSee", "See the GNU General Public License for more details."),
+    ("lgpl21Later", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("agplLater", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgplSee", "See the GNU Lesser General Public License for more details."),
+    ("agplSee", "See the GNU Affero General Public License for more details."),
     ("bsdGrant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsdSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsdBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsdEndorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("mplHead", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("iscGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("iscGrantAnd", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zeroBsdGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("zlibGrant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boostShort", "Distributed under the Boost Software License, Version 1.0."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicenseUse", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("unlicenseHead", "This is free and unencumbered software released into the public domain under no license."),
     ("ccByShort", "Licensed under CC BY 4.0."),
     ("ccBySaShort", "Licensed under CC BY-SA 4.0."),
@@ -62,6 +72,22 @@ SENTENCES: list[tuple[str, str]] = [
     ("ccByNcWork", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("spdxMit", "SPDX-License-Identifier: MIT"),
     ("spdxApache", "SPDX-License-Identifier: Apache-2.0"),
+    ("spdxBsd2", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("spdxBsd3", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("spdxIsc", "SPDX-License-Identifier: ISC"),
+    ("spdxMpl", "SPDX-License-Identifier: MPL-2.0"),
+    ("spdxGpl2", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("spdxGpl2Later", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("spdxGpl3", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("spdxGpl3Later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("spdxLgpl21Later", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("spdxLgpl3Later", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("spdxAgpl3", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("spdxAgpl3Later", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("spdxCc0", "SPDX-License-Identifier: CC0-1.0"),
+    ("spdxUnlicense", "SPDX-License-Identifier: Unlicense"),
+    ("spdxZlib", "SPDX-License-Identifier: Zlib"),
+    ("spdxBoost", "SPDX-License-Identifier: BSL-1.0"),
 ]
 
 #: Tried in this order: longer runs of a licence before shorter ones.
@@ -73,13 +99,23 @@ RULES: list[tuple[str, str]] = [
     ("Apache-2.0", "apacheHead apacheComply"),
     ("GPL-3.0-or-later", "gplFree gpl3Later gplHope gplImplied gplSee"),
     ("GPL-2.0-or-later", "gplFree gpl2Later gplHope gplImplied gplSee"),
+    ("LGPL-3.0-or-later", "gplFree lgplLater gplHope gplImplied lgplSee"),
+    ("LGPL-2.1-or-later", "gplFree lgpl21Later gplHope gplImplied lgplSee"),
+    ("AGPL-3.0-or-later", "gplFree agplLater gplHope gplImplied agplSee"),
     ("LGPL-3.0-or-later", "gplFree lgplLater"),
+    ("LGPL-2.1-or-later", "gplFree lgpl21Later"),
+    ("AGPL-3.0-or-later", "gplFree agplLater"),
     ("GPL-3.0-or-later", "gplFree gpl3Later"),
     ("GPL-2.0-or-later", "gplFree gpl2Later"),
     ("BSD-3-Clause", "bsdGrant bsdSource bsdBinary bsdEndorse"),
     ("BSD-2-Clause", "bsdGrant bsdSource bsdBinary"),
     ("ISC", "iscGrant"),
+    ("ISC", "iscGrantAnd"),
+    ("0BSD", "zeroBsdGrant"),
+    ("Zlib", "zlibGrant"),
     ("MPL-2.0", "mplHead"),
+    ("Unlicense", "unlicense unlicenseUse"),
+    ("Unlicense", "unlicense"),
     ("Unlicense", "unlicenseHead"),
     ("MIT", "mitShort"),
     ("MIT", "mitLicensed"),
@@ -87,6 +123,23 @@ RULES: list[tuple[str, str]] = [
     ("Apache-2.0", "apacheShort"),
     ("Apache-2.0", "apacheHead"),
     ("Apache-2.0", "spdxApache"),
+    ("BSL-1.0", "boostShort"),
+    ("BSD-2-Clause", "spdxBsd2"),
+    ("BSD-3-Clause", "spdxBsd3"),
+    ("ISC", "spdxIsc"),
+    ("MPL-2.0", "spdxMpl"),
+    ("GPL-2.0-only", "spdxGpl2"),
+    ("GPL-2.0-or-later", "spdxGpl2Later"),
+    ("GPL-3.0-only", "spdxGpl3"),
+    ("GPL-3.0-or-later", "spdxGpl3Later"),
+    ("LGPL-2.1-or-later", "spdxLgpl21Later"),
+    ("LGPL-3.0-or-later", "spdxLgpl3Later"),
+    ("AGPL-3.0-only", "spdxAgpl3"),
+    ("AGPL-3.0-or-later", "spdxAgpl3Later"),
+    ("CC0-1.0", "spdxCc0"),
+    ("Unlicense", "spdxUnlicense"),
+    ("Zlib", "spdxZlib"),
+    ("BSL-1.0", "spdxBoost"),
     ("GPL-3.0-only", "gpl3Short"),
     ("GPL-2.0-only", "gpl2Short"),
     ("CC-BY-4.0", "ccByShort"),

@@ -76,9 +76,13 @@ def published():
     third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    unlicense = ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."]
+    zlib_ = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
     return [
         ("MIT", mit), ("Apache-2.0", apache), ("GPL-3.0-or-later", [free.format(":", "", ",", 3), hope]), ("GPL-2.0-or-later", [free.format(";", "", ";", 2), hope]),
         ("LGPL-3.0-or-later", [free.format(":", "Lesser ", ",", 3)]), ("BSD-2-Clause", bsd), ("BSD-3-Clause", [*bsd, third]), ("MPL-2.0", [mpl]), ("ISC", [isc]),
+        ("ISC", [isc.replace("and/or", "and")]), ("0BSD", [isc.split(", provided")[0] + "."]), ("Unlicense", unlicense), ("Zlib", [zlib_]),
+        ("LGPL-2.1-or-later", [free.format(";", "Lesser ", ";", 2.1), hope.replace("GNU", "GNU Lesser")]), ("AGPL-3.0-or-later", [free.format(":", "Affero ", ",", 3), hope.replace("GNU", "GNU Affero")]),
     ]
 
 
@@ -98,6 +102,11 @@ def test_published_notices_are_found_wrapped_and_commented(frame, sign, width):
     assert {k: r["licences"] for k, r in out.items()} == want
 
 
+def test_licence_scan_of_an_empty_table(frame):
+    out = licences.scan(frame([]))
+    assert out.count() == 0 and out.columns == ["doc_id", "sentence_ids", "licences", "n_sentences", "left_over"]
+
+
 # --- line de-duplication
 
 
