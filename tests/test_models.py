@@ -73,6 +73,15 @@ def test_logistic_propensity(spark):
     assert single.auc == 0.5 and single.model is None
 
 
+@pytest.mark.parametrize(("label", "intercept"), [(1, float("inf")), (0, float("-inf"))])
+def test_score_equations_hold_with_a_single_class(spark, label, intercept):
+    df = _vector(spark.createDataFrame([(label, 2.0, 0.0), (label, 4.0, 1.0), (label, 5.0, 3.0)], "treated_action int, x double, z double"), ["x", "z"])
+    fit = models.fit_logistic_propensity(df, out="propensity")
+    assert fit.model is None and fit.auc == 0.5
+    left = {r["feature"]: (r["coefficient"], r["remainder"]) for r in models.score_equations(fit.data, fit.model, "treated_action", ["x", "z"], probability="propensity").collect()}
+    assert left == {"(intercept)": (intercept, 0.0), "x": (0.0, 0.0), "z": (0.0, 0.0)}
+
+
 def test_seed_only_where_taken(spark):
     df = _vector(planted(spark, 1.0, 500), ["x"])
     for kind, label in (("LinearRegression", "action"), ("LogisticRegression", "treated")):
