@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paneleffect.config import AdstockSpec, Roles
+from paneleffect.functions import scalars as S
 from paneleffect.functions import skew
 from paneleffect.operators import adstock, features, grain, scenario, spillover
 
@@ -150,3 +151,24 @@ def test_study_period_is_half_open(spark):
     df = spark.createDataFrame([(week(i),) for i in range(5)], "week_end_date date")
     out = filter_period(df, "week_end_date", "2024-01-14", "2024-01-28")
     assert [r[0] for r in out.orderBy("week_end_date").collect()] == [week(1), week(2)]
+
+
+@pytest.mark.parametrize("unit", [1.0, 60.0, 1e6, 1e-9])
+def test_equal_sums_of_different_histories_carry_one_value(spark, unit):
+    """3 + 0.3 * 2 is 0.3 * 12, 6 + 0.3 * 18 is 3 + 0.3 * 28: a tree must find nothing to cut between them."""
+    histories = [("R1", 2.0, 3.0), ("R2", 12.0, 0.0), ("R3", 18.0, 6.0), ("R4", 38.0, 0.0), ("R5", 28.0, 3.0)]
+    rows = [(rep, "H", week(i), unit * v) for rep, *values in histories for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "rep_id string, customer_id string, week_end_date date, suggestion_count double")
+    out = adstock.add_adstock(df, ["rep_id", "customer_id"], {"suggestion_count": AdstockSpec(0.3, 4)}, unique_grain=True)
+    last = {r["rep_id"]: r["suggestion_count_adstock"] for r in out.where(F.col("week_end_date") == week(1)).collect()}
+    assert len({last["R1"], last["R2"]}) == 1 and len({last[r] for r in ("R3", "R4", "R5")}) == 1
+    assert last["R1"] == pytest.approx(3.6 * unit, rel=1e-13) and last["R3"] == pytest.approx(11.4 * unit, rel=1e-13)
+
+
+def test_significant_digits_at_any_magnitude(spark):
+    inf = float("inf")
+    given = [999.9999999999999, 1000.0, -3.5999999999999996, 123456.78912345, 2.0**60, 5e-324, 1.7e308, 0.0, inf, -inf, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v double")
+    out = [r["v"] for r in df.select("i", S.significant(F.col("v")).alias("v")).orderBy("i").collect()]
+    assert out == [1000.0, 1000.0, -3.6, 123456.78912345, pytest.approx(2.0**60, rel=1e-13), 5e-324, 1.7e308, 0.0, inf, -inf, None]
+    assert spark.range(1).select(F.isnan(S.significant(F.lit(float("nan"))))).first()[0]
