@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from paneleffect.operators import encode, features, models, report
+from paneleffect.operators import encode, ensembles, features, models, report
 from paneleffect.operators.roles import detect_roles
 
 FAST = {"maxIter": 15}
@@ -48,6 +48,16 @@ def test_empty_arm_falls_back_to_arm_means(spark, kept, want):
     assert {r["lift"] for r in fit.data.collect()} == {want}
 
 
+def test_arm_of_one_row_with_categories_is_one_leaf(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0), (1, "c", 5.0), (1, "a", 3.0), (0, "b", 1.0)], "treated int, word string, y double")
+    encoder = encode.fit_wide_encoder(df, (), ("word",))
+    fit = models.fit_effects(encode.encode_wide(df, encoder), {"y": "lift"}, "treated", params={"maxIter": 2, "maxDepth": 2})
+    leaf = ensembles.nodes(fit.models["y_control"], encoder.labels()).where("tree = 0").collect()
+    assert [(r["feature"], r["rows"], r["value"]) for r in leaf] == [(None, 1, 1.0)]
+    lifts = {r["word"]: r["lift"] for r in fit.data.where("treated = 1").collect()}
+    assert lifts == {"a": 1.5, "b": 3.0, "c": 4.0}
+
+
 def test_sample_falls_back_to_its_arm_mean(spark):
     df = wide_sample(spark)
     roles = detect_roles(df.columns)
