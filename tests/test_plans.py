@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneleffect.operators import adstock, clean, features, profile, quantiles, scenario
-from paneleffect.registry import BOOK
+from paneleffect.plans import lift
+from paneleffect.registry import BOOK, learning
 from paneleffect.registry import panels as P
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,24 @@ def test_channel_rollup_aggregates_before_it_unpivots(stored):
 def test_no_python_in_the_plan(spark, name):
     text = plan(BOOK.queries[name](spark, SF))
     assert not re.search(r"PythonUDF|BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas|CartesianProduct", text)
+
+
+def test_the_long_panel_reads_its_lines_once(spark):
+    text = plan(P.build_long(spark, SF), "formatted")
+    assert len(re.findall(r"Location: [^\n]*lineitem", text)) == 1
+
+
+def test_queries_compute_no_step_they_do_not_need(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("not needed")
+
+    fresh = f"{SF}/"  # another name of the folder, so that nothing is there yet
+    monkeypatch.setattr(learning, "_path_b", refused)
+    monkeypatch.setattr(learning, "_path_a", refused)
+    monkeypatch.setattr(lift, "run_path_a", refused)
+    assert learning.x5_flat_stages(spark, fresh).count() == 3
+    monkeypatch.setattr(lift, "fit_path_a", refused)
+    assert learning.m4_ensemble_nodes(spark, fresh).count() == 21
+    monkeypatch.undo()
+    monkeypatch.setattr(learning, "_path_b", refused)
+    assert learning.c7_store_and_reload(spark, fresh).count() == 3
