@@ -9,13 +9,14 @@ The work:
 1. *Sketches.* One pass over the texts gives each document its set size, a 128-bit sum of the set
    (equal sets become one representative), a few minima of its hashes, a hashed bitmap (bit h is the
    parity of the shingles that hash to it; its width grows with the size, so it is never saturated,
-   and a wide one folds to a narrow one), and its smallest hashes, the prefix.
+   and a wide one folds to a narrow one).
 2. *Stars.* Representatives with an equal minimum are compared with one of them only, another one in each
    round, as long as they are not in one component. The links found so, verified, join large groups
    of near copies without pairing their members.
 3. *Tiles.* In the order of the hashes, two linked sets have their first ``l`` common shingles among the
-   first ``n - ceil(0.75 n) + l`` of each; ``l`` is a twelfth of the size. Shingles in one prefix only
-   are dropped, then documents with fewer prefix shingles left than any link would leave them, such
+   first ``n - ceil(0.75 n) + l`` of each, the prefix; ``l`` is a twelfth of the size. A second pass over
+   the texts reads the prefixes, so they are not stored, and cuts the hashes to as many bits as tell
+   nearly all shingles of the input apart. Shingles in one prefix only are dropped, then documents with fewer prefix shingles left than any link would leave them, such
    as those that only share a passage. Of the others' shingles the last ``l - 1`` are not needed: the
    first one that two documents share is among the rest of both. Documents with a shingle in common and of the same or the next
    size band form a tile. Only pairs not yet in one component are compared: the number of bits in
@@ -37,7 +38,7 @@ doc_id each have their size; their links are those of the id. Other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,8 +107,9 @@ def _squeezed(bits: np.ndarray) -> np.ndarray:
     return x[..., 0::2] | (x[..., 1::2] << np.uint64(32))
 
 
-#: Low bits of a hash that prefixes leave out: equal shingles stay equal, and every pair is verified by whole hashes.
-_DROPPED = np.uint64(16)
+#: Prefixes have keys, the top bits of a hash: equal shingles stay equal, and every pair is verified by whole
+#: hashes. So many bits are kept beyond those that number all shingles; few different ones then have one key.
+SPARE_BITS = 5
 
 
 def _sure(n: int) -> int:
@@ -116,9 +118,9 @@ def _sure(n: int) -> int:
 
 
 def _sketch(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n, f1, f2, minima, bitmap and prefix of every document."""
+    """doc_id, n, f1, f2, minima and bitmap of every document."""
     minima = [f"m{k}" for k in range(s.minima)]
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *[(m, pa.int64()) for m in minima], ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *[(m, pa.int64()) for m in minima], ("bits", pa.binary())])
     odd = (np.arange(s.minima, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +131,19 @@ def _sketch(docs: DataFrame, s: Settings) -> DataFrame:
                     n = len(own)
                     if n:
                         least = [int((own * m).min().view(np.int64)) for m in odd]
-                        sums = int(own.sum().view(np.int64)), int(common.mixed(own).sum().view(np.int64))
-                        take = min(n, n + _needed_share(n, s) + _sure(n))
-                        rows.append((n, *sums, *least, bitmap(own, width(n, s)).tobytes(), (own[:take] >> _DROPPED).view(np.int64)))
+                        rows.append((n, *_sums(own), *least, bitmap(own, width(n, s)).tobytes()))
                     else:
-                        rows.append((0, 0, 0, *[0] * s.minima, None, None))
-                named = dict(zip(["n", "f1", "f2", *minima, "bits", "prefix"], zip(*rows)))
+                        rows.append((0, 0, 0, *[0] * s.minima, None))
+                named = dict(zip(["n", "f1", "f2", *minima, "bits"], zip(*rows)))
                 yield common.records(schema, doc_id=part.column(0), **named)
 
     fields = ", ".join(f"{m} long" for m in minima)
-    return docs.mapInArrow(scan, f"doc_id long, n long, f1 long, f2 long, {fields}, bits binary, prefix array<long>")
+    return docs.mapInArrow(scan, f"doc_id long, n long, f1 long, f2 long, {fields}, bits binary")
+
+
+def _sums(own: np.ndarray) -> tuple[int, int]:
+    """The two sums that tell sets apart."""
+    return int(own.sum().view(np.int64)), int(common.mixed(own).sum().view(np.int64))
 
 
 def _needed_share(n: int, s: Settings) -> int:
@@ -146,6 +151,39 @@ def _needed_share(n: int, s: Settings) -> int:
     return -(s.percent * n) // 100
 
 
+_PREFIX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.binary())])
+
+
+def _prefixes(docs: DataFrame, bits: int, s: Settings) -> DataFrame:
+    """doc_id (the smallest), n and prefix of every different set that is not empty. A prefix has keys of so many
+    bits, in their order, as steps from the one before."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in common.slices(batch, "text"):
+                rows = []
+                for doc, own in zip(part.column(0).to_pylist(), sets(data, offsets, s.words)):
+                    n = len(own)
+                    if n and doc is not None:
+                        keys = own[: min(n, n + _needed_share(n, s) + _sure(n))] >> np.uint64(64 - bits)
+                        rows.append((doc, n, *_sums(own), _planes(np.diff(keys, prepend=np.uint64(0)))))
+                if rows:
+                    yield common.records(_PREFIX, **dict(zip(_PREFIX.names, zip(*rows))))
+
+    read = docs.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long, prefix binary")
+    return read.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")).select("doc_id", "n", "prefix")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as bytes, those of one weight together, so that compression finds the zeros."""
+    return x.view(np.uint8).reshape(*x.shape, 8).swapaxes(-1, -2).tobytes()
+
+
+def _numbers(planes: bytes, rows: int = 1) -> np.ndarray:
+    """The 64-bit numbers of ``_planes``, in so many rows."""
+    return np.frombuffer(planes, np.uint8).reshape(rows, 8, -1).swapaxes(-1, -2).copy(order="C").view(np.int64)[..., 0]
+
+
 def _arrays(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     """doc_id and the sorted hashes of the named documents."""
 
@@ -339,19 +377,22 @@ def links(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
     """(sketches, doc_id to representative, components of the representatives)."""
     sketched = common.stage(_sketch(docs, s), "sketches")
     rows = sketched.where("n > 0 and doc_id is not null")
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
     same = rows.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     mapped = common.stage(rows.select("doc_id", "f1", "f2", "n").join(same, ["f1", "f2", "n"]).select("doc_id", "rep"), "representatives")
     chosen = mapped.select(F.col("rep").alias("doc_id")).distinct()
-    reps = rows.drop("prefix").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"])
+    reps = rows.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"])
     reps = common.stage(reps, "distinct-sets")
 
-    tried = common.stage(reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), "tried")
-    comps = None
+    # A repeated id that stands for one set and has a copy of another's is linked with that one.
+    again = mapped.where("doc_id <> rep").join(chosen, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    tried = common.stage(again.distinct(), "tried")
+    comps = None if tried.isEmpty() else common.stage(components(tried), "components")
     for turn in range(s.star_rounds):
         pairs = _stars(reps, comps, turn, s).join(tried, ["a", "b"], "left_anti")
         tried, comps = _joined(docs, _likely(pairs, reps, s), tried, comps, s)
 
-    tiles = common.stage(_tiles(rows.select("doc_id", "n", "prefix").join(chosen, "doc_id", "left_semi"), s), "tiles")
+    tiles = common.stage(_tiles(docs, shingles, s), "tiles")
     only = None
     for turn in range(s.tile_rounds + 1):
         candidates = _compared(_tile_rows(tiles, reps, comps, s, only), s, turn == s.tile_rounds)
@@ -374,94 +415,143 @@ def _joined(docs: DataFrame, pairs: DataFrame, tried: DataFrame, comps: DataFram
 
 _KNOWN, _ASKED, _TOLD = 1, 2, 3
 _BLOCK = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
-_SHARED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+#: Prefix rows that a task packs, or settles, at once, about.
+_PART_ROWS = 1 << 19
 
 
 def _packed(kind: np.ndarray, key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> bytes:
-    """The columns as bytes, those of one weight together and ids as steps from the one before, so that
-    shuffle compression finds the zeros."""
-    step = np.diff(doc, prepend=0)
-    flat = np.stack([kind, key, (step << 1) ^ (step >> 63), n])
-    return flat.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes()
+    """The columns as compressed bytes, after their number; ids and sizes as steps from the one before."""
+    steps = [np.diff(x, prepend=0) for x in (doc, n)]
+    flat = np.stack([kind, key, *[(step << 1) ^ (step >> 63) for step in steps]])
+    return len(key).to_bytes(8, "little") + pa.compress(_planes(flat), codec="zstd", asbytes=True)
 
 
 def _unpacked(block: bytes) -> np.ndarray:
     """kind, key, doc_id and n, one row each."""
-    flat = np.frombuffer(block, np.uint8).reshape(4, 8, -1).transpose(0, 2, 1)
-    out = flat.copy(order="C").view(np.int64)[..., 0]
-    out[2] = np.cumsum((out[2].view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(out[2] & 1))
+    size = 32 * int.from_bytes(block[:8], "little")
+    if not size:
+        return np.zeros((4, 0), np.int64)
+    out = _numbers(pa.decompress(block[8:], decompressed_size=size, codec="zstd", asbytes=True), 4)
+    for k in (2, 3):
+        out[k] = np.cumsum((out[k].view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(out[k] & 1))
     return out
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """key, doc_id, n of the prefix shingles that more than one document has in its prefix.
+def _blocks(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """The rows of each part in one block, by kind and id."""
+    order = np.lexsort((columns[2], columns[0], part))
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    owns = [own for own in np.split(order, cuts) if len(own)]
+    return common.records(_BLOCK, part=[int(part[own[0]]) for own in owns], rows=[_packed(*(c[own] for c in columns)) for own in owns])
 
-    A shingle that a batch has more than once is known to be shared there; one row tells the other
-    batches, so a shingle of very many documents is gathered once per batch. Rows travel in blocks, one
-    per batch and part of the keys, and a task settles one part after the other.
-    """
-    parts = 4 * int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            if not len(lists):
-                continue
-            keys = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-            doc, n = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            value, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-            many, told = count[back] > 1, value[count > 1]
-            none = np.zeros(len(told), np.int64)
-            spread = np.where(many, common.mixed(keys.view(np.uint64) ^ doc.view(np.uint64)), keys.view(np.uint64))
-            part = (np.concatenate([spread, told.view(np.uint64)]) % np.uint64(parts)).astype(np.int32)
-            kind = np.concatenate([np.where(many, _KNOWN, _ASKED), none + _TOLD])
-            columns = [kind, np.concatenate([keys, told]), np.concatenate([doc, none]), np.concatenate([n, none])]
-            order = np.lexsort((kind, part))
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            blocks = [(int(part[own[0]]), _packed(*(c[own] for c in columns))) for own in np.split(order, cuts) if len(own)]
-            yield common.records(_BLOCK, part=[k for k, _ in blocks], rows=[b for _, b in blocks])
-
-    def settled(blocks: list[bytes]) -> pa.RecordBatch:
-        kind, key, doc, n = np.concatenate([_unpacked(b) for b in blocks], axis=1)
-        open_ = np.flatnonzero(kind != _KNOWN)
-        _, back, count = np.unique(key[open_], return_inverse=True, return_counts=True)
-        kept = (kind == _KNOWN) | (kind == _ASKED)
-        kept[open_] &= count[back] > 1
-        return common.records(_SHARED, key=key[kept], doc_id=doc[kept], n=n[kept])
+def _dealt(blocks: DataFrame, work: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on the rows of each part, one part after the other."""
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
         for batch in batches:
             for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if part != last and held:
-                    yield settled(held)
+                    yield work(last, np.concatenate(held, axis=1))
                     held = []
                 last = part
-                held.append(block)
+                held.append(_unpacked(block))
         if held:
-            yield settled(held)
+            yield work(last, np.concatenate(held, axis=1))
+
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
-    dealt = prefixes.mapInArrow(emit, "part int, rows binary").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(settle, "key long, doc_id long, n long")
 
+def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
+    """Blocks, dealt by document, of the prefix keys that more than one document has in its prefix.
 
-def _tiles(prefixes: DataFrame, s: Settings) -> DataFrame:
+    A key that a chunk has more than once is known to be shared there; one row tells the other
+    chunks, so a key of very many documents is gathered once per chunk. Rows travel in blocks, one
+    per chunk and part of the keys; the part of an asked or told key is left out of it.
+    """
+
+    def chunk(doc: np.ndarray, n: np.ndarray, lists: list[np.ndarray]) -> pa.RecordBatch:
+        keys, sizes = np.concatenate(lists), list(map(len, lists))
+        doc, n = np.repeat(doc, sizes), np.repeat(n, sizes)
+        value, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+        many, told = (count > 1)[back], value[count > 1]
+        del value, back, count
+        none = np.zeros(len(told), np.int64)
+        spread = (common.mixed(keys.view(np.uint64) ^ doc.view(np.uint64)) % np.uint64(parts)).view(np.int64)
+        part = np.concatenate([np.where(many, spread, keys % parts), told % parts])
+        kind = np.concatenate([np.where(many, _KNOWN, _ASKED), none + _TOLD])
+        return _blocks(part, kind, np.concatenate([np.where(many, keys, keys // parts), told // parts]), np.concatenate([doc, none]), np.concatenate([n, none]))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, n, prefix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            ends = np.cumsum([len(x) // 8 for x in prefix])
+            cuts = np.flatnonzero(np.diff(ends // _PART_ROWS)) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(prefix)]):
+                if last > first:
+                    yield chunk(doc[first:last], n[first:last], [np.cumsum(_numbers(x)[0]) for x in prefix[first:last]])
+
+    def settled(part: int, rows: np.ndarray) -> pa.RecordBatch:
+        kind, key, doc, n = rows
+        open_ = np.flatnonzero(kind != _KNOWN)
+        key[open_] = key[open_] * parts + part
+        _, back, count = np.unique(key[open_], return_inverse=True, return_counts=True)
+        kept = (kind == _KNOWN) | (kind == _ASKED)
+        kept[open_] &= count[back] > 1
+        key, doc, n = key[kept], doc[kept], n[kept]
+        own = (common.mixed(doc.view(np.uint64)) % np.uint64(parts)).view(np.int64)
+        return _blocks(own, np.zeros_like(key), key, doc, n)
+
+    return _dealt(prefixes.mapInArrow(emit, "part int, rows binary"), settled, "part int, rows binary")
+
+
+def _first_rows(key: np.ndarray, doc: np.ndarray, n: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """key, doc_id, n and witnesses of the rows of whole documents that are needed: in the order of the
+    keys, all but the last ``l - 1`` of a document.
+
+    Different shingles of a document may have one key. Its witnesses are smaller keys, never the key
+    itself, so a pair is left to an earlier tile each time.
+    """
+    order = np.lexsort((key, n, doc))
+    key, doc, n = key[order], doc[order], n[order]
+    rows = np.arange(len(key))
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])
+    group = np.cumsum(head) - 1
+    first = np.flatnonzero(head)[group]
+    count = np.bincount(group)[group]
+    sure = np.maximum(1, n * s.percent // 100 // SURE)  # of the smallest set that n can link with
+    fresh = head.copy()
+    fresh[1:] |= key[1:] != key[:-1]
+    before = np.maximum.accumulate(np.where(fresh, rows, 0)) - 1  # the last row with a smaller key
+    found = [before]
+    for k in (1, 2):  # the least by a hash so far, anew in each group
+        hashed = common.mixed(key.view(np.uint64) * np.uint64(2 * k + 1)) >> np.uint64(32)
+        ranked = ((group[-1:] - group) << 32) | hashed.view(np.int64)
+        least = np.maximum.accumulate(np.where(ranked == np.minimum.accumulate(ranked), rows, 0))
+        found.append(least[before])
+    seen = [np.where(before >= first, key[x], -1) for x in found]
+    kept = rows - first <= count - sure
+    return tuple(c[kept] for c in (key, doc, n, *seen))
+
+
+def _tiles(docs: DataFrame, shingles: int, s: Settings) -> DataFrame:
     """key, band, doc_id, side and witnesses of the documents that may have links; side 1 are the rows of
-    the band below.
+    the band below. ``shingles``: the sizes of all sets together.
 
-    Witnesses are shingles that the document has in earlier tiles (-1: none): the one before, and those
+    Witnesses are keys that the document has in earlier tiles (-1: none): the one before, and those
     least by two hashes. Where all documents of a tile have one in common, they all meet in that
     earlier tile, in the same bands, and this one is dropped; so are tiles of one document.
     """
-    shared = common.stage(_shared(prefixes), "shared-prefixes")
-    smallest = F.floor((F.col("n") * s.percent) / 100)  # the smallest set that n can link with
-    sure = F.greatest(F.lit(1), F.floor(smallest / SURE))
-    own = Window.partitionBy("doc_id", "n")
-    row, earlier = own.orderBy("key"), own.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    found = [F.lag("key").over(row), *[F.min_by("key", F.xxhash64("key", F.lit(k))).over(earlier) for k in (1, 2)]]
-    counted = shared.withColumns({"c": F.count(F.lit(1)).over(own), "at": F.row_number().over(row), **{w: F.coalesce(f, F.lit(-1)) for w, f in zip(_WITNESSES, found)}})
-    kept = common.stage(counted.where(F.col("at") <= F.col("c") - sure + 1).select("key", "doc_id", "n", *_WITNESSES), "prefix-rows")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // (3 * _PART_ROWS)))
+    names = ["key", "doc_id", "n", *_WITNESSES]
+
+    def first_rows(_: int, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _first_rows(*rows[1:], s)], names=names)
+
+    prefixes = _prefixes(docs, min(48, shingles.bit_length() + SPARE_BITS), s)
+    kept = common.stage(_dealt(_shared(prefixes, parts), first_rows, ", ".join(f"{c} long" for c in names)), "prefix-rows")
     spans = [(F.min(w).alias(f"{w}_least"), F.max(w).alias(f"{w}_most")) for w in _WITNESSES]
     sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *[e for span in spans for e in span])
     first = sizes.where(" and ".join(["rows > 1", *[f"({w}_least < 0 or {w}_least < {w}_most)" for w in _WITNESSES]]))

@@ -349,6 +349,52 @@ def test_prefix_blocks_come_back():
     assert jaccard._unpacked(jaccard._packed(*(c[:0] for c in columns))).shape == (4, 0)
 
 
+def test_prefix_blocks_are_small():
+    rng = np.random.default_rng(3)
+    key, doc = rng.integers(0, 1 << 24, 30_000), np.sort(rng.integers(0, 200_000, 6_000)).repeat(5)
+    block = jaccard._packed(np.ones(30_000, np.int64), key, doc, (doc * 31) % 900)
+    assert len(block) < 5 * len(key)
+
+
+def test_prefixes_are_not_stored_and_one_key_may_stand_for_many_shingles(frame, prose, monkeypatch):
+    rows = [(k * 13 % 997, t) for k, t in enumerate(prose(11, 150, 60, 1, 120))]
+    stored, stage = {}, common.stage
+
+    def noted(df, name, by=()):
+        stored[name] = df.columns
+        return stage(df, name, by)
+
+    monkeypatch.setattr(common, "stage", noted)
+    monkeypatch.setattr(jaccard, "_stars", lambda reps, *_: reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "SPARE_BITS", -4, raising=False)
+    out = jaccard.classes(frame(rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute_jaccard(rows)[1]
+    assert stored and not any("prefix" in columns for columns in stored.values())
+
+
+def test_witnesses_are_smaller_keys_of_the_same_document():
+    rng = np.random.default_rng(4)
+    doc = rng.integers(0, 40, 900)
+    key, n = rng.integers(0, 30, 900), doc * 3 + 1
+    kept = list(zip(*(c.tolist() for c in jaccard._first_rows(key, doc, n, jaccard.Settings()))))
+    for d in range(40):
+        own = sorted(key[doc == d].tolist())
+        own = own[: max(0, len(own) - max(1, (3 * d + 1) * 75 // 100 // 12) + 1)]
+        rows = [r for r in kept if r[1] == d]
+        assert [r[0] for r in rows] == own
+        for k, _, size, *seen in rows:
+            smaller = [x for x in own if x < k]
+            assert size == 3 * d + 1 and seen[0] == max(smaller, default=-1)
+            assert all(w in smaller if smaller else w == -1 for w in seen)
+    assert all(not len(c) for c in jaccard._first_rows(key[:0], doc[:0], n[:0], jaccard.Settings()))
+
+
+def test_jaccard_repeated_id_joins_the_sets_it_has(frame):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, "u v w x y z")]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.classes(frame(rows)).collect()} == {3: 3, 5: 3, 7: 3, 8: 8}
+
+
 def test_first_candidates_grow_with_the_components():
     for size in (10, 100, 400):
         x, y = np.triu_indices(size, 1)
