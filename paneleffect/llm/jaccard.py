@@ -155,23 +155,30 @@ _PREFIX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64(
 
 
 def _prefixes(docs: DataFrame, bits: int, s: Settings) -> DataFrame:
-    """doc_id (the smallest), n and prefix of every different set that is not empty. A prefix has keys of so many
-    bits, in their order, as steps from the one before."""
+    """Columns of ``_PREFIX`` of the sets that are not empty, equal sets together, the smallest id first; a set that a
+    batch has more than once leaves it once. A prefix has keys of so many bits, in their order, as steps from the one before."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: dict[tuple[int, int, int], tuple[int, bytes]] = {}
             for part, data, offsets in common.slices(batch, "text"):
-                rows = []
                 for doc, own in zip(part.column(0).to_pylist(), sets(data, offsets, s.words)):
                     n = len(own)
-                    if n and doc is not None:
+                    if not n or doc is None:
+                        continue
+                    name = (n, *_sums(own))
+                    if name in rows:
+                        rows[name] = min(doc, rows[name][0]), rows[name][1]
+                    else:
                         keys = own[: min(n, n + _needed_share(n, s) + _sure(n))] >> np.uint64(64 - bits)
-                        rows.append((doc, n, *_sums(own), _planes(np.diff(keys, prepend=np.uint64(0)))))
-                if rows:
-                    yield common.records(_PREFIX, **dict(zip(_PREFIX.names, zip(*rows))))
+                        rows[name] = doc, _planes(np.diff(keys, prepend=np.uint64(0)))
+            if rows:
+                n, f1, f2 = zip(*rows)
+                doc_id, prefix = zip(*rows.values())
+                yield common.records(_PREFIX, doc_id=doc_id, n=n, f1=f1, f2=f2, prefix=prefix)
 
     read = docs.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long, prefix binary")
-    return read.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")).select("doc_id", "n", "prefix")
+    return read.repartition("f1", "f2", "n").sortWithinPartitions("f1", "f2", "n", "doc_id")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -484,8 +491,16 @@ def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
         return _blocks(part, kind, np.concatenate([np.where(many, keys, keys // parts), told // parts]), np.concatenate([doc, none]), np.concatenate([n, none]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_set = None
         for batch in batches:
-            doc, n, prefix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            if not len(batch):
+                continue
+            names = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)])
+            other = np.ones(len(batch), dtype=bool)
+            other[1:] = (names[:, 1:] != names[:, :-1]).any(axis=0)
+            other[0] = last_set is None or (names[:, 0] != last_set).any()
+            last_set = names[:, -1].copy()
+            doc, n, prefix = batch.column(0).to_numpy()[other], names[0][other], batch.column(4).filter(pa.array(other)).to_pylist()
             ends = np.cumsum([len(x) // 8 for x in prefix])
             cuts = np.flatnonzero(np.diff(ends // _PART_ROWS)) + 1
             for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(prefix)]):
